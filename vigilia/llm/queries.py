@@ -15,6 +15,27 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ids(archive(table(spark, sf_dir, "pages"), "page_id", "url", "html", payload=False), "page_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vigilia.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.quality import fit_rules, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality"), "doc_id", "text")
+
+
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilia.llm.sharding import shard_records
 
@@ -29,7 +50,7 @@ OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS sha,
              max(page_id) OVER (PARTITION BY body) AS keep FROM p),
-b AS (SELECT *, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         ((((('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1)::BIGINT, 1)), '') AS payload_digest FROM d)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
