@@ -23,6 +23,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilia.llm.quality import fit_rules, judge
 
@@ -30,6 +42,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality"), "doc_id", "text")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.lm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text")
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilia.llm.neardup import near_duplicates
 
