@@ -12,6 +12,8 @@ however many documents there are.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vigilia.llm.common import arrow_map, cut
-from vigilia.llm.textbytes import text_buffers
+from vigilia.llm.textbytes import slices
 
 SEQUENCE = 4096
 GRID = 16
 END_ID = 2
 MAX_COLUMNS = 3000
 SALTS = 64
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -37,30 +39,75 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 class WordEncoder:
     """The ids of whole texts, remembered per chunk between blanks.
 
-    Exact for tokenizers that drop white space and whose parts never reach
-    across it: a text's ids are then those of its chunks between spaces and
-    line feeds, in order. The memory is emptied when it is full.
+    Exact for tokenizers that drop white space, put letters, digits and other
+    signs into parts of their own, lower letters one by one and mark the last
+    token of a part: a text's ids are those of its chunks between spaces and
+    line feeds, and those of a word and of signs after it stand apart. New
+    words, letters only, go to the tokenizer many at a time as one text, which
+    is told apart again at the marks. Other chunks go to it as they are. The
+    memory is emptied when it is full.
     """
 
-    def __init__(self, path: str):
+    #: Words that are told apart, and signs which may follow them; the apostrophe is not among them, as it may join the letters after it.
+    LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, end: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        memo = self.memo
-        chunks = [c for c in text.replace("\n", " ").split(" ") if c]
-        missing = list({c for c in chunks if c not in memo})
-        if missing:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(chunks))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    memo[chunk] = np.array(code.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<u4")
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closing[number] = token.endswith(end)
+        self.memo: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.closing[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            raw, a = ids.tobytes(), 0
+            for word, b in zip(part, stops.tolist()):
+                self.words[word] = raw[4 * a : 4 * b]
+                a = b
+
+    def _learn(self, chunks: set[str]) -> None:
+        split, others = [], []
+        for chunk in chunks:
+            stem = chunk.rstrip(self.SIGNS)
+            if self.LATIN.fullmatch(stem):
+                split.append((chunk, stem.lower(), chunk[len(stem) :]))
+            else:
+                others.append(chunk)
+        if len(self.words) > MEMO_WORDS:
+            self.words = {"": b""}
+        self._learn_words(list({w for _, w, _ in split}.difference(self.words)))
+        signs = list({t for _, _, t in split}.difference(self.words))
+        for texts, memo in ((signs, self.words), (others, self.memo)):
+            for text, code in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                memo[text] = np.array(code.ids, "<u4").tobytes()
+        for chunk, word, tail in split:
+            self.memo[chunk] = self.words[word] + self.words[tail]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = [text.replace("\n", " ").split(" ") for text in texts]
+        if missing := set().union(*chunks).difference(self.memo):
+            if len(self.memo) > MEMO_WORDS:
+                self.memo = {"": b""}
+                missing = set().union(*chunks)
+                missing.discard("")
+            self._learn(missing)
+        get = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in chunks]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per worker process, so that what a task has learned serves the next."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -69,17 +116,18 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = S
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            data, at = text_buffers(batch.column(1))
-            raw, rows, parts = data.tobytes(), [], []
-            bounds = at.tolist()
-            for row in range(batch.num_rows):
-                ids = np.concatenate([encoder.encode(raw[bounds[row] : bounds[row + 1]].decode("utf-8", "replace")), end])
-                for start in range(0, len(ids), length):
-                    part = ids[start : start + length]
-                    rows.append(row)
-                    parts.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            rows, parts = [], []
+            for lo, hi, data, at in slices(batch, text):
+                raw, bounds = data.tobytes(), at.tolist()
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+                for row, ids in zip(range(lo, hi), encoder.encode_all(texts)):
+                    ids = np.concatenate([ids, end])
+                    for start in range(0, len(ids), length):
+                        part = ids[start : start + length]
+                        rows.append(row)
+                        parts.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
             if rows:
                 columns = list(zip(*parts))
                 yield pa.RecordBatch.from_arrays(
