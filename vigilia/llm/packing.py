@@ -244,12 +244,11 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQ
             runs[int(sizes[i])].append((ranks[i], n, sequence))
             ranks[i] += n * times
         sequence += times
-    served = [(c, [r[0] for r in rs], [r[1] for r in rs], [r[2] for r in rs]) for c, rs in sorted(runs.items())]
+    served = spark.sparkContext.broadcast({c: np.array(rs, np.int64).T for c, rs in runs.items()})  # as long as patterns
     bases = spark.createDataFrame(base, "_class int, _salt int, _base long")
-    places = spark.createDataFrame(served, "_class int, _from array<long>, _each array<long>, _sequence array<long>")
     ranked = (
         made.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_salt").orderBy(key, "start", "ids_crc32")) - 1)
-        .join(F.broadcast(bases), ["_class", "_salt"]).join(F.broadcast(places), "_class")  # both as long as classes and patterns
+        .join(F.broadcast(bases), ["_class", "_salt"])  # classes times salts at most
         .withColumn("_rank", F.col("_rank") + F.col("_base"))
     )
     kind = docs.schema[key].dataType.simpleString()
@@ -261,8 +260,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQ
             out = np.zeros(len(rank), np.int64)
             for c in np.unique(group):
                 rows = np.flatnonzero(group == c)
-                first = int(rows[0])
-                begin, each, seq = (np.array(batch.column(at[n])[first].as_py(), np.int64) for n in ("_from", "_each", "_sequence"))
+                begin, each, seq = served.value[int(c)]
                 k = np.searchsorted(begin, rank[rows], "right") - 1
                 out[rows] = seq[k] + (rank[rows] - begin[k]) // each[k]
             keep = [key, "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank"]
