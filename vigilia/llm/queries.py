@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from vigilia.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilia.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"), ["page_id", "url"], "html")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilia.llm.warc import archive, page_ids
 
