@@ -1,0 +1 @@
+"""Behaviour analytics over audit, object-access and flow logs as Spark DataFrame operators."""
