@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def arrow_map(frame: DataFrame, function, schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
 
+def train_in_task(rows: DataFrame, train):
+    """`train(batches)` over a bounded sample, run by one task so that the driver holds the model alone."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(list(batches)))], pa.binary())})
+
+    return pickle.loads(bytes(arrow_map(rows.repartition(1), run, "model binary").collect()[0].model))
+
+
 def _ship(spark: SparkSession) -> None:
     """Add the package's source to the application once, as with `spark-submit --py-files`."""
     context = spark.sparkContext

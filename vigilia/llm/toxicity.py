@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, fold
+from vigilia.llm.common import arrow_map, fold, train_in_task
 from vigilia.llm.textbytes import BREAK, U64, HashIndex, folded, mix, row_sums, slices, word_bounds, word_hashes
 
 DISCOUNT = 0.75
@@ -179,9 +179,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_pydict({"key": part.column("_key").cast(pa.int64()), "label": part.column("_label").cast(pa.int32()), "words": pa.array(packed, pa.binary())})
 
-    got = arrow_map(rows.select("_key", "_text", "_label"), run, "key long, label int, words binary").collect()
-    got.sort(key=lambda r: (r.key, bytes(r.words)))
-    return ToxicityModel([np.frombuffer(bytes(r.words), U64) for r in got], np.array([r.label > 0 for r in got], bool))
+    def train(batches) -> ToxicityModel:
+        got = sorted((k, bytes(w), y) for b in batches for k, y, w in zip(*(c.to_pylist() for c in b.columns)))
+        return ToxicityModel([np.frombuffer(w, U64) for _, w, _ in got], np.array([y > 0 for _, _, y in got], bool))
+
+    return train_in_task(arrow_map(rows.select("_key", "_text", "_label"), run, "key long, label int, words binary"), train)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str, keep: list[str]) -> DataFrame:
