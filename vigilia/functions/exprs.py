@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from vigilia.functions import fixed
 
 
+def settled(x: Column, places: int = 4) -> Column:
+    """Rounded, after the last digits which depend on the order of a sum are gone."""
+    return F.round(F.round(x, 10), places)
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

@@ -25,7 +25,7 @@ def slot_stats(events: DataFrame, unit: str, value: Column | None = None, by: st
     """(by, mean, std, slots) of the events, or of the summed value, per hour or day; sample deviation, 0 for one slot; four decimals."""
     amount = F.count(F.lit(1)) if value is None else F.sum(value)
     per = events.groupBy(by, F.date_trunc(unit, "event_time").alias("_slot")).agg(amount.cast("double").alias("_x"))
-    return per.groupBy(by).agg(F.round(F.avg("_x"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("_x"), F.lit(0.0)), 4).alias("std"), F.count("*").alias("slots"))
+    return per.groupBy(by).agg(X.settled(F.avg("_x")).alias("mean"), X.settled(F.coalesce(F.stddev_samp("_x"), F.lit(0.0))).alias("std"), F.count("*").alias("slots"))
 
 
 def hour_counts(events: DataFrame) -> DataFrame:

@@ -100,10 +100,11 @@ def hour_grid(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def volume_comparison(value: Column, mean: Column, std: Column) -> dict[str, Column]:
-    """Multiplier and z-score of a day against the baseline, and a class: red from 3 deviations or five times, amber from 2 or twice."""
-    times, z = X.safe_ratio(value, mean), X.safe_ratio(value - mean, std)
-    over = lambda a, b: F.coalesce(z >= a, F.lit(False)) | F.coalesce(times >= b, F.lit(False))
-    return {"multiplier": times, "z_score": z, "level": F.when(over(3, 5), "red").when(over(2, 2), "amber").otherwise("green")}
+    """Multiplier and z-score of a day against the baseline, and a class: red from 3 times or 2 deviations, amber from 1.5 times or 1. Null without a baseline."""
+    times = X.safe_ratio(value, mean)
+    z = F.when(mean > 0, F.coalesce(X.safe_ratio(value - mean, std), F.lit(0.0)))
+    level = F.when(times.isNull(), F.lit(None)).when((times >= 3) | (z >= 2), "red").when((times >= 1.5) | (z >= 1), "amber").otherwise("green")
+    return {"multiplier": times, "z_score": z, "level": level}
 
 
 def actor_tag(is_system: Column, is_interface: Column, has_baseline: Column) -> Column:

@@ -58,8 +58,8 @@ def api_event_dimensions(events: DataFrame, baseline: DataFrame) -> DataFrame:
 def api_scores(dimensions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(actor, score, score_max, event_count, means of the dimensions), four decimals."""
     return dimensions.groupBy(*(by or ["actor"])).agg(
-        F.round(F.avg("composite"), 4).alias("score"), F.round(F.max("composite"), 4).alias("score_max"), F.count("*").alias("event_count"),
-        *(F.round(F.avg(d), 4).alias(d) for d in fixed.CT_WEIGHTS),
+        X.settled(F.avg("composite")).alias("score"), X.settled(F.max("composite")).alias("score_max"), F.count("*").alias("event_count"),
+        *(X.settled(F.avg(d)).alias(d) for d in fixed.CT_WEIGHTS),
     )
 
 
@@ -70,7 +70,7 @@ def _new(today: str, before: str) -> Column:
 def _scored(rows: DataFrame, dims: dict[str, Column], by: list[str]) -> DataFrame:
     out = rows.withColumns(dims)
     return out.select(
-        *by, F.round(X.mean_of(list(dims)), 4).alias("score"), "event_count", F.col("_known").isNotNull().alias("has_baseline"), *(F.round(F.col(d), 4).alias(d) for d in dims)
+        *by, X.settled(X.mean_of(list(dims))).alias("score"), "event_count", F.col("_known").isNotNull().alias("has_baseline"), *(X.settled(F.col(d)).alias(d) for d in dims)
     )
 
 
