@@ -35,7 +35,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 RUN = 5
 BLOCK = 4
-PART = 2000
+PART = 512
 SEGMENT = 256  # longer items are indexed in segments of so many words
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -61,7 +61,7 @@ def _runs(words: np.ndarray) -> tuple[int, np.ndarray]:
 class ItemIndex:
     """Postings, block maxima and the runs to verify, for (item id, text) pairs. Items without words are left out."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         entries, self.owner, self.parts = [], [], []
         for item, text in items:
             words = words_of(text or "")
@@ -91,6 +91,19 @@ class ItemIndex:
         self.maxima = self.weights.reshape(len(terms) + 1, self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((1, 0), np.float32)
         self.lookup = HashIndex(terms)
         self.unknown = len(terms)
+        # Common terms, the most frequent of the items as long as none has more than half the threshold from them,
+        # enter a block's bound as a constant: a passage's many common words are then never looked at one by one.
+        order = np.argsort(-frequency, kind="stable")
+        share = np.zeros(self.weights.shape[1], np.float32)
+        self.telling = np.ones(len(terms) + 1, bool)
+        self.telling[-1] = False
+        for t in order.tolist():
+            more = share + self.weights[t]
+            if more.max(initial=0.0) > threshold / 2:
+                break
+            share = more
+            self.telling[t] = False
+        self.common = share.reshape(self.blocks, BLOCK).max(axis=1) if self.blocks else share[:0]
 
     def passages(self, words: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
         """(row, item, score) of the best passage of each row for each item that reaches the threshold.
@@ -106,12 +119,17 @@ class ItemIndex:
         begin = np.concatenate([[0], np.cumsum(stretches)])
         row = np.repeat(np.arange(len(stretches)), stretches)
         start = first[:-1][row] + (np.arange(begin[-1]) - begin[:-1][row]) * self.width
-        bound = np.add.reduceat(self.maxima[term], start, axis=0)
+        at = np.flatnonzero(self.telling[term])
+        bound = np.zeros((len(start), self.blocks), np.float32)
+        if len(at):
+            place = np.searchsorted(start, at, "right") - 1
+            heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            bound[place[heads]] = np.add.reduceat(self.maxima[term[at]], heads, axis=0)
         lone = np.append(row[1:] != row[:-1], True)
         passage = bound.copy()
         passage[:-1] += bound[1:]
         passage[lone] = bound[lone]
-        where, block = np.nonzero(passage >= threshold - 1e-4)
+        where, block = np.nonzero(passage + self.common >= threshold - 1e-4)
         best: dict[tuple[int, int], float] = {}
         for p, b in zip(where.tolist(), block.tolist()):
             end = min(int(start[p]) + 2 * self.width, int(first[row[p] + 1]))
@@ -144,7 +162,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str, text: str, item_ke
     out = None
     for part in range(parts):
         rows = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()  # about PART items
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows]))
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], threshold))
         found = map_texts(docs.select(key, F.col(text).alias("text")), _search(index, key, item_key, threshold, overlap), schema)
         out = found if out is None else out.unionByName(found)
     return out

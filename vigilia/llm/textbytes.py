@@ -75,8 +75,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         lo = hi
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return _LOWER[data]
 
 
 def folded(data: np.ndarray) -> np.ndarray:
