@@ -72,20 +72,10 @@ def read_events(spark: SparkSession, paths: list[str] | str, schema: str = EVENT
 
 def read_document(spark: SparkSession, paths: list[str] | str, schema: str = EVENT) -> DataFrame:
     """JSON documents: a list of events, or an object that holds it under events, data, records or Records."""
-    names = ("events", "data", "records", "Records")
-    lists = ", ".join(f"{n} array<struct<{schema_fields(schema)}>>" for n in names)
-    case = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")  # records and Records are two names
-    try:
-        raw = spark.read.option("wholetext", True).text(paths)
-        wrapped = F.from_json("value", lists)
-        bare = F.from_json("value", f"array<struct<{schema_fields(schema)}>>")
-        listed = F.when(F.ltrim("value").startswith("["), bare).otherwise(F.coalesce(*(wrapped[n] for n in names)))
-        out = raw.select(F.explode(listed).alias("e")).select("e.*")
-        out.schema  # resolved while names are told apart by case
-        return out
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", case)
+    raw = spark.read.text(paths, wholetext=True)
+    inner = F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in ("events", "data", "records", "Records")))
+    listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(inner)
+    return raw.select(F.explode(F.from_json(listed, f"array<struct<{schema_fields(schema)}>>")).alias("e")).select("e.*")
 
 
 def schema_fields(schema: str) -> str:
