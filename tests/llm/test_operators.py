@@ -90,13 +90,13 @@ class TestHtml:
         assert [b.text for b in blocks_of("<p hidden>no</p><p>yes<br>two</p><div style='display: none'>no</div>")] == ["yes two"]
 
     def test_held_out_pages(self):
-        from vigilia.llm.html_text import blocks_of, features, fit_extractor, labelled_pages, main_text
+        from vigilia.llm.html_text import blocks_of, fit_extractor, labelled_pages, main_text, page_features
 
         model = fit_extractor(300)
         wrong = total = 0
         for page, good in labelled_pages(80, seed=991):
             blocks = blocks_of(page)
-            for block, label in zip(blocks, model.decode([features(b) for b in blocks])):
+            for block, label in zip(blocks, model.decode(page_features(blocks))):
                 total += 1
                 wrong += label != (block.text in good)
         assert wrong / total < 0.03
@@ -104,15 +104,15 @@ class TestHtml:
         assert main_text(None, model) == ""
 
     def test_viterbi_is_the_best_labelling(self):
-        from vigilia.llm.html_text import ChainCRF
+        from vigilia.llm.html_text import NEW, SAME, ChainCRF
 
         r = random.Random(3)
         model = ChainCRF()
         model.weights = {f"f{i}": r.uniform(-2, 2) for i in range(8)}
-        model.first, model.step = [r.uniform(-1, 1) for _ in "ab"], [[r.uniform(-1, 1) for _ in "ab"] for _ in "ab"]
+        model.first, model.step = [r.uniform(-1, 1) for _ in "ab"], [[[r.uniform(-1, 1) for _ in "ab"] for _ in "ab"] for _ in "ab"]
         for _ in range(20):
-            sequence = [[f"f{r.randrange(8)}"] for _ in range(7)]
-            value = lambda y: model.first[y[0]] + sum(model.weights[f[0]] * b for f, b in zip(sequence, y)) + sum(model.step[a][b] for a, b in zip(y, y[1:]))
+            sequence = [[r.choice([SAME, NEW]), f"f{r.randrange(8)}"] for _ in range(7)]
+            value = lambda y: model.first[y[0]] + sum(model.weights[f[1]] * b for f, b in zip(sequence, y)) + sum(model.step[f[0] == NEW][a][b] for a, b, f in zip(y, y[1:], sequence[1:]))
             assert value(model.decode(sequence)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=7))))
 
     def test_rows(self, spark):

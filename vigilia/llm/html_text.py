@@ -4,7 +4,8 @@ A page is read once from left to right: a stack of open elements stands for the
 tree, and the text between two block borders is a leaf block. A block's
 features are its ancestors' tags, roles and words of class and id, and the
 shape of its text (length, share of link text, final punctuation). The field
-labels the sequence of blocks as article or not; Viterbi finds the best
+labels the sequence of blocks as article or not, with transitions of their own
+for neighbours in one container and for those in two; Viterbi finds the best
 labelling. It is trained by stochastic gradients of the conditional likelihood
 on labelled pages which `labelled_pages` writes in the layouts that pages use.
 """
@@ -38,6 +39,7 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 IMPLIED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 PHRASE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+SECTIONS = frozenset("nav header footer aside article main section form dialog".split())
 TAGS = frozenset("nav header footer aside article main section form table ul ol dl figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p li td th button label dialog address details summary fieldset legend menu".split())
 
 
@@ -55,7 +57,8 @@ def _frame(tag: str, attributes: str) -> tuple[str, tuple[str, ...], bool]:
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words += [f"word:{w.lower()}" for w in _WORDS.findall(value) if not w.isdigit()]
+            found = [w.lower() for w in _WORDS.findall(value) if not w.isdigit()]
+            words += [f"word:{w}" for w in found] + [f"stem:{w[:5]}" for w in found if len(w) >= 5]
         elif name in ("role", "itemprop"):
             words.append(f"{name}:{value.lower()}")
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -166,6 +169,25 @@ def _path_features(path: tuple) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+@functools.lru_cache(maxsize=50_000)
+def _container(path: tuple) -> tuple:
+    """The part of a path that says in which section of the page it is."""
+    return tuple(f for f in path if f[1] or f[0] in SECTIONS)
+
+
+SAME, NEW = "~same", "~new"
+
+
+def page_features(blocks: list[Block]) -> list[list[str]]:
+    """The features of each block, the first telling whether the block before is in the same container."""
+    out, before = [], None
+    for block in blocks:
+        here = _container(block.path)
+        out.append([SAME if here == before else NEW, *features(block)])
+        before = here
+    return out
+
+
 def features(block: Block) -> list[str]:
     text = block.text
     words, share = text.count(" ") + 1, block.linked / len(text)
@@ -181,12 +203,12 @@ def features(block: Block) -> list[str]:
 
 
 class ChainCRF:
-    """Two labels (1: article). Weights are those of label 1 against label 0; `step[a][b]` is that of b after a."""
+    """Two labels (1: article). Weights are those of label 1 against label 0; `step[k][a][b]` is that of b after a, k being 0 within a container and 1 between two."""
 
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.first = [0.0, 0.0]
-        self.step = [[0.0, 0.0], [0.0, 0.0]]
+        self.step = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]
 
     def _emissions(self, sequence: list[list[str]]) -> list[float]:
         get = self.weights.get
@@ -196,10 +218,10 @@ class ChainCRF:
         """Viterbi; of equal labellings the one with fewer article blocks from the end."""
         if not sequence:
             return []
-        (aa, ab), (ba, bb) = self.step
         e = self._emissions(sequence)
         zero, one, back = self.first[0], self.first[1] + e[0], []
-        for x in e[1:]:
+        for x, fs in zip(e[1:], sequence[1:]):
+            (aa, ab), (ba, bb) = self.step[fs[0] != SAME]
             z = (0, zero + aa) if zero + aa >= one + ba else (1, one + ba)
             o = (0, zero + ab) if zero + ab >= one + bb else (1, one + bb)
             back.append((z[0], o[0]))
@@ -211,7 +233,7 @@ class ChainCRF:
             out.append(label)
         return out[::-1]
 
-    def train(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 6, rate: float = 0.3, penalty: float = 1e-4) -> None:
+    def train(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, penalty: float = 1e-4) -> None:
         """AdaGrad on the log-likelihood of the labels, one page at a time; marginals by forward-backward."""
         squares: dict = {}
         random_order = random.Random(1)
@@ -231,15 +253,16 @@ class ChainCRF:
                 sequence, labels = pages[k]
                 if not sequence:
                     continue
-                e, n, s = self._emissions(sequence), len(sequence), self.step
+                e, n = self._emissions(sequence), len(sequence)
+                kind = [int(fs[0] != SAME) for fs in sequence]
                 ahead = [(self.first[0], self.first[1] + e[0])]
-                for x in e[1:]:
-                    z, o = ahead[-1]
-                    ahead.append((add(z + s[0][0], o + s[1][0]), add(z + s[0][1], o + s[1][1]) + x))
+                for i in range(1, n):
+                    (z, o), s = ahead[-1], self.step[kind[i]]
+                    ahead.append((add(z + s[0][0], o + s[1][0]), add(z + s[0][1], o + s[1][1]) + e[i]))
                 after = [(0.0, 0.0)]
-                for x in reversed(e[1:]):
-                    z, o = after[-1]
-                    after.append((add(s[0][0] + z, s[0][1] + x + o), add(s[1][0] + z, s[1][1] + x + o)))
+                for i in range(n - 1, 0, -1):
+                    (z, o), s = after[-1], self.step[kind[i]]
+                    after.append((add(s[0][0] + z, s[0][1] + e[i] + o), add(s[1][0] + z, s[1][1] + e[i] + o)))
                 after.reverse()
                 total = add(*ahead[-1])
                 gap: dict[str, float] = {}
@@ -248,18 +271,20 @@ class ChainCRF:
                     if abs(g) > 1e-4:
                         for f in fs:
                             gap[f] = gap.get(f, 0.0) + g
-                moves = [[0.0, 0.0], [0.0, 0.0]]
+                moves = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]
                 for i in range(1, n):
+                    s, m = self.step[kind[i]], moves[kind[i]]
                     for a in (0, 1):
                         for b in (0, 1):
-                            moves[a][b] -= math.exp(ahead[i - 1][a] + s[a][b] + (e[i] if b else 0) + after[i][b] - total)
-                    moves[labels[i - 1]][labels[i]] += 1
+                            m[a][b] -= math.exp(ahead[i - 1][a] + s[a][b] + (e[i] if b else 0) + after[i][b] - total)
+                    m[labels[i - 1]][labels[i]] += 1
                 for f, g in gap.items():
                     move(self.weights, f, f, g)
                 for a in (0, 1):
                     move(self.first, a, ("first", a), (labels[0] == a) - math.exp(ahead[0][a] + after[0][a] - total))
-                    for b in (0, 1):
-                        move(self.step[a], b, (a, b), moves[a][b])
+                    for c in (0, 1):
+                        for b in (0, 1):
+                            move(self.step[c][a], b, (c, a, b), moves[c][a][b])
 
 
 # Labelled pages: the layouts that pages use, each block marked as article (1) or not (0).
@@ -275,8 +300,9 @@ def _text(r: random.Random, low: int, high: int, stop: bool = True) -> str:
 
 def _article(r: random.Random) -> Iterator[tuple[str, str, int]]:
     """(before, text, after is implied) pieces of an article: headings, paragraphs, lists, quotes, tables, code, captions."""
-    yield "<h1>", _text(r, 2, 12, r.random() < 0.3), 1
-    for _ in range(r.randint(1, 14)):
+    if r.random() < 0.8:
+        yield r.choice(["<h1>", "<h1>", "<h1>", "<h2>", "<header><h1>"]), _text(r, 1, 12, r.random() < 0.3), 1
+    for _ in range(r.choice([1, 2, 3, r.randint(1, 14)])):
         kind = r.random()
         if kind < 0.72:
             yield r.choice(["<p>", "<p>", "<p>", "<p class='text'>", "<p><b>", "<div>"]), _text(r, 2, r.choice([8, 40, 120])), 1
@@ -298,14 +324,14 @@ def _article(r: random.Random) -> Iterator[tuple[str, str, int]]:
 
 _BOILER = {
     # Fixed values: (containers, blocks) in which pages keep what is no article.
-    "menu": (["<nav>", "<div class='menu'>", "<ul id='main-menu'>", "<div id='nav'>", "<div class='navbar'>", "<header><nav>", "<div role='navigation'>", "<div class='breadcrumbs'>"], "links"),
+    "menu": (["<nav>", "<div class='menu'>", "<ul id='main-menu'>", "<div id='nav'>", "<div class='navbar'>", "<header><nav>", "<div role='navigation'>", "<div class='breadcrumbs'>", "<div class='breadcrumb'>", "<nav class='toc'>", "<div class='pagination'>", "<menu>", "<ul class='menu'>"], "links"),
     "header": (["<header>", "<div id='header'>", "<div class='site-header'>", "<div class='masthead'>", "<div role='banner'>", "<div class='topbar'>"], "short"),
-    "footer": (["<footer>", "<div id='footer'>", "<div class='site-footer'>", "<div role='contentinfo'>", "<div class='copyright'>", "<div class='bottom'>"], "foot"),
+    "footer": (["<footer>", "<div id='footer'>", "<div class='site-footer'>", "<div role='contentinfo'>", "<div class='copyright'>", "<div class='bottom'>", "<div class='page-footer'>"], "foot"),
     "sidebar": (["<aside>", "<div class='sidebar'>", "<div id='sidebar'>", "<div class='widget'>", "<div class='related-posts'>", "<div role='complementary'>", "<section class='related'>", "<div class='recommended'>", "<div class='share social'>"], "mixed"),
-    "notice": (["<div class='cookie-notice'>", "<div class='consent'>", "<div id='cookie-banner'>", "<div role='alert'>", "<div class='notice'>", "<dialog>", "<div class='popup modal'>", "<div class='gdpr'>", "<div role='dialog'>", "<div class='alert'>"], "prose"),
-    "advert": (["<div class='ad'>", "<div class='ads'>", "<div class='advert'>", "<div class='sponsored'>", "<div id='ad-slot'>", "<div class='promo'>", "<aside class='advertisement'>", "<div class='banner'>", "<ins class='adsbygoogle'>"], "prose"),
+    "notice": (["<div class='cookie-notice'>", "<div class='consent'>", "<div id='cookie-banner'>", "<div role='alert'>", "<div class='notice'>", "<dialog>", "<div class='popup modal'>", "<div class='gdpr'>", "<div role='dialog'>", "<div class='alert'>", "<div class='site-notice'>", "<div class='announcement'>", "<div class='disclaimer'>", "<div class='privacy-policy-notice'>"], "prose"),
+    "advert": (["<div class='ad'>", "<div class='ads'>", "<div class='advert'>", "<div class='sponsored'>", "<div id='ad-slot'>", "<div class='promo'>", "<aside class='advertisement'>", "<div class='banner'>", "<ins class='adsbygoogle'>", "<div class='ad-box'>", "<div class='promo-box'>", "<div class='advertisement'>", "<section class='sponsor'>"], "prose"),
     "form": (["<form>", "<form class='newsletter'>", "<form id='search'>", "<div class='subscribe'><form>", "<form class='login'>", "<fieldset>"], "form"),
-    "comments": (["<section class='comments'>", "<div id='comments'>", "<ol class='comment-list'>", "<div class='reader-comments'>", "<div class='comment'>", "<section id='discussion'>", "<div class='replies'>", "<div id='disqus_thread'>", "<div class='responses'>"], "prose"),
+    "comments": (["<section class='comments'>", "<div id='comments'>", "<ol class='comment-list'>", "<div class='reader-comments'>", "<div class='comment'>", "<section id='discussion'>", "<div class='replies'>", "<div id='disqus_thread'>", "<div class='responses'>", "<div class='user-comment'>", "<div id='respond'>", "<article class='comment'>", "<div class='comment-body'>", "<section class='reader-reviews'>"], "prose"),
 }
 
 
@@ -325,7 +351,7 @@ def _boiler(r: random.Random, kind: str) -> Iterator[tuple[str, str, int]]:
             yield box + r.choice(["", "", "<p>", "<p>", "<div>", "<h3>"]), _text(r, 1, r.choice([6, 15, 60])), 0
 
 
-_BODIES = ["<article>", "<article>", "<main><article>", "<main>", "<div class='content'>", "<div id='content'>", "<div class='post-body'>", "<div class='entry-content'>", "<div class='article-text'>", "<section class='story'>", "<div role='main'>", "<article class='post'>", "<div>", "<main><div class='body'>"]
+_BODIES = ["", "", "<article>", "<article>", "<main><article>", "<main>", "<div class='content'>", "<div id='content'>", "<div class='post-body'>", "<div class='entry-content'>", "<div class='article-text'>", "<section class='story'>", "<div role='main'>", "<article class='post'>", "<div>", "<main><div class='body'>"]
 _TAG = re.compile(r"<([a-z0-9]+)")
 
 
@@ -336,7 +362,8 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, set[str]]]:
         body, good = r.choice(_BODIES), set()
         before = [k for k in ("notice", "header", "menu", "advert", "form", "sidebar") if r.random() < 0.45]
         after = [k for k in ("advert", "comments", "sidebar", "form", "notice", "footer") if r.random() < 0.5]
-        inner = [k for k in ("advert", "form", "comments", "sidebar", "notice") if r.random() < 0.15]
+        inner = [k for k in ("advert", "form", "comments", "sidebar", "notice") if r.random() < 0.2]
+        r.shuffle(inner)
         r.shuffle(before)
         out = ["<!DOCTYPE html><html><head><title>x</title></head><body>"]
 
@@ -353,25 +380,26 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, set[str]]]:
         for kind in before:
             put(_boiler(r, kind))
         pieces = list(_article(r))
-        cut = r.randint(1, len(pieces))
-        put(pieces[:cut], body)
         for kind in inner:
+            cut = r.randint(0, len(pieces))
+            put(pieces[:cut], body)
             put(_boiler(r, kind), body)
-        put(pieces[cut:], body)
+            pieces = pieces[cut:]
+        put(pieces, body)
         for kind in after:
             put(_boiler(r, kind))
         out.append("</body></html>")
         yield "".join(out), good
 
 
-TRAIN_PAGES = 500
+TRAIN_PAGES = 700
 
 
 def fit_extractor(pages: int = TRAIN_PAGES, seed: int = 17) -> ChainCRF:
     sequences = []
     for page, good in labelled_pages(pages, seed):
         blocks = blocks_of(page)
-        sequences.append(([features(b) for b in blocks], [int(b.text in good) for b in blocks]))
+        sequences.append((page_features(blocks), [int(b.text in good) for b in blocks]))
     model = ChainCRF()
     model.train(sequences)
     return model
@@ -379,7 +407,7 @@ def fit_extractor(pages: int = TRAIN_PAGES, seed: int = 17) -> ChainCRF:
 
 def main_text(page: str | None, model: ChainCRF) -> str:
     blocks = blocks_of(page) if page else []
-    labels = model.decode([features(b) for b in blocks])
+    labels = model.decode(page_features(blocks))
     return "\n\n".join(b.text for b, on in zip(blocks, labels) if on)
 
 
