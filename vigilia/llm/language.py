@@ -154,7 +154,11 @@ def fit_language(docs: DataFrame, key: str, text: str, label: str, bound: int =
 
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.col(text) != ""))
     slim = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.xxhash64(key).alias("h"))
-    turn = slim.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= bound)  # Spark keeps `bound` rows a label before the shuffle
+    sizes = {r.l: r["count"] for r in slim.groupBy("l").count().collect()}  # a row a language
+    share = {name: min(1.0, 2 * bound / n) for name, n in sizes.items()}
+    most = F.create_map(*(x for name, s in share.items() for x in (F.lit(name), F.lit(min(int(s * 2**64) - 2**63, 2**63 - 1)).cast("long"))))
+    few = slim.where(F.col("h") <= F.try_element_at(most, F.col("l"))) if sizes else slim  # about twice the bound a language
+    turn = few.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= bound)
     chosen = turn.orderBy("r", "h").limit(bound).select("k").distinct()
     sample = rows.join(F.broadcast(chosen.withColumnRenamed("k", key)), key, "left_semi").select(F.col(text).alias("text"), F.col(label).alias("label"))
 

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilia.llm.common import lowest
+
 #: Fixed values of the contract: what separates words, what counts as a symbol.
 GAP = r"[\x20\x09-\x0D]"
 NOT_GAP = r"[^\x20\x09-\x0D]"
@@ -191,10 +193,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     Rows without a label or key are passed over; without any labelled rows the
     list is empty and keeps everything.
     """
-    chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-        .groupBy("_key").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(bound)
-    )
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
+    chosen = lowest(known, "_key", bound)
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # `bound` rows at most
     rows = with_statistics(slim, "_text").select("_key", "_label", *FEATURES).orderBy(F.xxhash64("_key"), "_key").limit(bound).collect()
     table = {f: np.array([r[f] for r in rows], float) for f in FEATURES}

@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, fold, train_in_task
-from vigilia.llm.textbytes import BREAK, U64, HashIndex, folded, mix, row_sums, slices, word_bounds, word_hashes
+from vigilia.llm.common import arrow_map, cut, fold, lowest, train_in_task
+from vigilia.llm.textbytes import BREAK, U64, HashIndex, folded, mix, row_sums, slices, sorted_sets, word_bounds, word_hashes
 
 DISCOUNT = 0.75
 #: By how many of its standard errors a word's or bigram's log-ratio is drawn towards nothing, and orders, to choose from.
 #: Most of a text is words that a small class has seen a few times: without this their chance ratios drown the telling ones.
-DOUBTS = (0.5, 1.0, 1.5, 2.0)
+DOUBTS = (1.0, 1.5, 2.0, 2.5)
 ORDERS = (1, 2)
+MARGIN = 0.7  # and by a factor of two, so that what toxic texts are about, or their language, is no evidence
 FLOOR = 0.02  # the most that one ordinary word counts against a text, so that a long quiet stretch hides nothing
-TRAIN_TEXTS = 5000
+TRAIN_TEXTS = 8000
 LEAST = 2  # words and bigrams seen less often in all are left to the shared counts
 
 
@@ -64,7 +65,7 @@ class Counts:
 
 def _doubted(ratio: np.ndarray, counts: np.ndarray, doubt: float) -> np.ndarray:
     error = np.sqrt((1 / np.maximum(counts, 0.5)).sum(axis=0))
-    return np.maximum(np.sign(ratio) * np.maximum(np.abs(ratio) - doubt * error, 0), -FLOOR)
+    return np.maximum(np.sign(ratio) * np.maximum(np.abs(ratio) - doubt * error - MARGIN, 0), -FLOOR)
 
 
 class Likelihoods:
@@ -99,26 +100,27 @@ class Likelihoods:
         self.bigrams = _doubted(np.log(like[1] / like[0])[often], seen[:, often], doubt).astype(np.float32)
 
     def evidence(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The mean difference of log-likelihoods of each row, 0 for a row without words."""
+        """The mean difference of log-likelihoods over the distinct bigrams of each row, 0 for a row without words."""
         ids = self.lookup.find(words).astype(np.int64) + 2
         ids[ids < 2] = 1
-        out = self.words[ids]
+        pairs, _, first = sorted_sets(_before(ids, first) * self.size + ids, first)  # what a text repeats counts once
+        out = self.words[pairs % self.size]
         if self.order == 2:
-            at = self.pairs.find(mix((_before(ids, first) * self.size + ids).astype(U64) + U64(1)))
+            at = self.pairs.find(mix(pairs.astype(U64) + U64(1)))
             hit = at >= 0
             out[hit] = self.bigrams[at[hit]]
         return row_sums(out, first) / np.maximum(np.diff(first), 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (never negative) and intercept by damped Newton steps with a slight penalty."""
     scale = float(np.std(x)) or 1.0
     z = x / scale
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))
-        g = np.array([((p - y) * z).sum() + 0.1 * w[0], (p - y).sum()])
-        r = p * (1 - p) + 1e-6
+        g = np.array([(weight * (p - y) * z).sum() + 0.1 * w[0], (weight * (p - y)).sum()])
+        r = weight * (p * (1 - p) + 1e-6)
         h = np.array([[(r * z * z).sum() + 0.1, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
@@ -126,8 +128,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class ToxicityModel:
-    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray):
-        self.rate = float(toxic.mean()) if len(toxic) else 0.0
+    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float] | None = None):
+        """`shares`: how many labelled texts of each class a sampled one stands for (ordinary, toxic)."""
+        weight = np.where(toxic, *((shares or (1.0, 1.0))[::-1]))
+        self.rate = float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.0
         self.model, self.slope, self.intercept = None, 0.0, 0.0
         if not 0 < toxic.sum() < len(toxic):
             return
@@ -144,9 +148,9 @@ class ToxicityModel:
                 x = np.zeros(len(texts))
                 for counts, other, joined in halves:
                     x[other] = Likelihoods(counts, doubt, order).evidence(*joined)
-                slope, intercept = _logistic(x, toxic.astype(float))
+                slope, intercept = _logistic(x, toxic.astype(float), weight)
                 p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30))), 1e-6, 1 - 1e-6)
-                loss = -np.where(toxic, np.log(p), np.log(1 - p)).mean()
+                loss = -(weight * np.where(toxic, np.log(p), np.log(1 - p))).mean()
                 if loss < best:
                     best, self.slope, self.intercept, chosen = loss, slope, intercept, (doubt, order)
         self.chosen = chosen
@@ -164,11 +168,14 @@ def _joined(texts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS) -> ToxicityModel:
-    """Learn from at most `bound` labelled texts, those whose keys hash lowest. Rows without a key, a label or a text are passed over; of several labels of one key the greatest counts."""
-    chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-        .orderBy(F.xxhash64("_key"), "_key").limit(bound)
-    )
+    """Learn from at most `bound` labelled texts, up to half of them toxic, those of each class whose keys hash lowest. Rows without a key, a label or a text are passed over; of several labels of one key the greatest counts."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+    known = cut(known)
+    sizes = {r.t: r["count"] for r in known.groupBy((F.col("_label") > 0).alias("t")).count().collect()}
+    toxic = min(bound // 2, sizes.get(True, 0))
+    ordinary = min(bound - toxic, sizes.get(False, 0))
+    shares = sizes.get(False, 0) / max(1, ordinary), sizes.get(True, 0) / max(1, toxic)
+    chosen = lowest(known.where("_label > 0"), "_key", toxic).unionByName(lowest(known.where("_label <= 0"), "_key", ordinary))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "_key")  # `bound` rows at most
 
     def run(batches):
@@ -181,7 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
 
     def train(batches) -> ToxicityModel:
         got = sorted((k, bytes(w), y) for b in batches for k, y, w in zip(*(c.to_pylist() for c in b.columns)))
-        return ToxicityModel([np.frombuffer(w, U64) for _, w, _ in got], np.array([y > 0 for _, _, y in got], bool))
+        return ToxicityModel([np.frombuffer(w, U64) for _, w, _ in got], np.array([y > 0 for _, _, y in got], bool), shares)
 
     return train_in_task(arrow_map(rows.select("_key", "_text", "_label"), run, "key long, label int, words binary"), train)
 
