@@ -769,3 +769,134 @@ def conformance_counts(spark, sf_dir):
 def source_type_inventory(spark, sf_dir):
     texts = D.read(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("string").alias("bucket"), F.concat(F.lit("x sourcetype::"), "event_type", F.lit(" y")).alias("value"))
     return logs.source_inventory(texts, "value", "bucket", keep=3)
+
+
+# Raw records to events.
+
+
+@register("SELECT event_id, epoch_ms(date_trunc('second', ts)) AS millis FROM events")
+def iso_time_parse(spark, sf_dir):
+    text = F.when(F.col("event_id") >= 0, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return D.read(spark, sf_dir, "events").select("event_id", N.iso_millis(text).alias("millis"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN epoch_ms(date_trunc('second', ts)) END AS millis FROM events")
+def access_time_parse(spark, sf_dir):
+    text = F.when(F.col("event_id") % 5 == 0, F.lit("yesterday")).otherwise(F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss '+0000'"))
+    return D.read(spark, sf_dir, "events").select("event_id", N.access_log_millis(text).alias("millis"))
+
+
+@register("SELECT CASE l_linenumber % 4 WHEN 0 THEN 'ip' WHEN 1 THEN 'name' WHEN 2 THEN 'ip' ELSE 'instance' END AS kind, count(*) AS n FROM lineitem GROUP BY 1")
+def address_kinds(spark, sf_dir):
+    supp = F.col("l_suppkey").cast("string")
+    text = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("10.0.0."), supp)).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("svc"), supp, F.lit(".amazonaws.com"))).when(
+        F.col("l_linenumber") % 4 == 2, F.concat(F.lit("fe80::"), supp)
+    ).otherwise(F.concat(F.lit("i-"), F.lpad(F.lower(F.hex("l_suppkey")), 8, "0")))
+    # Suppliers beyond 999 would not make an address of three digits.
+    kind = F.when(X.is_ip(F.regexp_replace(text, r"^(10\.0\.0\.)\d*?(\d{1,3})$", "$1$2")), "ip").when(X.is_instance_id(text), "instance").otherwise("name")
+    return D.read(spark, sf_dir, "lineitem").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, text = F.col, lambda x: x.cast("string")
+    return D.read(spark, sf_dir, "lineitem").select(
+        F.lit("2").alias("version"), F.lit("1").alias("account_id"), F.concat(F.lit("eni-"), text(c("l_suppkey"))).alias("interface_id"), F.lit("10.0.0.1").alias("srcaddr"), F.lit("10.0.0.2").alias("dstaddr"),
+        F.when(c("l_linenumber") == 1, "-").otherwise(text(c("l_linenumber"))).alias("srcport"), F.lit("443").alias("dstport"), F.lit("6").alias("protocol"), text(c("l_quantity").cast("long")).alias("packets"),
+        text(F.round(c("l_extendedprice") * 100).cast("long")).alias("bytes"), F.when(c("l_linenumber") == 2, "0").otherwise(text(F.unix_seconds(c("l_shipdate").cast("timestamp")))).alias("start"),
+        text(F.unix_seconds(c("l_shipdate").cast("timestamp")) + 60).alias("end"), F.when(c("l_returnflag") == "R", "REJECT").otherwise("ACCEPT").alias("action"), F.lit("OK").alias("log_status"),
+    )
+
+
+@register("SELECT interface_uid, port, status_id, class_uid, type_uid, count(*) AS n, count(time) AS timed, CAST(sum(time) AS BIGINT) AS times, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT 'eni-' || l_suppkey AS interface_uid, CASE WHEN l_linenumber <> 1 THEN l_linenumber END AS port, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS status_id, 4001 AS class_uid, 400106 AS type_uid, CASE WHEN l_linenumber <> 2 THEN epoch_ms(l_shipdate) END AS time, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes FROM lineitem) GROUP BY ALL")
+def map_flow_events(spark, sf_dir):
+    out = N.map_flow(_flow_records(spark, sf_dir))
+    return out.groupBy("src_endpoint.interface_uid", "src_endpoint.port", "status_id", "class_uid", "type_uid").agg(F.count("*").alias("n"), F.count("time").alias("timed"), F.sum("time").alias("times"), F.sum("traffic.bytes").alias("bytes"))
+
+
+@register("""SELECT name, is_system, activity_id, status_id, http_method, path, code, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 's3-log-delivery' WHEN 1 THEN 'user' || (o_custkey % 5) ELSE NULL END AS name, o_orderkey % 3 = 0 AS is_system,
+  CASE o_orderkey % 2 WHEN 0 THEN 2 ELSE 1 END AS activity_id, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS status_id, CASE o_orderkey % 2 WHEN 0 THEN 'GET' ELSE 'PUT' END AS http_method, '/k' || (o_custkey % 3) AS path,
+  CASE WHEN o_orderstatus = 'F' THEN 403 ELSE 200 END AS code FROM orders) GROUP BY ALL""")
+def map_access_events(spark, sf_dir):
+    c, part, even = F.col, F.col("o_orderkey") % 3, F.col("o_orderkey") % 2 == 0
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    fields = {n: F.lit("-") for n in N.ACCESS_FIELDS} | {
+        "bucket": c("o_orderpriority"), "timestamp": F.date_format(c("o_orderdate").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss '+0000'"), "requester": F.when(part == 1, text("arn:aws:iam::1:user/user", c("o_custkey") % 5)).otherwise("ab12"),
+        "user_agent": F.when(part == 0, "aws-internal/3").otherwise("cli"), "operation": F.when(even, "REST.GET.OBJECT").otherwise("REST.PUT.OBJECT"), "http_status": F.when(c("o_orderstatus") == "F", "403").otherwise("200"),
+        "request_uri": F.concat(F.when(even, "GET").otherwise("PUT"), F.lit(" "), text("/k", c("o_custkey") % 3), F.lit(" HTTP/1.1")),
+    }
+    out = N.map_access(D.read(spark, sf_dir, "orders").select(*(x.alias(n) for n, x in fields.items())))
+    return out.groupBy(
+        F.col("actor.user.name").alias("name"), F.col("unmapped.is_system_actor").alias("is_system"), "activity_id", "status_id", F.col("http_request.http_method").alias("http_method"), F.col("http_request.url.path").alias("path"), F.col("api.response.code").alias("code")
+    ).agg(F.count("*").alias("n"))
+
+
+@register("""SELECT name, is_system, activity_id, status_id, resources, count(*) AS n FROM (SELECT CASE event_uid % 5 WHEN 0 THEN actor WHEN 1 THEN 'role' || (k % 3) WHEN 2 THEN 'AWSServiceRoleFor' || (k % 2) WHEN 3 THEN 'AWSService' ELSE 'web' END AS name,
+  event_uid % 5 IN (2, 3, 4) AS is_system, CASE WHEN operation IS NULL OR operation = '' THEN 0 """ + _CRUD + """ ELSE 99 END AS activity_id, CASE WHEN failed THEN 2 ELSE 1 END AS status_id, resource || ',r' || (k % 4) AS resources FROM ev) GROUP BY ALL""")
+def map_audit_events(spark, sf_dir):
+    part, k = F.col("event_uid") % 5, F.col("k").cast("string")
+    no = F.lit(None).cast("string")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    issuer = F.struct(F.when(part == 2, text("AWSServiceRoleFor", F.col("k") % 2)).alias("userName"), F.when(part == 1, text("arn:aws:iam::1:role/path/role", F.col("k") % 3)).alias("arn"))
+    who = F.struct(
+        F.when(part == 0, "IAMUser").when(part == 3, "AWSService").otherwise("AssumedRole").alias("type"), F.when(part == 0, F.col("actor")).alias("userName"), no.alias("principalId"),
+        F.when(part == 4, F.lit("arn:aws:sts::1:assumed-role/web/i-0123456789abcdef0")).otherwise(F.lit("arn:aws:sts::1:assumed-role/x/session")).alias("arn"), no.alias("accountId"), no.alias("accessKeyId"),
+        F.struct(issuer.alias("sessionIssuer")).alias("sessionContext"),
+    )
+    request = F.to_json(F.struct(F.col("resource").alias("bucketName"), text("arn:aws:iam::1:role/r", F.col("k") % 4).alias("roleArn"), F.struct(F.array(F.struct(F.col("resource").alias("resourceId"))).alias("items")).alias("resourcesSet")))
+    names = [x.split()[0] for x in N.AUDIT_SCHEMA.split("userIdentity")[0].split(", ") if x.strip()]
+    fields = {n: no for n in names} | {"eventTime": F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "eventName": F.col("operation"), "errorCode": F.when(F.col("failed"), F.lit("Denied")), "userIdentity": who, "requestParameters": request, "responseElements": no, "additionalEventData": no}
+    out = N.map_audit(D.api_events(spark, sf_dir).select(*(x.alias(n) for n, x in fields.items())))
+    return out.groupBy(
+        F.col("actor.user.name").alias("name"), F.col("unmapped.is_system_actor").alias("is_system"), "activity_id", "status_id", F.array_join("resources.name", ",").alias("resources")
+    ).agg(F.count("*").alias("n"))
+
+
+@register("SELECT CASE WHEN event_uid % 2 = 0 THEN 'sess' || (k % 9) ELSE actor END AS identity_id, CASE WHEN k % 7 = 0 THEN 'GetObject' ELSE operation END AS event_name, failed AS is_failed, count(*) AS n FROM ev GROUP BY ALL")
+def session_normalize(spark, sf_dir):
+    part = F.col("event_uid") % 2 == 0
+    rows = D.api_events(spark, sf_dir).select(
+        F.lit(6003).alias("class_uid"), F.unix_millis("event_time").alias("time"), F.when(F.col("failed"), 2).otherwise(1).alias("status_id"),
+        F.struct(F.struct(F.col("actor").alias("name"), F.when(part, F.concat(F.lit("arn:aws:sts::1:assumed-role/r/sess"), (F.col("k") % 9).cast("string"))).otherwise(F.lit("AKIA")).alias("uid_alt"), F.lit(None).cast("string").alias("uid")).alias("user")).alias("actor"),
+        F.struct(F.when(F.col("k") % 7 == 0, "REST.GET.OBJECT").otherwise(F.col("operation")).alias("operation")).alias("api"),
+    )
+    return N.normalize_sessions(rows).groupBy("identity_id", "event_name", "is_failed").agg(F.count("*").alias("n"))
+
+
+@register("""SELECT entity_key, destination, count(*) AS n, CAST(sum(bytes) AS DOUBLE) AS bytes_out, min(epoch_us(event_time)) AS first_seen FROM (SELECT *, CASE WHEN event_uid % 2 = 0 THEN 'principal:77:n' || (suppkey % 7) ELSE 'interface:77:' || eni END AS entity_key,
+  CASE WHEN dst_port = 1 THEN dst_ip ELSE dst_ip || ':' || dst_port END AS destination FROM fl) GROUP BY ALL""")
+def exfil_normalize(spark, sf_dir):
+    c = F.col
+    rows = D.flows(spark, sf_dir).select(
+        F.when(c("dst_port") % 2 == 0, F.unix_millis("event_time")).otherwise(F.unix_seconds("event_time")).alias("time"), F.struct(F.struct(F.lit("77").alias("uid")).alias("account")).alias("cloud"),
+        F.struct(F.struct(F.when(c("event_uid") % 2 == 0, F.concat(F.lit("n"), (c("suppkey") % 7).cast("string"))).alias("name"), F.lit(None).cast("string").alias("uid")).alias("user")).alias("actor"),
+        F.struct(c("src_ip").alias("ip"), c("eni").alias("interface_uid")).alias("src_endpoint"), F.struct(c("dst_ip").alias("ip"), F.when(c("dst_port") > 1, c("dst_port")).alias("port")).alias("dst_endpoint"),
+        F.struct(c("bytes")).alias("traffic"),
+    )
+    return N.exfil_events(rows).groupBy("entity_key", "destination").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("bytes_out"), F.min(X.epoch_us("event_time")).alias("first_seen"))
+
+
+@register("SELECT operation, regexp_matches(lower(operation), 'getobject|listbucket|get.object|get.bucket|rest.get') AS store_event, service LIKE '%s3%' AND regexp_matches(lower(operation), 'getobject|get.object|download|read') AS store_read, count(*) AS n FROM (SELECT operation, CASE WHEN k % 2 = 0 THEN 's3.amazonaws.com' ELSE 'x' END AS service FROM ev WHERE k % 2 = 1 OR regexp_matches(lower(operation), 'getobject|listbucket|get.object|get.bucket|rest.get')) GROUP BY ALL")
+def store_predicates(spark, sf_dir):
+    rows = D.api_events(spark, sf_dir).select(F.col("operation").alias("api_operation"), "k", F.when(F.col("k") % 2 == 0, "s3.amazonaws.com").otherwise("x").alias("api_service"), F.lit("flow").alias("log_source"))
+    kept = rows.where((F.col("k") % 2 == 1) | F.lower("api_operation").rlike(E.STORE_PATTERN))
+    return kept.groupBy(F.col("api_operation").alias("operation"), E.is_store_event().alias("store_event"), E.is_store_read().alias("store_read")).agg(F.count("*").alias("n"))
+
+
+@register("SELECT label, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'cloudtrail' WHEN 'click' THEN 'vpc_flow' WHEN 'error' THEN 's3_access' WHEN 'signup' THEN 's3' ELSE 'other_' || (event_id % 3) END AS label FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20') GROUP BY label")
+def sources_by_day(spark, sf_dir):
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "CloudTrail_x.jsonl").when(kind == "click", "vpc_a_flow.jsonl").when(kind == "error", "s3_access.jsonl").when(kind == "signup", "s3_x.json").otherwise(F.concat(F.lit("other_"), (F.col("event_id") % 3).cast("string"), F.lit(".csv")))
+    path = F.concat(F.lit("/in/incident/"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"), F.lit("/"), name)
+    rows = D.read(spark, sf_dir, "events").select(path.alias("p")).select(logs.source_label(F.col("p")).alias("label"), logs.day_of(F.col("p")).alias("day"))
+    return logs.days_between(rows, "2024-01-05", "2024-01-20").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@register("SELECT bucket, operation, http_status, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT 'b' || (o_custkey % 4) AS bucket, 'REST.GET.OBJECT' AS operation, CASE WHEN o_orderstatus = 'F' THEN '403' ELSE '200' END AS http_status, CAST(round(o_totalprice * 100) AS BIGINT) AS b FROM orders) GROUP BY ALL")
+def access_line_parse(spark, sf_dir):
+    c = F.col
+    line = F.concat(
+        F.lit("log aws:s3:accesslogs " + "ab" * 32 + " b"), (c("o_custkey") % 4).cast("string"), F.lit(" [06/Feb/2019:00:00:38 +0000] 192.0.2.3 arn:aws:iam::1:user/u "), c("o_orderkey").cast("string"),
+        F.lit(' REST.GET.OBJECT k.txt "GET /k.txt HTTP/1.1" '), F.when(c("o_orderstatus") == "F", "403").otherwise("200"), F.lit(" - "), F.round(c("o_totalprice") * 100).cast("long").cast("string"), F.lit(' 10 5 4 "-" "agent x" v1 tail'),
+    )
+    rows = logs.access_lines(D.read(spark, sf_dir, "orders").select(line.alias("value")))
+    return rows.groupBy("bucket", "operation", "http_status").agg(F.count("*").alias("n"), F.sum(c("bytes_sent").cast("long")).alias("bytes"))
