@@ -46,20 +46,28 @@ def _before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+class Vocabulary:
+    """Ids of words: 0 a text's start, 1 any unknown word, then the words seen at least LEAST times."""
+
+    def __init__(self, words: np.ndarray):
+        terms, seen = np.unique(words, return_counts=True)
+        self.known = terms[seen >= LEAST]
+        self.lookup, self.size = HashIndex(self.known), len(self.known) + 2
+
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        return np.maximum(self.lookup.find(words) + 2, 1).astype(np.int32)
+
+
 class Counts:
-    """What both classes' texts are counted for. Ids: 0 a text's start, 1 any unknown word, then the known words."""
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, toxic: np.ndarray):
-        terms, at, seen = np.unique(words, return_inverse=True, return_counts=True)
-        known = seen >= LEAST
-        number = np.where(known, np.cumsum(known) + 1, 1)
-        self.lookup, size = HashIndex(terms[known]), int(known.sum()) + 2
-        ids = number[at].astype(np.int64)
-        side = np.repeat(toxic.astype(np.int64), np.diff(first))
+    """What both classes' texts are counted for."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, toxic: np.ndarray, size: int):
+        side = np.repeat(toxic, np.diff(first))
         pair, self.count = np.unique((_before(ids, first) * size + ids) * 2 + side, return_counts=True)
-        self.size, self.side, self.left, self.right, self.pair = size, pair % 2, pair // 2 // size, pair // 2 % size, pair // 2
+        self.size, self.side, self.pair = size, (pair % 2).astype(np.int8), pair // 2
+        right = self.pair % size
         #: Distinct left neighbours of each word, in each class and in both together.
-        self.types = np.stack([np.bincount(self.right[self.side == c], minlength=size) for c in (0, 1)]).astype(float)
+        self.types = np.stack([np.bincount(right[self.side == c], minlength=size) for c in (0, 1)]).astype(float)
         self.shared = np.bincount(np.unique(self.pair) % size, minlength=size).astype(float)
 
 
@@ -73,7 +81,7 @@ class Likelihoods:
 
     def __init__(self, counts: Counts, doubt: float, order: int):
         size, total = counts.size, max(1.0, counts.shared.sum())
-        self.lookup, self.size, self.order = counts.lookup, size, order
+        self.size, self.order = size, order
         kept = np.maximum(counts.shared - DISCOUNT, 0)
         base = kept / total + (1 - kept.sum() / total) / size
         word, back = np.empty((2, size)), np.ones((2, size))
@@ -99,10 +107,8 @@ class Likelihoods:
         self.pairs = HashIndex(mix(both[often].astype(U64) + U64(1)))
         self.bigrams = _doubted(np.log(like[1] / like[0])[often], seen[:, often], doubt).astype(np.float32)
 
-    def evidence(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def evidence(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The mean difference of log-likelihoods over the distinct bigrams of each row, 0 for a row without words."""
-        ids = self.lookup.find(words).astype(np.int64) + 2
-        ids[ids < 2] = 1
         pairs, _, first = sorted_sets(_before(ids, first) * self.size + ids, first)  # what a text repeats counts once
         out = self.words[pairs % self.size]
         if self.order == 2:
@@ -138,33 +144,41 @@ class ToxicityModel:
         half = np.zeros(len(texts), int)
         for c in (False, True):  # each half gets its share of both classes
             half[toxic == c] = np.arange(int((toxic == c).sum())) % 2
+        words, first = _joined(texts)
+        self.words = Vocabulary(words)
+        ids = self.words.ids(words)
+        del words
         halves = []
         for h in (0, 1):
-            mine, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-            halves.append((Counts(*_joined(texts, mine), toxic[mine]), other, _joined(texts, other)))
+            mine, other = half == h, np.flatnonzero(half != h)
+            halves.append((Counts(*_rows(ids, first, np.flatnonzero(mine)), toxic[mine], self.words.size), other, _rows(ids, first, other)))
         best = np.inf
         for order in ORDERS:
             for doubt in DOUBTS:
                 x = np.zeros(len(texts))
-                for counts, other, joined in halves:
-                    x[other] = Likelihoods(counts, doubt, order).evidence(*joined)
+                for counts, other, rows in halves:
+                    x[other] = Likelihoods(counts, doubt, order).evidence(*rows)
                 slope, intercept = _logistic(x, toxic.astype(float), weight)
                 p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30))), 1e-6, 1 - 1e-6)
                 loss = -(weight * np.where(toxic, np.log(p), np.log(1 - p))).mean()
                 if loss < best:
                     best, self.slope, self.intercept, chosen = loss, slope, intercept, (doubt, order)
         self.chosen = chosen
-        self.model = Likelihoods(Counts(*_joined(texts, np.arange(len(texts))), toxic), *chosen)
+        self.model = Likelihoods(Counts(ids, first, toxic, self.words.size), *chosen)
 
     def score(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.model is None:
             return np.full(len(first) - 1, self.rate)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.model.evidence(words, first) + self.intercept, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.model.evidence(self.words.ids(words), first) + self.intercept, -30, 30)))
+
+
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*texts, np.zeros(0, U64)]), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _joined(texts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [texts[i] for i in rows.tolist()]
-    return np.concatenate([*parts, np.zeros(0, U64)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+def _rows(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(first)[rows]
+    return np.concatenate([*(ids[first[r] : first[r + 1]] for r in rows.tolist()), ids[:0]]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS) -> ToxicityModel:
