@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import pickle
 import tempfile
@@ -50,17 +53,32 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def _release() -> None:
+    """Give freed memory back to the system: the C library keeps it in a worker process, which later tasks use again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(frame: DataFrame, function, schema: str) -> DataFrame:
     """`mapInArrow` for functions of this package, which executors need not have installed."""
     _ship(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        _release()
+
+    return frame.mapInArrow(run, schema)
 
 
 def train_in_task(rows: DataFrame, train):
     """`train(batches)` over a bounded sample, run by one task so that the driver holds the model alone."""
 
     def run(batches):
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(list(batches)))], pa.binary())})
+        model = pickle.dumps(train(list(batches)))
+        _release()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
     return pickle.loads(bytes(arrow_map(rows.repartition(1), run, "model binary").collect()[0].model))
 

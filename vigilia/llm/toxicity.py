@@ -27,7 +27,7 @@ DOUBTS = (1.0, 1.5, 2.0, 2.5)
 ORDERS = (1, 2)
 MARGIN = 0.7  # and by a factor of two, so that what toxic texts are about, or their language, is no evidence
 FLOOR = 0.02  # the most that one ordinary word counts against a text, so that a long quiet stretch hides nothing
-TRAIN_TEXTS = 8000
+TRAIN_TEXTS = 6000
 LEAST = 2  # words and bigrams seen less often in all are left to the shared counts
 
 
