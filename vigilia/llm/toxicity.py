@@ -182,11 +182,11 @@ def _rows(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS) -> ToxicityModel:
-    """Learn from at most `bound` labelled texts, up to half of them toxic, those of each class whose keys hash lowest. Rows without a key, a label or a text are passed over; of several labels of one key the greatest counts."""
+    """Learn from at most `bound` labelled texts, up to a quarter of them toxic, those of each class whose keys hash lowest. Rows without a key, a label or a text are passed over; of several labels of one key the greatest counts."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
     known = cut(known)
     sizes = {r.t: r["count"] for r in known.groupBy((F.col("_label") > 0).alias("t")).count().collect()}
-    toxic = min(bound // 2, sizes.get(True, 0))
+    toxic = min(bound // 4, sizes.get(True, 0))
     ordinary = min(bound - toxic, sizes.get(False, 0))
     shares = sizes.get(False, 0) / max(1, ordinary), sizes.get(True, 0) / max(1, toxic)
     chosen = lowest(known.where("_label > 0"), "_key", toxic).unionByName(lowest(known.where("_label <= 0"), "_key", ordinary))
