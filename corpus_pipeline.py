@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vigilia.llm.common import cut, table
 
 LEAST_LANGUAGE_SCORE = 0.3
+MEMO_WORDS = 150_000  # words whose ids a worker remembers; the workers serve the other stages too
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from vigilia.llm.packing import pack
 
-    return pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), memo_words=MEMO_WORDS)
 
 
 STAGES = [("language ID", language_id), ("toxicity", toxicity), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]

@@ -52,10 +52,10 @@ class WordEncoder:
     LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, end: str = "</w>"):
+    def __init__(self, path: str, most: int = MEMO_WORDS, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.closing[number] = token.endswith(end)
@@ -82,7 +82,7 @@ class WordEncoder:
                 split.append((chunk, stem.lower(), chunk[len(stem) :]))
             else:
                 others.append(chunk)
-        if len(self.words) > MEMO_WORDS:
+        if len(self.words) > self.most:
             self.words = {"": b""}
         self._learn_words(list({w for _, w, _ in split}.difference(self.words)))
         signs = list({t for _, _, t in split}.difference(self.words))
@@ -95,7 +95,7 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [text.replace("\n", " ").split(" ") for text in texts]
         if missing := set().union(*chunks).difference(self.memo):
-            if len(self.memo) > MEMO_WORDS:
+            if len(self.memo) > self.most:
                 self.memo = {"": b""}
                 missing = set().union(*chunks)
                 missing.discard("")
@@ -105,18 +105,18 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, most: int) -> WordEncoder:
     """One per worker process, so that what a task has learned serves the next."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of each piece of each document. A null text is empty: its piece is the end id alone."""
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, memo_words)
         for batch in batches:
             rows, parts = [], []
             for lo, hi, data, at in slices(batch, text):
@@ -215,15 +215,16 @@ def round_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, solved: lis
     return sorted(kept.items())
 
 
-def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, grid: int = GRID, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, grid: int = GRID, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece; sequence ids are gapless from 0.
 
-    Rows with equal keys are packed as documents of their own. An empty table
+    A worker remembers the ids of about `memo_words` words (some 300 bytes each);
+    fewer cost time, not results. Rows with equal keys are packed as documents of their own. An empty table
     gives no rows. Only the key and the text are read.
     """
     spark = docs.sparkSession
     made = cut(
-        pieces(docs, key, text, tokenizer, length, end_id)
+        pieces(docs, key, text, tokenizer, length, end_id, memo_words)
         .withColumn("_class", F.expr(f"int((length + {grid - 1}) div {grid})"))
         .withColumn("_salt", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     )
