@@ -12,14 +12,16 @@ and to the last text of the bucket, and each star's ray is verified by the
 exact Jaccard similarity of the sets of runs. Links are closed into classes,
 and buckets that hold texts of several classes are looked at again: small ones
 pair all texts across classes, large ones pair texts with drawn members of
-their largest class and of another, until a look finds no new link.
+their largest class and of another, for a few looks. What large buckets still
+hold in several classes goes through an exact join on the first runs of each
+text, rarest first, so that no pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilia.llm.common import cut
@@ -164,6 +166,36 @@ def _across(buckets: DataFrame, classes: DataFrame, look: int) -> DataFrame:
     return near.unionByName(_paired(far.select("id", "e.h"), "id", "h")).distinct()
 
 
+def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes among the texts of large buckets of several classes: all that can have the similarity, and others.
+
+    A prefix-filter join. Runs stand in one order for all texts: first those
+    that one class alone has, then the others by the number of their texts. A
+    pair that is similar enough has a run in common among the longer one's
+    first n - ceil(s n) + 1 and the shorter one's first n - ceil(2s / (1 + s) n) + 1.
+    A run of one class pairs nothing, so only the others are looked at.
+    """
+    named = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).where("x <> y").select("key")
+    wanted = cut(named.join(mixed, "key").select("id", "class").distinct())
+    if wanted.isEmpty():
+        return wanted.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    texts = sets.join(wanted, "id").select("id", "class", F.size("runs").alias("n"), "runs", F.xxhash64("runs").alias("u"))  # rows of a repeated key stay apart by u
+    runs = texts.select("id", "u", "class", "n", F.explode("runs").alias("run"))
+    shared = runs.groupBy("run").agg(F.count("*").alias("df"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "df")
+    turn = Window.partitionBy("id", "u").orderBy("df", "run")
+    whole = Window.partitionBy("id", "u")
+    placed = runs.join(shared, "run").withColumn("place", F.col("n") - F.count("*").over(whole) + F.row_number().over(turn))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
+    heads = cut(placed.where(F.col("place") <= first(similarity)).select("run", "id", "u", "class", "n", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short")))
+    lists = heads.groupBy("run").agg(F.ceil(F.count("*") / F.lit(SMALL_BUCKET)).cast("int").alias("salts"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "salts")
+    lists = heads.join(lists, "run")  # a run of many texts is dealt over several tasks
+    long = lists.select("run", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("l"), F.col("class").alias("_l"), F.col("n").alias("_n"))
+    short = lists.where("short").select("run", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("s"), F.col("class").alias("_s"), F.col("n").alias("_m"))
+    met = long.join(short, ["run", "salt"]).where("_l <> _s").where(F.col("_m") <= F.col("_n")).where(F.col("_m") >= similarity * F.col("_n"))
+    return _paired(met, "l", "s")
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, looks: int = 3) -> DataFrame:
     """(key, class_id) for every row: rows of one class hang together by links of similarity >= `similarity`.
 
@@ -192,6 +224,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SI
         if found.isEmpty():
             break
         links, tried = links.union(found), tried.union(pairs)
+    rest = cut(_rest(buckets, cut(components(links)), sets, similarity).join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(_verified(rest, sets, similarity))
     classes = components(links.union(copies))
     named = docs.select(F.col(key), F.col(key).cast("long").alias("id")).join(classes, "id", "left")
     return named.select(key, F.coalesce("class", "id").alias("class_id"))
