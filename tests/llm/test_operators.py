@@ -543,6 +543,19 @@ class TestNearDuplicates:
         want = self.brute(rows)
         assert len(set(want.values())) == 150 and got == want
 
+    def test_copies_with_a_line_repeated(self, spark):
+        from vigilia.llm.neardup import near_duplicates
+
+        r = random.Random(8)
+        own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+        rows = []  # 60 runs in common, 14 of the second alone, 10 of these 400 times: sets at 0.811
+        for _ in range(12):
+            page = own(64)
+            rows += [page, page + own(10) * 400]
+        rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+        got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+        assert got == {i: i - i % 2 for i in range(24)} == self.brute(rows)
+
     def test_sketch_estimates_probability_jaccard(self):
         from vigilia.llm.neardup import prob_minhash
 

@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is its runs of five words (lower case, punctuation dropped); a run that
-repeats weighs 1 + ln(count). Each run is a Poisson process of arrivals at rate
-its weight over all registers; a register keeps the run that arrives first, so
-two texts agree in a register with the probability Jaccard similarity of their
-weighted runs. Arrivals of a run grow in time, and it stops once it is later
+A text is its set of runs of five words (lower case, punctuation dropped). Each
+run is a Poisson process of arrivals at rate its weight over all registers; a
+register keeps the run that arrives first, so two texts agree in a register
+with the probability Jaccard similarity of their weighted runs. All runs weigh
+1, however often they repeat: the similarity is then that of the sets, by which
+links are verified. Arrivals of a run grow in time, and it stops once it is later
 than every register of its text: most runs of a long text draw one number.
 
 Registers are banded. Texts in one bucket are linked by stars, to the first
@@ -72,8 +73,8 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     """Add `bands` (one 64-bit key per band; none for texts without words) to (id, digest, text); the text is dropped."""
 
     def run(batch, data, at):
-        elements, counts, first = text_sets(data, at)
-        signature = prob_minhash(elements, 1 + np.log(counts), first, BANDS * ROWS).reshape(len(at) - 1, BANDS, ROWS)
+        elements, _, first = text_sets(data, at)
+        signature = prob_minhash(elements, np.ones(len(elements)), first, BANDS * ROWS).reshape(len(at) - 1, BANDS, ROWS)
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * GOLDEN, signature.shape[:2]).copy()
         for j in range(ROWS):
             keys = mix(keys ^ signature[:, :, j]) * GOLDEN
