@@ -427,6 +427,18 @@ class TestLanguageModel:
         got = score_corpus(docs, "doc_id", "text").where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
         assert got[0] > got[1]
 
+    def test_training_sees_every_text(self, spark):
+        from vigilia.llm.lm import score_corpus
+
+        # The first key as text holds 620,000 tokens; what the other texts alone teach is that "q" is followed by "z".
+        r = random.Random(2)
+        long = " ".join(r.choice("abcdqz") for _ in range(620_000))
+        docs = [(1, long), *((i, "q z " * 200) for i in range(2, 400))]
+        tests = [(i, t) for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0 for t in ["q z " * 50]]
+        assert zlib.crc32(b"1") % 10 and tests
+        got = score_corpus(spark.createDataFrame(docs + tests, "doc_id long, text string").repartition(4), "doc_id", "text").where("doc_id >= 1000 AND held_out").collect()
+        assert len(got) == len(tests) and all(r.score / r.n_tokens > -0.4 for r in got)
+
     def test_odd_rows(self, spark):
         from vigilia.llm.lm import score_corpus
 
