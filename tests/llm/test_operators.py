@@ -480,6 +480,24 @@ class TestDecontamination:
         assert {r.doc_id for r in drop_contaminated(frame, bench, "doc_id", "text").collect()} == {2, 3, 4, 5, None}
         assert contaminated(frame, bench.limit(0), "doc_id", "text").count() == 0 and contaminated(frame.limit(0), bench, "doc_id", "text").count() == 0
 
+    def test_short_closing_sentences(self, spark):
+        from vigilia.llm.decontaminate import contaminated
+
+        body = "A farmer keeps nine red hens and four brown cows in one narrow barn by the river. How many legs do all of these animals have together?"
+        items = [f"{body} It is thirty four.", "Name the tall grey tower on the hill above our town. Ask whom you like, old or young. Old Saint Martin tower.", f"Which planet {' '.join(f'p{i}' for i in range(30))}? Mars."]
+        pad = random_texts(7, 2)
+        half = "Name the tall grey tower on the hill above our town."
+        docs = [
+            (1, f"{pad[0]} {items[0].replace('four.', 'five.')} {pad[1]}"),  # one word changed
+            (2, f"{pad[0]} {body} {pad[1]}"),  # less the closing sentence
+            (3, f"{pad[0]} {items[1].replace('Saint Martin', 'SaintMartin')} {pad[1]}"),  # two words joined
+            (4, f"{pad[0]} {items[2].replace('Mars.', '')} {pad[1]}"),
+            (5, f"{pad[0]} {half} {pad[1]} Old Saint Martin"),  # a part of the question, and the answer far off
+        ]
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, "doc_id", "text").collect()}
+        assert got == {(1, 0), (2, 0), (3, 1), (4, 2)}
+
     def test_parts(self, spark, monkeypatch):
         from vigilia.llm import decontaminate as d
 

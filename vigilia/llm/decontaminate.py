@@ -12,7 +12,10 @@ threshold is missed.
 
 What is retrieved is verified on the whole document: the runs of words of the
 item's question (all sentences but the last) and of its answer (the last) must
-each be found there for the most part.
+each be found there for the most part. An answer of few words has few runs, of
+which one changed word takes most; its words are also looked for where the found
+runs of the question let expect them. An item whose runs are nearly all found,
+those of question and answer together, is held whatever its answer.
 
 The index goes to the executors in parts of at most PART items, each with its
 own statistics, and every document meets every part.
@@ -34,6 +37,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.5
 RUN = 5
+NEARLY = 0.8  # of a whole item's runs
+SHORT = 2 * RUN  # answers of fewer words count by words too
 BLOCK = 4
 PART = 512
 SEGMENT = 256  # longer items are indexed in segments of so many words
@@ -67,11 +72,11 @@ class ItemIndex:
             words = words_of(text or "")
             if not len(words):
                 continue
-            question, answer = (_runs(words_of(p)) for p in split_item(text))
+            question, answer = (words_of(p) for p in split_item(text))
             for at in range(0, len(words), SEGMENT):
                 entries.append(words[at : at + SEGMENT])
                 self.owner.append(len(self.parts))
-            self.parts.append((item, question, answer))
+            self.parts.append((item, question, answer, words))
         self.width = max((len(e) for e in entries), default=1)
         rows = sorted(range(len(entries)), key=lambda i: (len(entries[i]), i))  # items of like length share a block
         entries, self.owner = [entries[i] for i in rows], np.array([self.owner[i] for i in rows], int)
@@ -140,13 +145,33 @@ class ItemIndex:
                     best[pair] = max(best.get(pair, 0.0), float(scores[k]))
         return [(r, i, s) for (r, i), s in sorted(best.items())]
 
-    def verify(self, words: np.ndarray, item: int) -> tuple[float, float]:
-        """The shares of the item's question and answer runs that a document's words have."""
-        out = []
-        for k, runs in self.parts[item][1:]:
-            have = shingle_hashes(words, np.array([0, len(words)]), k)[0] if k else runs
-            out.append(float(np.isin(runs, have).mean()) if k else 1.0)
-        return out[0], out[1]
+    def verify(self, words: np.ndarray, item: int) -> tuple[float, float, float]:
+        """The shares of the item's question, answer and whole that a document's words have."""
+        _, question, answer, whole = self.parts[item]
+        shares = [_share(words, p) for p in (question, answer, whole)]
+        if 0 < len(answer) < SHORT and shares[1] < 1:
+            shares[1] = max(shares[1], _near(words, question, answer))
+        return tuple(shares)
+
+
+def _share(words: np.ndarray, part: np.ndarray) -> float:
+    k, runs = _runs(part)
+    return float(np.isin(runs, shingle_hashes(words, np.array([0, len(words)]), k)[0]).mean()) if k else 1.0
+
+
+def _near(words: np.ndarray, question: np.ndarray, answer: np.ndarray) -> float:
+    """The greatest share of the answer's words within RUN words of where a run of the question lets expect the answer."""
+    k = min(RUN, len(question))
+    if not k or len(words) < k:
+        return 0.0
+    ours = shingle_hashes(question, np.array([0, len(question)]), k)[0]
+    theirs = shingle_hashes(words, np.array([0, len(words)]), k)[0]
+    order = np.argsort(ours, kind="stable")
+    at = np.searchsorted(ours[order], theirs).clip(0, len(ours) - 1)
+    place = np.flatnonzero(ours[order][at] == theirs)
+    wanted = np.unique(answer)
+    starts = np.unique(place - order[at[place]] + len(question)).tolist()
+    return max((float(np.isin(wanted, words[max(0, e - RUN) : max(0, e + len(answer) + RUN)]).mean()) for e in starts), default=0.0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -176,8 +201,8 @@ def _search(index, key: str, item_key: str, threshold: float, overlap: float):
         words = word_hashes(data, starts, ends)
         rows, names, values = [], [], []
         for row, item, score in items.passages(words, first, threshold):
-            question, answer = items.verify(words[first[row] : first[row + 1]], item)
-            if question >= overlap and answer >= overlap:
+            question, answer, whole = items.verify(words[first[row] : first[row + 1]], item)
+            if (question >= overlap and answer >= overlap) or whole >= max(NEARLY, overlap):
                 rows.append(row)
                 names.append(items.parts[item][0])
                 values.append((round(score, 6), question, answer))
