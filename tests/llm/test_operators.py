@@ -203,6 +203,46 @@ class TestPacking:
         total = sum(r.length for r in rows)
         assert len(sequences) * 1024 < 1.12 * total
 
+    def test_ids_of_odd_texts(self, monkeypatch):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        from vigilia.llm import packing
+        from vigilia.llm.textbytes import text_buffers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+        tokenizer, r = Tokenizer.from_file(path), random.Random(4)
+        signs = "abXY 12'|<>#é É×\n\t中😀ßñ́-_.,!  "
+        texts = ["<|endoftext|>a <|startoftext|>", "a\tb\r\nc\x0bd\x0ce\x1ff\x00g", "you're 's 'lL don’t", "ﬁ Ⅷ ½ İ ſ K", "", "'", *("".join(r.choice(signs) for _ in range(r.randint(0, 50))) for _ in range(500))]
+
+        def same(encoder):
+            for at in range(0, len(texts), 40):
+                ids, first = encoder.encode(*text_buffers(pa.array(texts[at : at + 40])))
+                for i, text in enumerate(texts[at : at + 40]):
+                    assert ids[first[i] : first[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+        same(packing.WordEncoder(path, 300))  # emptied again and again
+        hashes = packing.word_hashes
+        monkeypatch.setattr(packing, "word_hashes", lambda *a: hashes(*a) % np.uint64(64) + np.uint64(1))  # nearly all hashes are shared
+        same(packing.WordEncoder(path))
+
+    def test_inverse_without_a_library(self):
+        from vigilia.llm.packing import _inverted
+
+        matrix = np.random.default_rng(2).integers(0, 5, (40, 40)) + np.eye(40)
+        assert np.allclose(_inverted(matrix) @ matrix, np.eye(40))
+
+    def test_hot_rows_and_clashing_names(self, spark, monkeypatch):
+        import public_tokenizers
+
+        from vigilia.llm import packing
+
+        monkeypatch.setattr(packing, "RANKED_ROWS", 10)
+        docs = spark.createDataFrame([(None if i % 3 else "k", "the same words", i) for i in range(200)], "_key string, _text string, length int")
+        got = packing.pack(docs, "_key", "_text", public_tokenizers.path("word_bpe_49k.json"), length=64, grid=4).collect()
+        assert len(got) == 200 and len({(r.sequence_id, r.offset) for r in got}) == 200 and {r.length for r in got} == {4}
+        assert len({r.sequence_id for r in got}) == math.ceil(200 / 16) == max(r.sequence_id for r in got) + 1
+
     def test_column_generation_meets_the_bound(self):
         from vigilia.llm.packing import round_patterns, solve_patterns
 

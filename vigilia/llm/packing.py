@@ -13,7 +13,6 @@ however many documents there are.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,34 +23,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vigilia.llm.common import arrow_map, cut
-from vigilia.llm.textbytes import slices
+from vigilia.llm.textbytes import SPACE, U64, HashIndex, folded, mix, slices, word_bounds, word_hashes
 
 SEQUENCE = 4096
 GRID = 16
 END_ID = 2
 MAX_COLUMNS = 3000
-SALTS = 64
-MEMO_WORDS = 600_000
+GAP = 1e-4  # the linear program ends once it is within this share of its optimum
+RANKED_ROWS = 100_000  # pieces of a class that are ranked in one group; a class has as many groups as it needs
+MEMO_WORDS = 1_000_000
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
+#: Kinds of bytes: white space, letters, digits, signs, and all others, which make their whole chunk odd.
+BLANK, LETTER, DIGIT, SIGN, OTHER, ODD = range(6)
+_KIND = np.full(256, OTHER, np.uint8)
+for _i in range(33, 127):
+    _KIND[_i] = LETTER if chr(_i).isalpha() else DIGIT if chr(_i).isdigit() else SIGN
+_KIND[SPACE] = BLANK
+_KIND[[ord("'"), ord("|")]] = OTHER  # the apostrophe may join the letters after it; the bar stands in special tokens
+
+
+def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, odd, first): what the tokenizer encodes apart from its neighbours, in order, and each row's first.
+
+    A unit is a run of letters (ASCII or Latin-1), a digit or a run of signs, in
+    lower case; a chunk between blanks that holds any other byte is one unit as
+    it stands, and odd.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    text = folded(data)
+    if (kind == OTHER).any():
+        starts, ends, _ = word_bounds(data, at, SPACE)
+        others = np.concatenate([[0], np.cumsum(kind == OTHER)])
+        odd = others[ends] > others[starts]
+        border = np.zeros(n + 1, np.int8)
+        border[starts[odd]] += 1
+        border[ends[odd]] -= 1
+        inside = np.cumsum(border[:n], dtype=np.int8) > 0
+        kind[inside] = ODD
+        text[inside] = data[inside]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    edge[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    edges = np.flatnonzero(edge)
+    starts, ends = edges[:-1], edges[1:]
+    some = kind[starts] != BLANK
+    starts, ends = starts[some], ends[some]
+    return text, starts, ends, kind[starts] == ODD, np.searchsorted(starts, at)
+
 
 class WordEncoder:
-    """The ids of whole texts, remembered per chunk between blanks.
+    """The ids of whole texts, remembered per unit of text in tables of numbers.
 
     Exact for tokenizers that drop white space, put letters, digits and other
     signs into parts of their own, lower letters one by one and mark the last
-    token of a part: a text's ids are those of its chunks between spaces and
-    line feeds, and those of a word and of signs after it stand apart. New
-    words, letters only, go to the tokenizer many at a time as one text, which
-    is told apart again at the marks. Other chunks go to it as they are. The
-    memory is emptied when it is full.
+    token of a part: a text's ids are then those of its units. Units are found
+    by a 64-bit hash and told apart by their length and first eight bytes too.
+    New ones go to the tokenizer many at a time as one text, which is told apart
+    again at the marks; odd ones go to it as they are. The tables are emptied
+    when they are full.
     """
 
-    #: Words that are told apart, and signs which may follow them; the apostrophe is not among them, as it may join the letters after it.
-    LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
     def __init__(self, path: str, most: int = MEMO_WORDS, end: str = "</w>"):
         from tokenizers import Tokenizer
 
@@ -59,49 +97,77 @@ class WordEncoder:
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.closing[number] = token.endswith(end)
-        self.memo: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.closing[ids]) + 1
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.checks = np.zeros(0, U64), np.zeros(0, U64)
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.old, self.new, self.border = HashIndex(self.keys), HashIndex(self.keys), 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        place = self.old.find(keys).astype(np.int64)
+        left = np.flatnonzero(place < 0)
+        got = self.new.find(keys[left])
+        place[left] = np.where(got >= 0, got + self.border, -1)
+        return place
+
+    def _encoded(self, words: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of which the odd ones stand last, one after another, and how many each has."""
+        ids, count, plain = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], len(words) - int(odd.sum())
+        for at in range(0, plain, 2048):
+            part = words[at : min(at + 2048, plain)]
+            got = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.closing[got]) + 1
             if len(stops) != len(part):
                 raise ValueError("the tokenizer does not mark the ends of words")
-            raw, a = ids.tobytes(), 0
-            for word, b in zip(part, stops.tolist()):
-                self.words[word] = raw[4 * a : 4 * b]
-                a = b
-
-    def _learn(self, chunks: set[str]) -> None:
-        split, others = [], []
-        for chunk in chunks:
-            stem = chunk.rstrip(self.SIGNS)
-            if self.LATIN.fullmatch(stem):
-                split.append((chunk, stem.lower(), chunk[len(stem) :]))
-            else:
-                others.append(chunk)
-        if len(self.words) > self.most:
-            self.words = {"": b""}
-        self._learn_words(list({w for _, w, _ in split}.difference(self.words)))
-        signs = list({t for _, _, t in split}.difference(self.words))
-        for texts, memo in ((signs, self.words), (others, self.memo)):
-            for text, code in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                memo[text] = np.array(code.ids, "<u4").tobytes()
-        for chunk, word, tail in split:
-            self.memo[chunk] = self.words[word] + self.words[tail]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [text.replace("\n", " ").split(" ") for text in texts]
-        if missing := set().union(*chunks).difference(self.memo):
-            if len(self.memo) > self.most:
-                self.memo = {"": b""}
-                missing = set().union(*chunks)
-                missing.discard("")
-            self._learn(missing)
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in chunks]
+            ids.append(got)
+            count.append(np.diff(stops, prepend=0))
+        for code in self.tokenizer.encode_batch(words[plain:], add_special_tokens=False):
+            ids.append(np.array(code.ids, np.uint32))
+            count.append(np.array([len(code.ids)]))
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str], odd: np.ndarray) -> None:
+        ids, count = self._encoded(words, odd)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+        self.keys, self.checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
+        if len(self.keys) - self.border > max(4096, self.border // 4):
+            self.border, self.old = len(self.keys), HashIndex(self.keys)
+        self.new = HashIndex(self.keys[self.border :])
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, and each row's first (one more than rows)."""
+        if len(data) < 2:
+            data = np.concatenate([data, np.full(2, 32, np.uint8)])  # blanks beyond the last row
+        text, starts, ends, odd, first = units(data, at)
+        keys = word_hashes(text, starts, ends)
+        keys[odd] = mix(keys[odd])
+        size = ends - starts
+        eight = np.ndarray(len(text), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))[starts]
+        eight &= (U64(1) << (U64(8) * np.minimum(size, 7).astype(U64))) - U64(1) | np.where(size > 7, U64(0xFF << 56), U64(0))
+        checks = eight * U64(31) + size.astype(U64)
+        if len(self.keys) > self.most:
+            self._empty()
+        place = self._find(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            fresh, which = np.unique(keys[missing], return_index=True)
+            last = np.argsort(odd[missing[which]], kind="stable")
+            fresh, which = fresh[last], missing[which][last]
+            raw = text.tobytes()
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+            self._learn(fresh, checks[which], words, odd[which])
+            place[missing] = self._find(keys[missing])
+        begin, count, ids = self.begin[place], self.count[place], self.ids
+        clash = np.flatnonzero(self.checks[place] != checks)
+        if len(clash):  # units of equal hashes
+            clash, raw = clash[np.argsort(odd[clash], kind="stable")], text.tobytes()
+            got, count[clash] = self._encoded([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in clash.tolist()], odd[clash])
+            begin[clash] = len(ids) + np.cumsum(count[clash]) - count[clash]
+            ids = np.concatenate([ids, got])
+        stop = np.concatenate([[0], np.cumsum(count)])
+        return ids[np.repeat(begin - stop[:-1], count) + np.arange(stop[-1])], stop[first]
 
 
 @functools.lru_cache(maxsize=1)
@@ -111,30 +177,30 @@ def _encoder(path: str, most: int) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens) of each piece of each document. A null text is empty: its piece is the end id alone."""
+    """(_key, start, length, ids_crc32, doc_tokens) of each piece of each document. A null text is empty: its piece is the end id alone."""
     kind = docs.schema[key].dataType.simpleString()
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encoder = _encoder(tokenizer, memo_words)
         for batch in batches:
             rows, parts = [], []
-            for lo, hi, data, at in slices(batch, text):
-                raw, bounds = data.tobytes(), at.tolist()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
-                for row, ids in zip(range(lo, hi), encoder.encode_all(texts)):
-                    ids = np.concatenate([ids, end])
-                    for start in range(0, len(ids), length):
-                        part = ids[start : start + length]
+            for lo, hi, data, at in slices(batch, "_text"):
+                ids, first = encoder.encode(data, at)
+                raw, bounds = ids.astype("<u4", copy=False).tobytes(), first.tolist()
+                for row, a, b in zip(range(lo, hi), bounds[:-1], bounds[1:]):
+                    whole = raw[4 * a : 4 * b] + end
+                    for start in range(0, b - a + 1, length):
+                        part = whole[4 * start : 4 * (start + length)]
                         rows.append(row)
-                        parts.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+                        parts.append((start, len(part) // 4, zlib.crc32(part), b - a + 1))
             if rows:
                 columns = list(zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns)], names=[key, "start", "length", "ids_crc32", "doc_tokens"]
+                    [batch.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns)], names=["_key", "start", "length", "ids_crc32", "doc_tokens"]
                 )
 
-    return arrow_map(docs.select(key, text), run, f"`{key}` {kind}, {PIECES}")
+    return arrow_map(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), run, f"_key {kind}, {PIECES}")
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -158,33 +224,48 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), taken
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = MAX_COLUMNS) -> list[tuple[np.ndarray, float]]:
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. No call of a linear algebra library, whose threads stall beside a busy JVM."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for i in range(m):
+        k = i + int(np.argmax(np.abs(work[i:, i])))
+        work[[i, k]] = work[[k, i]]
+        row = work[i] / work[i, i]
+        work -= work[:, i : i + 1] * row
+        work[i] = row
+    return work[:, m:]
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = MAX_COLUMNS, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each: minimise their number, covering the demand.
 
     The first basis has one pattern per class, filled with that class alone.
     `inverse` is the basis' inverse, updated by each pivot; dual prices are the
-    inverse's column sums as every pattern costs one.
+    inverse's column sums as every pattern costs one. The number of patterns
+    over the best price is a lower bound, so it ends within `gap` of the optimum.
     """
     m = len(sizes)
     basis = [np.eye(m, dtype=int)[i] * (room // sizes[i]) for i in range(m)]
     inverse = np.diag([1 / (room // s) for s in sizes]).astype(float)
-    amount = inverse @ demand
+    times = lambda vector: (inverse * vector).sum(axis=1)
+    amount = times(demand)
     for turn in range(most):
         value, pattern = knapsack(inverse.sum(axis=0), sizes, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
-        step = inverse @ pattern
+        step = times(pattern)
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(np.argmin(ratio))
         if not np.isfinite(ratio[leave]):
             break
         row = inverse[leave] / step[leave]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[leave] = row
         basis[leave] = pattern
         if turn % 100 == 99:
-            inverse = np.linalg.inv(np.stack(basis, axis=1).astype(float))
-        amount = np.maximum(inverse @ demand, 0)
+            inverse = _inverted(np.stack(basis, axis=1))
+        amount = np.maximum(times(demand), 0)
     return list(zip(basis, amount.tolist()))
 
 
@@ -218,22 +299,15 @@ def round_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, solved: lis
 def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, grid: int = GRID, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece; sequence ids are gapless from 0.
 
-    A worker remembers the ids of about `memo_words` words (some 300 bytes each);
-    fewer cost time, not results. Rows with equal keys are packed as documents of their own. An empty table
-    gives no rows. Only the key and the text are read.
+    A worker remembers the ids of about `memo_words` words (some 100 bytes each);
+    fewer cost time, not results. Null and empty texts are the end id alone. Rows
+    that repeat, or have equal or null keys, are packed as documents of their
+    own. An empty table gives no rows. Only the key and the text are read.
     """
     spark = docs.sparkSession
-    made = cut(
-        pieces(docs, key, text, tokenizer, length, end_id, memo_words)
-        .withColumn("_class", F.expr(f"int((length + {grid - 1}) div {grid})"))
-        .withColumn("_salt", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    )
-    counts = made.groupBy("_class", "_salt").count().collect()  # classes times salts at most
-    demand: dict[int, int] = defaultdict(int)
-    base: list[tuple[int, int, int]] = []
-    for r in sorted(counts, key=lambda r: (r["_class"], r["_salt"])):
-        base.append((r["_class"], r["_salt"], demand[r["_class"]]))
-        demand[r["_class"]] += r["count"]
+    made = pieces(docs, key, text, tokenizer, length, end_id, memo_words)
+    made = cut(made.withColumns({"_class": F.expr(f"int((length + {grid - 1}) div {grid})"), "_row": F.monotonically_increasing_id()}))  # written once, so _row stays as it is
+    demand = {r["_class"]: r["count"] for r in made.groupBy("_class").count().collect()}  # a row a class
     sizes = np.array(sorted(demand), int)
     wanted = np.array([demand[s] for s in sizes.tolist()], np.int64)
     room = length // grid
@@ -246,11 +320,14 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQ
             ranks[i] += n * times
         sequence += times
     served = spark.sparkContext.broadcast({c: np.array(rs, np.int64).T for c, rs in runs.items()})  # as long as patterns
-    bases = spark.createDataFrame(base, "_class int, _salt int, _base long")
+    salts = F.create_map(*(F.lit(int(x)) for c, n in demand.items() for x in (c, -(-n // RANKED_ROWS)))) if demand else F.create_map(F.lit(0), F.lit(1))
+    salted = made.withColumn("_salt", F.pmod(F.xxhash64("_key", "start", "ids_crc32", "_row"), F.element_at(salts, F.col("_class"))).cast("int"))
+    counts = salted.groupBy("_class", "_salt").agg(F.count("*").alias("_n"))
+    up_to = W.partitionBy("_class").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("_class", "_salt", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))  # a row for RANKED_ROWS pieces
     ranked = (
-        made.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_salt").orderBy(key, "start", "ids_crc32")) - 1)
-        .join(F.broadcast(bases), ["_class", "_salt"])  # classes times salts at most
-        .withColumn("_rank", F.col("_rank") + F.col("_base"))
+        salted.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_salt").orderBy("_key", "start", "ids_crc32", "_row")) - 1)
+        .join(bases, ["_class", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     )
     kind = docs.schema[key].dataType.simpleString()
 
@@ -264,9 +341,9 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQ
                 begin, each, seq = served.value[int(c)]
                 k = np.searchsorted(begin, rank[rows], "right") - 1
                 out[rows] = seq[k] + (rank[rows] - begin[k]) // each[k]
-            keep = [key, "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank"]
+            keep = ["_key", "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in keep), pa.array(out)], names=[*keep, "sequence_id"])
 
-    placed = arrow_map(ranked, place, f"`{key}` {kind}, {PIECES}, _class int, _rank long, sequence_id long")
+    placed = arrow_map(ranked, place, f"_key {kind}, {PIECES}, _class int, _rank long, sequence_id long")
     before = W.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(W.unboundedPreceding, -1)
-    return placed.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    return placed.select(F.col("_key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
