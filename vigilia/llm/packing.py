@@ -30,7 +30,7 @@ GRID = 16
 END_ID = 2
 MAX_COLUMNS = 3000
 GAP = 1e-4  # the linear program ends once it is within this share of its optimum
-RANKED_ROWS = 100_000  # pieces of a class that are ranked in one group; a class has as many groups as it needs
+RANKED_ROWS = 2000  # pieces of a class that are ranked in one group; a class has as many groups as it needs
 MEMO_WORDS = 1_000_000
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
