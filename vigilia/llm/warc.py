@@ -8,6 +8,10 @@ Reader: files are cut into byte ranges without looking inside. A task scans its
 range for gzip magic, takes a place as a record's start when the bytes inflate
 to a WARC header, and owns the records that start inside its range; the last of
 them may end beyond it. A lost task is simply run again on its range.
+
+A payload may itself hold an archive's bytes, and a range may begin amid them.
+So a first pass tells of each range where its last member ends, and a range is
+read from where the members of all ranges before it end.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from vigilia.llm.common import arrow_map, cut, shared_dir
 
@@ -110,8 +115,11 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def read_range(source, size: int, start: int, end: int) -> Iterator[dict]:
-    """The records whose gzip members start in [start, end)."""
+def _members(source, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(start, end, header fields, block) of the sound members that start in [start, end), the search going on after each.
+
+    Sound: a WARC header, a right CRC and as many bytes as Content-Length says.
+    """
     at = start
     while at < end:
         source.seek(at)
@@ -124,25 +132,32 @@ def read_range(source, size: int, start: int, end: int) -> Iterator[dict]:
         if at >= end:
             return
         head = _inflate(source, at, 1024)
-        if head is None or not head[0].startswith(WARC_VERSION):
-            at += 1
-            continue
-        whole = _inflate(source, at, 1 << 62)
+        whole = _inflate(source, at, 1 << 62) if head and head[0].startswith(WARC_VERSION) else None
         if whole is None:
             at += 1
             continue
-        body, after = whole
-        source.seek(after)
-        if after < size and source.read(3) != GZIP_MAGIC:  # a member inside another one's stored bytes
+        text, _, block = whole[0].partition(b"\r\n\r\n")
+        fields = _fields(text)
+        length = fields.get("content-length", str(len(block)))
+        if not length.isdecimal() or int(length) > len(block):
             at += 1
             continue
-        head, _, block = body.partition(b"\r\n\r\n")
-        yield {"start": at} | _record(_fields(head), block)
-        at = after
+        yield at, whole[1], fields, block[: int(length)]
+        at = whole[1]
+
+
+def last_end(source, start: int, end: int) -> int:
+    """Where the last sound member that starts in the range ends; the range's start if there is none."""
+    return max((after for _, after, _, _ in _members(source, start, end)), default=start)
+
+
+def read_range(source, start: int, end: int) -> Iterator[dict]:
+    """The records whose members start in [start, end); `start` must not lie inside a member."""
+    for at, _, fields, block in _members(source, start, end):
+        yield {"start": at} | _record(fields, block)
 
 
 def _record(fields: dict[str, str], block: bytes) -> dict:
-    block = block[: int(fields.get("content-length", len(block)))]
     kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     payload, length, fine = None, None, None
     if fields.get("content-type", "").startswith("application/http"):
@@ -159,26 +174,41 @@ def _record(fields: dict[str, str], block: bytes) -> dict:
     }
 
 
+def _opened(path: str):
+    store, place = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    return store.open_input_file(place)
+
+
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """All records of the archives in `files` (path, bytes), one task's work being `split_bytes` of one file.
 
-    Damaged members and bytes between members are passed over. A response with
-    a digest that its payload does not have gets digest_ok = false.
+    One gzip member is one record. Bytes between members and after the last one
+    and damaged members (cut short, a wrong CRC, fewer bytes than Content-Length)
+    are passed over; members inside another one's bytes are part of it, unless
+    that one is damaged. A response with a digest that its payload does not have
+    gets digest_ok = false. A file that is named twice is read twice.
     """
     wanted = RECORD if payload else RECORD.replace("payload binary, ", "")
-    ranges = files.where("bytes > 0").select(
-        "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
+    ranges = files.where("bytes > 0").withColumn("file", F.monotonically_increasing_id()).select(
+        "file", "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
     n = max(1, int(files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0))).first()[0]))
     width = max(n, 2)  # one number would be taken as a target for all rows together
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = []
+            for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
+                with _opened(path) as source:
+                    last.append(last_end(source, start, min(size, start + split_bytes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last, pa.int64())], names=[*batch.schema.names, "last"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
-                store, place = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-                with store.open_input_file(place) as source:
-                    for record in read_range(source, size, start, min(size, start + split_bytes)):
+            for path, size, start, begin in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start", "begin"))):
+                with _opened(path) as source:
+                    for record in read_range(source, begin, min(size, start + split_bytes)):
                         weight += len(record["payload"] or b"") + 500
                         if not payload:
                             del record["payload"]
@@ -189,7 +219,10 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
         if held:
             yield _batch(held, wanted)
 
-    return arrow_map(ranges.repartition(width, "path", "start"), run, wanted)
+    told = cut(arrow_map(ranges.repartition(width, "path", "start"), ends, "file long, path string, bytes long, start long, last long"))  # a row a range
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    begun = told.withColumn("begin", F.greatest("start", F.max("last").over(before)))  # ranges of a file, not records
+    return arrow_map(begun.repartition(width, "path", "start"), run, wanted)
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
