@@ -88,21 +88,25 @@ def rebalance(sizes: dict[int, int], placed: dict[int, int], shards: int, tolera
 
 
 class SlotMap:
-    """Versions of the slot-to-shard map in a folder: (version, virtual_slot, shard), only ever appended."""
+    """Versions of the slot-to-shard map in a folder, one folder of (virtual_slot, shard) each; a version once written is never changed."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        """The versions that were written to their end."""
+        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
     def write(self, version: int, placed: dict[int, int]) -> None:
-        rows = [(version, slot, shard) for slot, shard in sorted(placed.items())]
-        self.spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(self.path)
+        """Fails if the version is there: of two writers one has to read the other's map and edit that."""
+        rows = self.spark.createDataFrame(sorted(placed.items()), "virtual_slot int, shard int")
+        rows.coalesce(1).write.mode("error").parquet(f"{self.path}/version={version}")
 
     def read(self, version: int | None = None) -> DataFrame:
         """One version, the newest if none is named."""
-        every = self.spark.read.parquet(self.path)
-        if version is None:
-            version = every.agg(F.max("version")).first()[0]
-        return every.where(F.col("version") == version).select("virtual_slot", "shard")
+        return self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.path}/version={self.versions()[-1] if version is None else version}")
 
 
 def shard_records(records: DataFrame, key: str, text: str, shards: int, slots: int = SLOTS, path: str | None = None, tolerance: float = 0.001) -> DataFrame:
@@ -110,9 +114,11 @@ def shard_records(records: DataFrame, key: str, text: str, shards: int, slots: i
 
     `slot` is a record's place in its shard, without gaps from 0. Null texts
     have no bytes and the CRC of nothing; null keys are dealt like any other
-    value. An empty table gives no rows. Other columns are ignored. Version 0
-    of the map deals slots in turn; version 1 is version 0 edited until the
-    shards are near equal in bytes.
+    value; rows that repeat are records of their own. An empty table gives no
+    rows. Other columns are ignored. `path` holds the versions of the map:
+    where there is none, version 0 deals slots in turn; the newest one is edited
+    until the shards are near equal in bytes and written as the next version, so
+    a second call on a path moves as few slots as its records ask for.
     """
     spark = records.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -127,16 +133,21 @@ def shard_records(records: DataFrame, key: str, text: str, shards: int, slots: i
     rows = blocks.groupBy("virtual_slot").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("n").alias("rows")).collect()  # at most `slots` rows
     sizes, counts = {r.virtual_slot: r["bytes"] for r in rows}, {r.virtual_slot: r["rows"] for r in rows}
     store = SlotMap(spark, path or shared_dir(spark))
-    first = {slot: slot % shards for slot in range(slots)}
-    store.write(0, first)
+    found = store.versions()
+    if not found:
+        store.write(0, {slot: slot % shards for slot in range(slots)})
+        found = [0]
+    first = {r.virtual_slot: r.shard for r in store.read(found[-1]).collect()}  # `slots` rows
+    if len(first) != slots:
+        raise ValueError(f"the map has {len(first)} slots, not {slots}: the number of slots is fixed")
     placed = rebalance(sizes, first, shards, tolerance)
-    store.write(1, placed)
+    store.write(found[-1] + 1, placed)
     filled, base = [0] * shards, []
     for slot in sorted(counts):
         base.append((slot, filled[placed[slot]]))
         filled[placed[slot]] += counts[slot]
     bases = spark.createDataFrame(base, "virtual_slot int, base long")
-    places = store.read().join(F.broadcast(bases), "virtual_slot")  # as many rows as slots
+    places = store.read(found[-1] + 1).join(F.broadcast(bases), "virtual_slot")  # as many rows as slots
     order = W.partitionBy("virtual_slot").orderBy("k", "size", "crc", "block")
     return (
         blocks.withColumn("before", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)))
