@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder, as a full URI, under `spark.checkpoint.dir`, which all executors share; under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """A new folder, as a full URI, under `spark.checkpoint.dir`, which all executors share. Without that setting only local mode has one: a folder of its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
@@ -36,6 +40,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each followed by as many underscores as keep it apart from those taken (Spark does not tell capital letters)."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_a_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, columns) of one row for each key, that whose first column hashes lowest: a sample stays bounded where a key repeats."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select(key, *(f"_row.{c}" for c in columns))
+
+
 def lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows whose keys hash lowest: a sample that does not depend on how the rows are dealt.
 
@@ -72,15 +92,16 @@ def arrow_map(frame: DataFrame, function, schema: str) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def train_in_task(rows: DataFrame, train):
-    """`train(batches)` over a bounded sample, run by one task so that the driver holds the model alone."""
+def train_in_task(rows: DataFrame, order: list[str], train):
+    """`train(batches)` over a bounded sample in the given order, run by one task so that the driver holds the model alone."""
 
     def run(batches):
-        model = pickle.dumps(train(list(batches)))
+        model = pickle.dumps(train(batches))
         _release()
         yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
-    return pickle.loads(bytes(arrow_map(rows.repartition(1), run, "model binary").collect()[0].model))
+    got = arrow_map(rows.repartition(1).sortWithinPartitions(*order), run, "model binary").collect()
+    return pickle.loads(bytes(got[0].model)) if got else train(iter(()))  # a plan that is known to be empty runs no task
 
 
 def _ship(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map
+from vigilia.llm.common import arrow_map, fresh
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S
@@ -38,6 +38,8 @@ UNSEEN = frozenset("script style template noscript svg math iframe object canvas
 RAW = frozenset("script style textarea title noscript iframe".split())
 IMPLIED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # what may stand in a page's head; anything else ends it
+FALLBACK = frozenset("svg math object canvas audio video select datalist template".split())  # hide what they hold, if they are closed at all
 PHRASE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("nav header footer aside article main section form dialog".split())
 TAGS = frozenset("nav header footer aside article main section form table ul ol dl figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p li td th button label dialog address details summary fieldset legend menu".split())
@@ -67,12 +69,17 @@ def _frame(tag: str, attributes: str) -> tuple[str, tuple[str, ...], bool]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order. White space is one space; references are decoded; hidden text is left out."""
+    """The leaf blocks with text, in page order. White space is one space; references are decoded; hidden text is left out.
+
+    A head ends at its end tag or at the first text or element that is none of a
+    head's. A video, drawing, list of choices or the like that is never closed hides nothing.
+    """
     out: list[Block] = []
     stack: list[tuple] = []
     parts: list[str] = []
     state = [0, 0]  # characters of link text in this block; how many open elements are hidden
     links = at = 0
+    lower, never = page.lower() if len(page.lower()) == len(page) else page, set()  # for a few letters lower case is longer
 
     def close() -> None:
         if parts:
@@ -89,7 +96,18 @@ def blocks_of(page: str) -> list[Block]:
             state[1] -= hidden
             links -= tag == "a"
 
+    def closed(tag: str) -> bool:
+        """Whether an end tag follows, before the next start tag of an element that cannot hold itself."""
+        if tag in never:
+            return False
+        end = lower.find(f"</{tag}", at)
+        if end < 0:
+            never.add(tag)
+        return end >= 0 and (tag not in ("audio", "video", "canvas", "select", "datalist") or lower.find(f"<{tag}", at, end) < 0)
+
     def add(text: str) -> None:
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            pop_to(len(stack) - 1)
         if text and not state[1]:
             if "&" in text:
                 text = html.unescape(text)
@@ -121,7 +139,9 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in INLINE and stack[n][0] not in INLINE:
                     break
             continue
-        if tag in VOID:
+        if tag not in HEAD and stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+        if tag in VOID or tag in FALLBACK and not closed(tag):
             continue
         if tag in IMPLIED:
             for n in range(len(stack) - 1, -1, -1):
@@ -412,16 +432,23 @@ def main_text(page: str | None, model: ChainCRF) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], body: str, model: ChainCRF | None = None) -> DataFrame:
-    """The columns `keep` with text and n_chars (code points) of every row. Null, empty and textless pages have an empty text; a page that breaks off is read as far as it goes."""
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    """The columns `keep` with text and n_chars (code points) of every row.
+
+    Null, empty and textless pages have an empty text; a page that breaks off is
+    read as far as it goes; every row stands for itself, also one that repeats.
+    Columns that are not kept are ignored; of kept ones named text or n_chars
+    the result's take the place.
+    """
+    keep = [c for c in keep if c not in ("text", "n_chars")]
+    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
     shared = pages.sparkSession.sparkContext.broadcast(model or fit_extractor())
 
     def run(batches):
         for batch in batches:
-            column = batch.column("_body")
+            column = batch.column(batch.num_columns - 1)
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 texts = [main_text(page.as_py(), shared.value) for page in column.slice(lo, 200)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return arrow_map(pages.select(*keep, F.col(body).alias("_body")), run, f"{schema}, text string, n_chars long")
+    return arrow_map(pages.select(*keep, F.col(body).alias(*fresh(keep, "_body"))), run, f"{schema}text string, n_chars long")

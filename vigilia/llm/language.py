@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, fold
+from vigilia.llm.common import arrow_map, fold, fresh, one_a_key
 from vigilia.llm.textbytes import slices, text_buffers
 
 WINDOW = 96
@@ -147,6 +147,9 @@ def windows_of(data: np.ndarray, at: np.ndarray, most: int | None = None) -> tup
 def fit_language(docs: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS) -> ByteCNN | None:
     """Train on at most `bound` texts with a label, those whose keys hash lowest; None if there are none.
 
+    Rows without a key, a text or a label are passed over; of rows that share a
+    key one counts. Keys may be of any type.
+
     The rarest label is not lost: the texts are dealt by label in turn, so each
     label has about an equal part of the bound as far as its texts go.
     """
@@ -160,7 +163,8 @@ def fit_language(docs: DataFrame, key: str, text: str, label: str, bound: int =
     few = slim.where(F.col("h") <= F.try_element_at(most, F.col("l"))) if sizes else slim  # about twice the bound a language
     turn = few.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= bound)
     chosen = turn.orderBy("r", "h").limit(bound).select("k").distinct()
-    sample = rows.join(F.broadcast(chosen.withColumnRenamed("k", key)), key, "left_semi").select(F.col(text).alias("text"), F.col(label).alias("label"))
+    sample = rows.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(label).alias("label")).join(F.broadcast(chosen), "k", "left_semi")
+    sample = one_a_key(sample, "k", "text", "label").select("text", "label")  # `bound` rows at most
 
     def cut_windows(batches):
         for batch in batches:
@@ -180,24 +184,26 @@ def fit_language(docs: DataFrame, key: str, text: str, label: str, bound: int =
     return model
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred and score, for every row.
+def predict(docs: DataFrame, model: ByteCNN | None, text: str, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` with lang_pred and score, or as `names` says, for every row.
 
     A text that is null or has no letter is `und` with score 1, as is every
-    text if nothing could be learned; equal logits go to the first label.
+    text if nothing could be learned; equal logits go to the first label. Each
+    row stands for itself, also one that repeats. Other columns are ignored; of
+    kept ones with one of the two names the result's take the place.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in keep if c.lower() not in [n.lower() for n in names]]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         net = shared.value
         for batch in batches:
-            for lo, hi, data, at in slices(batch, "_text"):
-                names, scores = _name(net, data, at)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for lo, hi, data, at in slices(batch, len(keep)):
+                found, scores = _name(net, data, at)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return arrow_map(docs.select(*keep, F.col(text).alias("_text")), run, f"{schema}, lang_pred string, score double")
+    return arrow_map(docs.select(*keep, F.col(text).alias(*fresh(keep, "_text"))), run, f"{schema}`{names[0]}` string, `{names[1]}` double")
 
 
 def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,7 +232,7 @@ def _name(net: ByteCNN | None, data: np.ndarray, at: np.ndarray) -> tuple[list[s
 
 
 def identify(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, held_out, lang_pred, score); learned from the rows whose fold by key is not 1."""
+    """(key, held_out, lang_pred, score); learned from the rows whose fold by key is not 1. As fit_language and predict for odd rows; a null key is not held out."""
     held = F.coalesce(fold(F.col(key), 3) == 1, F.lit(False))
     model = fit_language(docs.where(~held), key, text, label)
-    return predict(docs.withColumn("held_out", held), model, text, [key, "held_out"])
+    return predict(docs.select(F.col(key), held.alias("held_out"), F.col(text).alias("_text")), model, "_text", [key, "held_out"])

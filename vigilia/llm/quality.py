@@ -202,7 +202,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
 
 
 def judge(docs: DataFrame, rules: DecisionList, key: str, text: str) -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule) of every row."""
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule) of every row.
+
+    Null and empty texts have no words and fail the base; long texts are judged
+    whole; each row stands for itself, also one that repeats or has a null key.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         with_statistics(docs.select(F.col(key), F.col(text).alias("_text")), "_text").withColumn("rule", rules.fired())

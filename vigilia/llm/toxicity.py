@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, cut, fold, lowest, train_in_task
+from vigilia.llm.common import arrow_map, cut, fold, fresh, lowest, one_a_key, train_in_task
 from vigilia.llm.textbytes import BREAK, U64, HashIndex, folded, mix, row_sums, slices, sorted_sets, word_bounds, word_hashes
 
 DISCOUNT = 0.75
@@ -28,6 +28,7 @@ ORDERS = (1, 2)
 MARGIN = 0.7  # and by a factor of two, so that what toxic texts are about, or their language, is no evidence
 FLOOR = 0.02  # the most that one ordinary word counts against a text, so that a long quiet stretch hides nothing
 TRAIN_TEXTS = 6000
+TRAIN_WORDS = 12_000_000  # of the sampled texts together; a sample with more ends there
 LEAST = 2  # words and bigrams seen less often in all are left to the shared counts
 
 
@@ -181,9 +182,15 @@ def _rows(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return np.concatenate([*(ids[first[r] : first[r + 1]] for r in rows.tolist()), ids[:0]]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS) -> ToxicityModel:
-    """Learn from at most `bound` labelled texts, up to a quarter of them toxic, those of each class whose keys hash lowest. Rows without a key, a label or a text are passed over; of several labels of one key the greatest counts."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int = TRAIN_TEXTS, most_words: int = TRAIN_WORDS) -> ToxicityModel:
+    """Learn from at most `bound` labelled texts, up to a quarter of them toxic, those of each class whose keys hash lowest.
+
+    Rows without a key, a label or a text are passed over; of several labels of
+    one key the greatest counts, of several texts one. The texts are taken whole,
+    in the order of their keys' hashes, as long as they have no more than
+    `most_words` words together. Keys may be of any type both tables share.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).alias("_label"))
     known = cut(known)
     sizes = {r.t: r["count"] for r in known.groupBy((F.col("_label") > 0).alias("t")).count().collect()}
     toxic = min(bound // 4, sizes.get(True, 0))
@@ -191,6 +198,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     shares = sizes.get(False, 0) / max(1, ordinary), sizes.get(True, 0) / max(1, toxic)
     chosen = lowest(known.where("_label > 0"), "_key", toxic).unionByName(lowest(known.where("_label <= 0"), "_key", ordinary))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "_key")  # `bound` rows at most
+    rows = one_a_key(rows, "_key", "_text", "_label").select(F.xxhash64("_key").alias("_h"), F.col("_key").cast("string").alias("_key"), "_text", (F.col("_label") > 0).alias("_toxic"))
 
     def run(batches):
         for batch in batches:
@@ -198,32 +206,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
                 words, first = token_hashes(data, at)
                 packed = [words[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_pydict({"key": part.column("_key").cast(pa.int64()), "label": part.column("_label").cast(pa.int32()), "words": pa.array(packed, pa.binary())})
+                yield pa.RecordBatch.from_arrays([part.column("_h"), part.column("_key"), part.column("_toxic"), pa.array(packed, pa.binary())], names=["h", "key", "toxic", "words"])
 
     def train(batches) -> ToxicityModel:
-        got = sorted((k, bytes(w), y) for b in batches for k, y, w in zip(*(c.to_pylist() for c in b.columns)))
-        return ToxicityModel([np.frombuffer(w, U64) for _, w, _ in got], np.array([y > 0 for _, _, y in got], bool), shares)
+        texts, toxic, total = [], [], 0
+        for batch in batches:
+            for y, w in zip(batch.column(2).to_pylist(), batch.column(3)):
+                words = np.frombuffer(w.as_buffer(), U64)
+                if total + len(words) <= most_words:
+                    total += len(words)
+                    texts.append(words.copy())
+                    toxic.append(y)
+        return ToxicityModel(texts, np.array(toxic, bool), shares)
+
+    return train_in_task(arrow_map(rows, run, "h long, key string, toxic boolean, words binary"), ["h", "key"], train)
 
-    return train_in_task(arrow_map(rows.select("_key", "_text", "_label"), run, "key long, label int, words binary"), train)
 
+def score_texts(docs: DataFrame, model: ToxicityModel, text: str, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` with score and predicted, or as `names` says, for every row; null and empty texts have no evidence either way.
 
-def score_texts(docs: DataFrame, model: ToxicityModel, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` with score and predicted, for every row; null and empty texts have no evidence either way."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    Each row stands for itself, also one that repeats. Other columns are ignored;
+    of kept ones with one of the two names the result's take the place.
+    """
+    keep = [c for c in keep if c.lower() not in [n.lower() for n in names]]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, at in slices(batch, "_text"):
+            for lo, hi, data, at in slices(batch, len(keep)):
                 score = shared.value.score(*token_hashes(data, at))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, *names])
 
-    return arrow_map(docs.select(*keep, F.col(text).alias("_text")), run, f"{schema}, score double, predicted int")
+    return arrow_map(docs.select(*keep, F.col(text).alias(*fresh(keep, "_text"))), run, f"{schema}`{names[0]}` double, `{names[1]}` int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, held_out, score, predicted); learned from labelled rows whose fold by key is not 0."""
+    """(key, held_out, score, predicted); learned from labelled rows whose fold by key is not 0. As fit_toxicity and score_texts for odd rows; a null key is not held out."""
     held = F.coalesce(fold(F.col(key), 5) == 0, F.lit(False))
     model = fit_toxicity(docs, labels.where(~held), key, text, label)
-    return score_texts(docs.withColumn("held_out", held), model, text, [key, "held_out"])
+    rows = docs.select(F.col(key), held.alias("held_out"), F.col(text).alias("_text"))
+    return score_texts(rows, model, "_text", [key, "held_out"])
