@@ -10,44 +10,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import cut, table
+from vigilia.llm.common import cut, fresh, table
 
 LEAST_LANGUAGE_SCORE = 0.3
-MEMO_WORDS = 150_000  # words whose ids a worker remembers; the workers serve the other stages too
+MEMO_WORDS = 300_000  # words whose ids a worker remembers; the workers serve the other stages too
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no determinable language go: those without a letter, and those whose best language has little over an even share."""
+    """Texts of no determinable language go: null ones, those without a letter, and those whose best language has little over an even share.
+
+    Rows with null or repeated keys are judged by their texts like all others; columns keep their names and values.
+    """
     from vigilia.llm.language import fit_language, predict
 
-    named = predict(docs, fit_language(docs, "doc_id", "text", "lang"), "text", docs.columns)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    name, score = fresh(docs.columns, "lang_pred", "score")
+    named = predict(docs, fit_language(docs, "doc_id", "text", "lang"), "text", docs.columns, (name, score))
+    return named.where((F.col(name) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts scored as toxic go; the models learn from the labelled ones among the stage's documents."""
+    """Texts scored as toxic go; the models learn from the labelled ones among the stage's documents.
+
+    Null and empty texts are no evidence and stay; rows with null or repeated keys are judged by their texts like all others.
+    """
     from vigilia.llm.toxicity import fit_toxicity, score_texts
 
+    score, predicted = fresh(docs.columns, "score", "predicted")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    return score_texts(docs, model, "text", docs.columns).where("predicted = 0").select(docs.columns)
+    return score_texts(docs, model, "text", docs.columns, (score, predicted)).where(F.col(predicted) == 0).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the least doc_id."""
+    """One document of each class of near duplicates stays, that with the least doc_id.
+
+    Rows that repeat a doc_id are one document, of which one row stays; rows with a null doc_id or text stay.
+    """
     from vigilia.llm.neardup import keep_one
 
     return keep_one(docs, "doc_id", "text").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go, whatever their doc_id; null and empty texts hold none."""
     from vigilia.llm.decontaminate import drop_contaminated
 
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text").select(docs.columns)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; a null or empty text is its end alone, rows with equal or null keys are documents of their own."""
     import public_tokenizers
 
     from vigilia.llm.packing import pack
