@@ -750,6 +750,41 @@ class TestNearDuplicates:
         got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
         assert got == {i: i - i % 2 for i in range(24)} == self.brute(rows)
 
+    def test_template_texts_meet_in_few_rows(self, spark):
+        """Texts of one template below the similarity: the exact join makes few of the pairs, and still all that hold."""
+        from vigilia.llm import neardup as n
+
+        r = random.Random(6)
+        own = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+        template, rows = own(120), []
+        for i in range(300):
+            words = template[:]
+            for _ in range(r.randint(1, 6)):
+                words[r.randrange(120)] = own(1)[0]
+            rows.append((i, " ".join(words)))
+        rows = [(i, w) for i, w in rows if r.random() < 0.95]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {x.doc_id: x.class_id for x in n.near_duplicates(frame, "doc_id", "text").collect()}
+        want = self.brute(rows)
+        assert got == want and 50 < len(set(want.values())) < 280
+        sets = n.run_sets(frame.select(n.F.col("doc_id").alias("id")), frame.select(n.F.col("doc_id").alias("id"), "text"))
+        mixed = spark.createDataFrame([(1, k, c, 300) for k, c in want.items()], "key long, id long, class long, n long")
+        pairs = [tuple(x) for x in n._rest(mixed, sets, 0.8).collect()]
+        assert all(want[a] != want[b] for a, b in pairs) and len(pairs) < 2000  # of some 40,000 pairs
+
+    def test_keys_of_any_type_and_name(self, spark):
+        from vigilia.llm.neardup import keep_one, near_duplicates
+
+        rows = self.texts()
+        want = self.brute([(f"k{i:03}", t) for i, t in rows])
+        for key in ("id", "class_id", "class", "text"):
+            frame = spark.createDataFrame([(f"k{i:03}", t, 0, 0) for i, t in rows], f"{key} string, body string, digest int, n int")
+            if key in ("id", "class_id"):
+                got = near_duplicates(frame, key, "body")
+                assert {x[0]: x[1] for x in got.collect()} == want and got.columns[0] == key
+            else:
+                assert {x[0] for x in keep_one(frame, key, "body").collect()} == set(want.values())
+
     def test_sketch_estimates_probability_jaccard(self):
         from vigilia.llm.neardup import prob_minhash
 

@@ -12,10 +12,10 @@ Registers are banded. Texts in one bucket are linked by stars, to the first
 and to the last text of the bucket, and each star's ray is verified by the
 exact Jaccard similarity of the sets of runs. Links are closed into classes,
 and buckets that hold texts of several classes are looked at again: small ones
-pair all texts across classes, large ones pair texts with drawn members of
-their largest class and of another, for a few looks. What large buckets still
-hold in several classes goes through an exact join on the first runs of each
-text, rarest first, so that no pair of a bucket is left out.
+pair all texts across classes; large ones first pair texts with drawn members
+of their largest class and of another, and what they still hold in several
+classes goes through an exact join on the first runs of each text, rarest
+first. So every pair of a bucket that is not in one class has been ruled out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import cut
+from vigilia.llm.common import cut, fresh
 from vigilia.llm.textbytes import BREAK, U64, folded, map_texts, mix, shingle_hashes, sorted_sets, word_bounds, word_hashes
 
 WORDS = 5
@@ -69,6 +69,10 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
+def _kind(frame: DataFrame) -> str:
+    return frame.schema["id"].dataType.simpleString()
+
+
 def sketches(docs: DataFrame, text: str) -> DataFrame:
     """Add `bands` (one 64-bit key per band; none for texts without words) to (id, digest, text); the text is dropped."""
 
@@ -82,7 +86,7 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(some * BANDS)])
         return {"id": batch.column(0), "digest": batch.column(1), "bands": _lists(keys[some].ravel().view(np.int64), offsets)}
 
-    return map_texts(docs, run, "id long, digest string, bands array<long>", text)
+    return map_texts(docs, run, f"id {_kind(docs)}, digest string, bands array<long>", text)
 
 
 def run_sets(buckets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def run_sets(buckets: DataFrame, texts: DataFrame) -> DataFrame:
         return {"id": batch.column(0), "runs": _lists(elements.view(np.int64), first)}
 
     wanted = buckets.select("id").distinct()
-    return cut(map_texts(texts.join(wanted, "id", "left_semi").select("id", "text"), run, "id long, runs array<long>"))
+    return cut(map_texts(texts.join(wanted, "id", "left_semi").select("id", "text"), run, f"id {_kind(texts)}, runs array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,68 +148,79 @@ def _star(buckets: DataFrame) -> DataFrame:
     return _paired(buckets.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")), "id", "end")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, look: int) -> DataFrame:
-    """Pairs of texts of one bucket and different classes.
-
-    Small buckets give all of them. In others each text outside the bucket's
-    largest class meets two drawn texts of that class and the head of the
-    least other class, so a bucket gives a few pairs a text.
-    """
+def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, class, n): the texts, with their classes, of the buckets of several classes, and how many those have."""
     named = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
     mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    named = named.join(mixed, "key")
-    small = named.where(F.col("n") <= SMALL_BUCKET)
-    lists = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "class"))).alias("all"))  # SMALL_BUCKET at most
+    return named.join(mixed, "key")
+
+
+def _across_small(mixed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts of one small bucket and different classes."""
+    lists = mixed.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "class"))).alias("all"))  # SMALL_BUCKET at most
     one = lists.select("all", F.posexplode("all").alias("i", "l")).select("l", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("r"))
-    near = one.where("l.class <> r.class").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    big = named.where(F.col("n") > SMALL_BUCKET)
+    return one.where("l.class <> r.class").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def _across_large(mixed: DataFrame, look: int) -> DataFrame:
+    """In each large bucket each text outside the largest class meets two drawn texts of that class and the head of the least other class: a few pairs a text."""
+    big = mixed.where(F.col("n") > SMALL_BUCKET)
     heads = big.groupBy("key", "class").agg(F.count("*").alias("m"), _drawn(2 * look + 1).alias("h1"), _drawn(2 * look + 2).alias("h2"))
     main = heads.groupBy("key").agg(F.max(F.struct("m", "class", "h1", "h2")).alias("main"))
     other = heads.join(main, "key").where("class <> main.class").groupBy("key").agg(F.min(F.struct("class", "h1")).alias("other"))
     meets = main.join(other, "key").select("key", F.array(F.struct("main.class", F.col("main.h1").alias("h")), F.struct("main.class", F.col("main.h2").alias("h")), F.struct("other.class", F.col("other.h1").alias("h"))).alias("meets"), F.col("main.class").alias("_main"))
     far = big.join(meets, "key").where("class <> _main").select("id", "class", F.explode("meets").alias("e")).where("class <> e.class")
-    return near.unionByName(_paired(far.select("id", "e.h"), "id", "h")).distinct()
+    return _paired(far.select("id", "e.h"), "id", "h")
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes among the texts of large buckets of several classes: all that can have the similarity, and others.
+def _shareable(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(run, df, id, u, class, n): the runs of the texts `wanted` (id, class) that texts of another class among them have, too. `u` keeps rows of a repeated key apart."""
+    runs = sets.join(wanted, "id").select("id", "class", F.size("runs").alias("n"), F.xxhash64("runs").alias("u"), F.explode("runs").alias("run"))
+    shared = runs.groupBy("run").agg(F.count("*").alias("df"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "df")
+    return runs.join(shared, "run")
+
 
-    A prefix-filter join. Runs stand in one order for all texts: first those
-    that one class alone has, then the others by the number of their texts. A
-    pair that is similar enough has a run in common among the longer one's
-    first n - ceil(s n) + 1 and the shorter one's first n - ceil(2s / (1 + s) n) + 1.
-    A run of one class pairs nothing, so only the others are looked at.
+def _rest(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes among the texts of large buckets of several classes: all that can have the similarity, and few others.
+
+    A text that shares fewer than `similarity` of its runs with other classes
+    has no partner and goes, and with it what others shared with it alone; again
+    until few go. The others meet in a prefix-filter join. Runs stand in one
+    order for all texts: first those that one class alone has, then the others by
+    the number of their texts. A pair that is similar enough has a run in common
+    among the longer one's first n - ceil(s n) + 1 and the shorter one's first
+    n - ceil(2s / (1 + s) n) + 1, and from the first such run on, as well as in
+    shared runs at all, both have the s / (1 + s) (n + m) runs it must have in
+    common. So texts of one template, none of which is near another, meet in no row.
     """
-    named = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-    mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).where("x <> y").select("key")
-    wanted = cut(named.join(mixed, "key").select("id", "class").distinct())
-    if wanted.isEmpty():
+    wanted = cut(mixed.where(F.col("n") > SMALL_BUCKET).select("id", "class").distinct())
+    left = wanted.count()
+    while left:
+        some = _shareable(wanted, sets).groupBy("id", "u", "class", "n").agg(F.count("*").alias("a")).where(F.col("a") >= similarity * F.col("n") - 1e-6)
+        fewer = cut(some.select("id", "class").distinct())
+        before, left, wanted = left, fewer.count(), fewer
+        if left > 0.9 * before:
+            break
+    if not left:
         return wanted.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    texts = sets.join(wanted, "id").select("id", "class", F.size("runs").alias("n"), "runs", F.xxhash64("runs").alias("u"))  # rows of a repeated key stay apart by u
-    runs = texts.select("id", "u", "class", "n", F.explode("runs").alias("run"))
-    shared = runs.groupBy("run").agg(F.count("*").alias("df"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "df")
-    turn = Window.partitionBy("id", "u").orderBy("df", "run")
-    whole = Window.partitionBy("id", "u")
-    placed = runs.join(shared, "run").withColumn("place", F.col("n") - F.count("*").over(whole) + F.row_number().over(turn))
+    text = Window.partitionBy("id", "u")
+    placed = _shareable(wanted, sets).withColumn("have", F.count("*").over(text)).withColumn("place", F.col("n") - F.col("have") + F.row_number().over(text.orderBy("df", "run")))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
-    heads = cut(placed.where(F.col("place") <= first(similarity)).select("run", "id", "u", "class", "n", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short")))
+    heads = cut(placed.where(F.col("place") <= first(similarity)).withColumn("short", F.col("place") <= first(2 * similarity / (1 + similarity))))
     lists = heads.groupBy("run").agg(F.ceil(F.count("*") / F.lit(SMALL_BUCKET)).cast("int").alias("salts"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "salts")
     lists = heads.join(lists, "run")  # a run of many texts is dealt over several tasks
-    long = lists.select("run", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("l"), F.col("class").alias("_l"), F.col("n").alias("_n"))
-    short = lists.where("short").select("run", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("s"), F.col("class").alias("_s"), F.col("n").alias("_m"))
-    met = long.join(short, ["run", "salt"]).where("_l <> _s").where(F.col("_m") <= F.col("_n")).where(F.col("_m") >= similarity * F.col("_n"))
-    return _paired(met, "l", "s")
-
-
-def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, looks: int = 3) -> DataFrame:
-    """(key, class_id) for every row: rows of one class hang together by links of similarity >= `similarity`.
-
-    Equal texts share a class, texts of fewer than five words count as one run,
-    texts without words are alone unless equal, and a null text is alone. A key
-    names a document: rows that repeat a key are one document, even if their
-    texts differ. A null key has a null class. Other columns are ignored.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    side = lambda frame, name: frame.select("run", "salt", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "class", "n", "have", "place")))
+    long = side(lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "l")
+    short = side(lists.where("short").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "s")
+    need = (F.col("l_n") + F.col("s_n")) * (similarity / (1 + similarity)) - 1e-6
+    met = long.join(short, ["run", "salt"]).where("l_class <> s_class").where(F.col("s_n") <= F.col("l_n")).where(F.col("s_n") >= similarity * F.col("l_n") - 1e-6)
+    met = met.where(F.least("l_have", "s_have") >= need).where(F.least(F.col("l_n") - F.col("l_place"), F.col("s_n") - F.col("s_place")) + 1 >= need)
+    return _paired(met, "l_id", "s_id")
+
+
+def _classes(docs: DataFrame, key: str, text: str, similarity: float, looks: int) -> DataFrame:
+    """(id, class) of the texts that have a class with others, as near_duplicates."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
     seen = cut(sketches(rows.select("id", "digest", "text"), "text"))
     heads = cut(seen.groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.first("bands").alias("bands")))
@@ -216,29 +231,42 @@ def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SI
     sets = run_sets(buckets, rows.select("id", "text"))
     tried = cut(_star(buckets))
     links = _verified(tried, sets, similarity)
+    mixed = cut(_mixed(buckets, cut(components(links))))
     for look in range(looks):
-        classes = cut(components(links))
-        pairs = cut(_across(buckets, classes, look).join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
+        far = _across_large(mixed, look)
+        pairs = cut((far if look else _across_small(mixed).unionByName(far)).distinct().join(tried, ["a", "b"], "left_anti"))  # the first look tries all pairs of small buckets
         found = _verified(pairs, sets, similarity)
+        tried = tried.union(pairs)
         if found.isEmpty():
             break
-        links, tried = links.union(found), tried.union(pairs)
-    rest = cut(_rest(buckets, cut(components(links)), sets, similarity).join(tried, ["a", "b"], "left_anti"))
+        links = links.union(found)
+        mixed = cut(_mixed(buckets, cut(components(links))))
+    rest = cut(_rest(mixed, sets, similarity).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(_verified(rest, sets, similarity))
-    classes = components(links.union(copies))
-    named = docs.select(F.col(key), F.col(key).cast("long").alias("id")).join(classes, "id", "left")
-    return named.select(key, F.coalesce("class", "id").alias("class_id"))
+    return components(links.union(copies))
+
+
+def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, looks: int = 3) -> DataFrame:
+    """(key, class_id) for every row: rows of one class hang together by links of similarity >= `similarity`; a class is named by its least key.
+
+    Equal texts share a class, texts of fewer than five words count as one run,
+    texts without words are alone unless equal, and a null text is alone. A key
+    names a document, and may be of any type that has an order: rows that repeat
+    a key are one document, even if their texts differ. A null key has a null
+    class. Other columns are ignored. An empty table gives no rows. `looks` (one
+    at least) only tells how long drawn pairs are tried in large buckets before
+    the exact join.
+    """
+    named = docs.select(F.col(key).alias("id")).join(_classes(docs, key, text, similarity, looks), "id", "left")
+    return named.select(F.col("id").alias(key), F.coalesce("class", "id").alias(*fresh([key], "class_id")))
 
 
 def keep_one(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` whose key is its class's least, each key once; rows with a null key or text stay."""
-    classes = near_duplicates(docs, key, text, similarity)
-    out = classes.where(F.col(key) != F.col("class_id")).select(key).distinct()
+    """The rows of `docs` whose key is its class's least, each key once; rows with a null key or text stay. Columns keep their names, whatever these are."""
+    out = _classes(docs, key, text, similarity, 3).where("id <> class").select(F.col("id").alias(key)).distinct()
     kept = docs.join(out, key, "left_anti")
-    again = cut(kept.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    again = cut(kept.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.count("*").alias(*fresh([key], "_n"))).where(F.col(*fresh([key], "_n")) > 1).select(key))
     if again.isEmpty():
         return kept
     return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
