@@ -566,6 +566,25 @@ class TestLanguageModel:
 
         assert score_corpus(odd_docs(spark), "doc_id", "text").count() == len(ODD)
         assert score_corpus(empty_docs(spark), "doc_id", "text").count() == 0
+        names = spark.createDataFrame([("a", "one two three", 1, 2), ("a", "one two three", 1, 2), (None, None, 1, 2)], "row string, _text string, c int, score int")
+        got = score_corpus(names, "row", "_text").collect()
+        assert [r.row for r in sorted(got, key=lambda r: r.n_tokens)] == [None, "a", "a"] and {r.n_tokens for r in got} == {1, 4} and len({r.score for r in got}) == 2
+
+    def test_stretches_have_the_contexts_of_their_rows(self):
+        """The shifted vectors give each token the prediction of the up to CONTEXT tokens before it in its row."""
+        from vigilia.llm.lm import CONTEXT, LogBilinear
+
+        r = np.random.default_rng(4)
+        model = LogBilinear(np.arange(10, 200, dtype=np.uint64), np.arange(190, 0, -1), 50.0)
+        model.p["place"] = r.normal(size=model.p["place"].shape).astype(np.float32)
+        sizes = [1, 2, 3, 0, 9, 1, 30]
+        ids, first = r.integers(0, 190, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)])
+        behind, missing = model._before(ids, first)
+        got = model._predicted(model.p["left"][behind], missing)
+        for row, (a, b) in enumerate(zip(first[:-1], first[1:])):
+            for i in range(a, b):
+                want = sum(model.p["left"][ids[i - j]] * model.p["place"][j - 1] for j in range(1, CONTEXT + 1) if i - j >= a)
+                assert np.allclose(got[i], want, atol=1e-5)
 
 
 class TestDecontamination:
