@@ -55,7 +55,7 @@ def test_access_and_flow_scores(spark):
     assert got["a"].has_baseline and (got["a"].new_operation, got["a"].new_bucket, got["a"].new_src_ip, got["a"].error_rate, got["a"].bytes_zscore, got["a"].event_zscore) == (0, 1, 0, 0.5, 0.5, 1)
     assert not got["n"].has_baseline and got["n"].bytes_zscore == 0 and got["n"].score == pytest.approx(round(4 / 6, 4))
     profile = {r.actor: r for r in B.access_profile(day).collect()}
-    assert profile["a"].bytes_max_time == D0 and profile["n"].bytes_max_time is None and profile["a"].response_codes == {200: 1, 404: 1}
+    assert profile["a"].bytes_max_time == D0 and profile["n"].bytes_max_time is None and [tuple(x) for x in profile["a"].response_codes] == [(200, 1), (404, 1)]
 
 
 def test_flow_resolution_and_ports(spark):
@@ -66,7 +66,7 @@ def test_flow_resolution_and_ports(spark):
     assert {r.eni: (r.actor, r.resolved_ip) for r in B.resolve_interfaces(flow, actors).collect()} == {"e1": ("b", "i1"), "e2": (None, None)}
     assert sorted((r.eni, r.src_ip, r.actor) for r in B.resolve_flows(flow, actors).collect()) == [("e1", "i1", "b"), ("e1", "i2", "c"), ("e1", "zz", "c"), ("e2", "zz", "e2")]
     profile = {r.eni: r for r in B.flow_profile(flow, ["eni"]).collect()}
-    assert profile["e1"].dst_ports == [443] and profile["e1"].port_counts == {443: 2, 80: 1} and profile["e1"].reject_count == 1 and profile["e2"].bytes_max_time is None
+    assert profile["e1"].dst_ports == [443] and [tuple(x) for x in profile["e1"].port_counts] == [(443, 2), (80, 1)] and profile["e1"].reject_count == 1 and profile["e2"].bytes_max_time is None
 
 
 def test_combination_and_findings(spark):

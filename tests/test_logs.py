@@ -119,6 +119,6 @@ def test_sinks(spark, tmp_path):
     logs.write_table(rows, str(tmp_path / "t"), ["day"])
     assert logs.read_results(spark, str(tmp_path / "t"), ("2024-01-01", "2024-01-02")).count() == 1
     valid = N.conformance(spark.createDataFrame([("f", 1, None), ("f", None, 2)], "file string, a int, b int"), ["a", "c"], ["file"]).first()
-    assert (valid.total, valid.valid, valid.errors) == (2, 0, ["a,c", "c"])
+    assert (valid.total, valid.valid, valid.errors) == (2, 0, ["a: missing, c: missing", "c: missing"])
     timeline = N.actor_timeline(spark.createDataFrame([(1,)], "x int").withColumn("event_time", F.current_timestamp()), F.lit("u")).first()
     assert timeline.n == 1

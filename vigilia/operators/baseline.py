@@ -109,43 +109,74 @@ def seen_between(events: DataFrame, by: list[str], key: str) -> DataFrame:
     return per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(key, "first_seen", "last_seen"))).alias(f"{key}s"))
 
 
+def ordered_counts(events: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """(by, name): (key, n) of every value, the most frequent first, of equal ones the lesser value."""
+    per = events.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias("n"))
+    sorted_up = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_"), F.col(key).alias(key), "n")))
+    return per.groupBy(*by).agg(F.transform(sorted_up, lambda x: F.struct(x[key].alias(key), x["n"].alias("n"))).alias(name))
+
+
+def distinct_values(events: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """(by, name): the distinct values in order; they are told apart as rows, so repeats never meet in one group."""
+    return events.where(F.col(key).isNotNull()).select(*by, key).distinct().groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias(name))
+
+
+def _all(out: DataFrame, parts: list[DataFrame], by: list[str]) -> DataFrame:
+    for part in parts:
+        out = out.join(part, by, "left")
+    return out
+
+
 def api_profile(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts, known sets, (value, first_seen, last_seen) of addresses and, where the events have them, of uid_alt and type, and hours by count.
+
+    is_system is that of the first event, uid the first that is not null.
+    """
     by = by or ["actor"]
     rows = with_actor(events)
+    when = F.struct("event_time", "event_uid")
+    more = [F.min_by("uid", F.when(F.col("uid").isNotNull(), when)).alias("uid")] if "uid" in rows.columns else []
     out = rows.groupBy(*by).agg(
-        F.count("*").alias("event_count"), F.min_by("is_system", F.struct("event_time", "event_uid")).alias("is_system"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"),
-        known("operation").alias("known_operations"), known("region").alias("known_regions"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("resources")))).alias("known_resources"),
+        F.count("*").alias("event_count"), F.min_by("is_system", when).alias("is_system"), *more, F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"),
+        known("operation").alias("known_operations"), known("region").alias("known_regions"),
     )
-    return out.join(seen_between(rows, by, "ip"), by, "left")
+    named = rows.select(*by, F.explode("resources").alias("_resource"))
+    hours = ordered_counts(rows.where("event_time IS NOT NULL").withColumn("hour", F.hour("event_time")), by, "hour", "hours")
+    spans = [seen_between(rows, by, c) for c in ("ip", "uid_alt", "type") if c in rows.columns]
+    out = _all(out, [distinct_values(named, by, "_resource", "known_resources"), *spans, hours], by)
+    return out.withColumn("known_resources", F.coalesce("known_resources", F.array().cast("array<string>")))
 
 
 def access_profile(accesses: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts, sets and the largest request; its time is that of the earliest such request, null where no byte was sent."""
+    """Counts, sets, codes by count, spans of addresses and the largest request; its time is that of the earliest such request, null where no byte was sent."""
     by = by or ["actor"]
     rows = with_actor(accesses).withColumn("_b", F.coalesce("bytes", F.lit(0)))
-    codes = rows.where("code IS NOT NULL").groupBy(*by, "code").agg(F.count("*").alias("_n")).groupBy(*by).agg(X.histogram("code", "_n").alias("response_codes"))
     out = rows.groupBy(*by).agg(
         F.count("*").alias("event_count"), F.sum("_b").alias("bytes_total"), F.max("_b").alias("bytes_max"), F.max_by("event_time", F.struct("_b", -X.epoch_us("event_time"))).alias("_t"),
         F.count_if(F.col("code").isNotNull() & ~F.col("code").cast("string").startswith("2")).alias("error_count"),
         known("operation").alias("known_operations"), known("bucket").alias("known_buckets"), known("ip").alias("known_ips"),
     )
-    return out.withColumn("bytes_max_time", F.when(F.col("bytes_max") > 0, F.col("_t"))).drop("_t").join(codes, by, "left")
+    out = out.withColumn("bytes_max_time", F.when(F.col("bytes_max") > 0, F.col("_t"))).drop("_t")
+    return _all(out, [ordered_counts(rows, by, "code", "response_codes"), seen_between(rows, by, "ip")], by)
 
 
 def flow_profile(flows: DataFrame, by: list[str]) -> DataFrame:
-    """Profile per interface or per resolved actor; of an actor's ports only those seen more than once count for novelty (`dst_ports`)."""
-    b = F.coalesce("bytes", F.lit(0))
-    rows = flows.withColumn("_b", b)
-    ports = rows.where("dst_port IS NOT NULL").groupBy(*by, "dst_port").agg(F.count("*").alias("_n"))
-    ports = ports.groupBy(*by).agg(X.histogram("dst_port", "_n").alias("port_counts"))
-    actions = rows.where("action IS NOT NULL").groupBy(*by, "action").agg(F.count("*").alias("_n")).groupBy(*by).agg(X.histogram("action", "_n").alias("actions"))
+    """Profile per interface or per resolved actor; of an actor's ports only those seen more than once count for novelty (`dst_ports`).
+
+    Histograms of ports, connections (address:port) and actions have the most
+    frequent first; `dst_spans` has each destination's first and last time.
+    """
+    rows = flows.withColumns({"_b": F.coalesce("bytes", F.lit(0)), "connection": F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))})
+    rows = rows.withColumn("connection", F.when(F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull(), F.col("connection")))
     out = rows.groupBy(*by).agg(
         F.count("*").alias("event_count"), F.sum("_b").alias("bytes_total"), F.max("_b").alias("bytes_max"), F.max_by("event_time", F.struct("_b", -X.epoch_us("event_time"))).alias("_t"),
         F.count_if(F.col("action") == "REJECT").alias("reject_count"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"),
         known("dst_ip").alias("dst_ips"), known("protocol").alias("protocols"), known("src_ip").alias("src_ips"),
     )
-    out = out.withColumn("bytes_max_time", F.when(F.col("bytes_max") > 0, F.col("_t"))).drop("_t").join(ports, by, "left").join(actions, by, "left")
-    return out.withColumn("dst_ports", F.array_sort(F.map_keys(F.map_filter("port_counts", lambda _, n: n > 1))))
+    out = out.withColumn("bytes_max_time", F.when(F.col("bytes_max") > 0, F.col("_t"))).drop("_t")
+    counts = [ordered_counts(rows, by, c, n) for c, n in (("dst_port", "port_counts"), ("connection", "connections"), ("action", "actions"))]
+    out = _all(out, [*counts, seen_between(rows, by, "dst_ip").withColumnRenamed("dst_ips", "dst_spans")], by)
+    return out.withColumn("dst_ports", F.array_sort(F.transform(F.filter(F.coalesce("port_counts", F.array()), lambda x: x["n"] > 1), lambda x: x["dst_port"])))
 
 
 def assemble_profiles(api: DataFrame, access: DataFrame, flow: DataFrame) -> DataFrame:
@@ -161,3 +192,20 @@ def profile_counts(profiles: DataFrame, interfaces: DataFrame) -> DataFrame:
     actors = profiles.agg(F.count_if(F.coalesce(~F.col("is_system"), F.lit(True))).alias("human_actors"), F.count_if(F.col("is_system")).alias("system_actors"))
     nets = interfaces.agg(F.count_if(F.col("actor").isNotNull()).alias("resolved_interfaces"), F.count_if(F.col("actor").isNull()).alias("unresolved_interfaces"))
     return actors.crossJoin(nets)
+
+
+def flow_counts(flows: DataFrame, ip_actors: DataFrame) -> DataFrame:
+    """One row: total flows, those with an actor by their address, by their interface, with the interface alone, and skipped ones, which have none of these."""
+    known = F.col("actor").isNotNull() & (F.col("actor") != F.coalesce("eni", F.lit("")))
+    own = resolve_flows(flows.join(ip_actors.select("src_ip", F.lit(True).alias("_own")), "src_ip", "left"), ip_actors)
+    by_ip = F.coalesce(F.col("_own"), F.lit(False))
+    return own.agg(
+        F.count("*").alias("total_flows"), F.count_if(by_ip).alias("by_address"), F.count_if(~by_ip & known).alias("by_interface"),
+        F.count_if(~by_ip & F.col("actor").isNotNull() & ~known).alias("interface_alone"), F.count_if(F.col("actor").isNull()).alias("skipped_flows"),
+    )
+
+
+def actor_slices(profiles: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """(slice, actor): the human and the system actors, and the interfaces behind which no actor is known."""
+    named = profiles.select(F.when(F.coalesce("is_system", F.lit(False)), "system").otherwise("human").alias("slice"), "actor")
+    return named.unionByName(interfaces.where("actor IS NULL").select(F.lit("unresolved_interface").alias("slice"), F.col("eni").alias("actor")))

@@ -38,11 +38,10 @@ def split_last_days(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]
 
 
 def split_share(events: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """The first part of the time range is the baseline; if nothing is left after it, everything is current."""
+    """The first part of the time range is the baseline; where all events have one time, everything is current."""
     us = X.epoch_us("event_time")
     bound = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).select((F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * share)).alias("_at"))
-    baseline, current = _split_by(events, bound)
-    return (baseline, current) if not current.isEmpty() else (baseline, events)
+    return _split_by(events, bound)  # the latest event is never before the bound
 
 
 # Rarity.
@@ -83,7 +82,11 @@ def timing_features(current: DataFrame, tie: str = "event_uid") -> DataFrame:
     order = W.partitionBy(*FLOW_KEYS).orderBy("event_time", tie)
     us = X.epoch_us("event_time")
     deltas = current.where("bytes_out > 0").withColumn("_d", (us - F.lag(us).over(order)) / 1e6).where("_d IS NOT NULL")
-    deltas = deltas.withColumn("_m", F.median("_d").over(W.partitionBy(*FLOW_KEYS)))
+    middle = deltas.groupBy(*FLOW_KEYS).agg(F.median("_d").alias("_m")).select(*(F.col(k).alias(f"_{k}") for k in FLOW_KEYS), "_m")
+    same = F.lit(True)
+    for k in FLOW_KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    deltas = deltas.join(middle, same)
     inside = F.when(F.col("_m") > 0, F.col("_d").between(F.col("_m") * (1 - fixed.BAND), F.col("_m") * (1 + fixed.BAND)).cast("double"))
     out = deltas.groupBy(*FLOW_KEYS).agg(
         F.avg("_d").alias("mean_interval_seconds"), F.stddev_samp("_d").alias("std_interval_seconds"), F.first("_m").alias("median_interval_seconds"),

@@ -31,6 +31,19 @@ def alert_actor(alerts: DataFrame, interfaces: DataFrame | None = None) -> DataF
     return alerts.join(known, "interface_uid", "left").withColumn("actor", F.coalesce(principal, "_behind", eni, F.lit("unknown"))).drop("_behind")
 
 
+def latest_interfaces(daily: DataFrame) -> DataFrame:
+    """(eni, actor) from (day, eni, actor) rows of all days: who was behind an interface on the latest day that tells, of several the least name."""
+    each = daily.where("eni IS NOT NULL AND actor IS NOT NULL").groupBy("eni", "day").agg(F.min("actor").alias("actor"))
+    return each.groupBy("eni").agg(F.max_by("actor", "day").alias("actor"))
+
+
+def ranked_alerts(alerts: DataFrame, score: str, family: str, keep: int | None = None) -> DataFrame:
+    """The alerts of a family with their place among the actor's, the highest score first; the first `keep` of each actor where it is given."""
+    turn = W.partitionBy("actor").orderBy(F.desc(score), "entity_key", "destination")
+    out = alerts.where(F.col("alert_family") == family).withColumn("place", F.row_number().over(turn))
+    return out if keep is None else out.where(F.col("place") <= keep)
+
+
 def findings_matrix(scores: DataFrame, alerts: DataFrame, sessions: DataFrame | None, top_sessions: int = fixed.TOP_SESSIONS) -> DataFrame:
     """One row per actor of any detector, with the count of signals at their thresholds; most signals first."""
     peak = peak_scores(scores)
@@ -81,6 +94,35 @@ def exfil_by_actor(alerts: DataFrame) -> DataFrame:
     )
 
 
+def evidence_rows(today: DataFrame, before: DataFrame) -> DataFrame:
+    """(actor, kind, value, n, first_seen) of today's values that the actor's baseline lacks, all of them for actors without one. Inputs are long rows (actor, kind, value, event_time), so no set is ever one row."""
+    rows = today.where(F.col("value").isNotNull()).groupBy("actor", "kind", "value").agg(F.count("*").alias("n"), F.min("event_time").alias("first_seen"))
+    return rows.join(before.select("actor", "kind", "value").distinct(), ["actor", "kind", "value"], "left_anti")
+
+
+def api_evidence(events: DataFrame) -> DataFrame:
+    """Long rows of operations, addresses, regions and resources."""
+    return _long(events, {"operation": "operation", "ip": "ip", "region": "region"}).unionByName(
+        events.select("actor", F.lit("resource").alias("kind"), F.explode("resources").alias("value"), "event_time")
+    )
+
+
+def access_evidence(accesses: DataFrame) -> DataFrame:
+    """Long rows of operations, addresses and buckets."""
+    return _long(accesses, {"operation": "operation", "ip": "ip", "bucket": "bucket"})
+
+
+def flow_evidence(flows: DataFrame) -> DataFrame:
+    """Long rows of destinations, connections (address:port) and protocols."""
+    rows = flows.withColumn("connection", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
+    return _long(rows, {"dst_ip": "dst_ip", "connection": "connection", "protocol": "protocol"})
+
+
+def _long(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))
+    return rows.select("actor", "event_time", F.explode(each).alias("e")).select("actor", "e.kind", "e.value", "event_time")
+
+
 def new_evidence(today: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
     """(actor, column, items): what today's sets have beyond the baseline's; all of it for actors without one."""
     prior = before.select("actor", *(F.col(c).alias(f"_{c}") for c in columns))

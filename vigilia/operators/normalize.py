@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
@@ -47,6 +48,12 @@ def coalesce_paths(frame: DataFrame, paths: list[str], default: str | None = Non
     return F.coalesce(*found, F.lit(default).cast("string"))
 
 
+def event_uid(events: DataFrame) -> Column:
+    """What breaks ties in time: the event's own uid, else a hash of the whole event, so that it does not depend on how rows are dealt."""
+    own = [F.col(p).cast("string") for p in ("metadata.uid", "eventID") if has_path(events.schema, p)]
+    return F.coalesce(*(X.empty_to_null(c) for c in own), F.concat(F.lit("#"), F.hex(F.xxhash64(F.to_json(F.struct("*"))))))
+
+
 def number(value: Column) -> Column:
     return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
 
@@ -96,7 +103,7 @@ def exfil_events(events: DataFrame, bytes_paths: list[str] | None = None, label:
         destination(get("dst_domain"), get("dst_ip"), get("dst_port")).alias("destination"), get("protocol").alias("protocol"),
         number(coalesce_paths(events, bytes_paths or paths["bytes_out"])).alias("bytes_out"), number(get("bytes_in")).alias("bytes_in"),
         get("api_operation", "unknown_operation").alias("api_operation"), get("api_service", "unknown_service").alias("api_service"), get("user_agent", "unknown_user_agent").alias("user_agent"),
-        resource_label(get("resource"), resources).alias("resource"), F.monotonically_increasing_id().alias("event_uid"),
+        resource_label(get("resource"), resources).alias("resource"), event_uid(events).alias("event_uid"),
     ).where("event_time IS NOT NULL")
     who = entity(F.col("cloud_account"), F.col("principal"), F.col("src_uid"), F.col("interface_uid"), F.col("src_ip"))
     return out.withColumn("_e", who).select("*", "_e.entity_key", "_e.entity_type").drop("_e")
@@ -118,7 +125,7 @@ def session_events(events: DataFrame) -> DataFrame:
     status = get("status_id", "int")
     error = F.when(status.isNotNull() & (status != 1), F.coalesce(X.empty_to_null(get("status_detail")), X.empty_to_null(get("status")), F.lit("Error")))
     out = events.select(
-        F.timestamp_millis(F.nullif(get("time", "long"), F.lit(0).cast("long"))).alias("event_time"), F.monotonically_increasing_id().alias("event_uid"), name.alias("event_name"),
+        F.timestamp_millis(F.nullif(get("time", "long"), F.lit(0).cast("long"))).alias("event_time"), event_uid(events).alias("event_uid"), name.alias("event_name"),
         F.coalesce(X.empty_to_null(get("api.service.name")), X.lookup(fixed.service_map(), operation)).alias("event_source"),
         session_identity(get("actor.user.uid_alt"), get("actor.user.name"), get("actor.user.uid")).alias("identity_id"), get("actor.user.type").alias("identity_type"),
         get("src_endpoint.ip").alias("source_ip"), get("cloud.region").alias("aws_region"), get("http_request.user_agent").alias("user_agent"), get("cloud.account.uid").alias("account_id"), error.alias("error_code"),
@@ -130,7 +137,7 @@ def session_events_from_audit(records: DataFrame) -> DataFrame:
     """Raw audit records (fields of the audit trail, `userIdentity` a struct) to the same fields."""
     get = lambda p: F.col(p).cast("string") if has_path(records.schema, p) else F.lit(None).cast("string")
     out = records.select(
-        F.try_to_timestamp(get("eventTime")).alias("event_time"), F.monotonically_increasing_id().alias("event_uid"), get("eventName").alias("event_name"), get("eventSource").alias("event_source"),
+        F.try_to_timestamp(get("eventTime")).alias("event_time"), event_uid(records).alias("event_uid"), get("eventName").alias("event_name"), get("eventSource").alias("event_source"),
         F.coalesce(X.empty_to_null(get("userIdentity.arn")), X.empty_to_null(get("userIdentity.principalId")), F.lit("unknown")).alias("identity_id"), get("userIdentity.type").alias("identity_type"),
         get("sourceIPAddress").alias("source_ip"), get("awsRegion").alias("aws_region"), get("userAgent").alias("user_agent"),
         F.coalesce(X.empty_to_null(get("userIdentity.accountId")), get("recipientAccountId")).alias("account_id"), get("errorCode").alias("error_code"),
@@ -280,11 +287,32 @@ def map_flow(records: DataFrame) -> DataFrame:
     }, 4001, F.lit(6)))
 
 
-def conformance(events: DataFrame, required: list[str], by: list[str]) -> DataFrame:
-    """(by, total, valid) and each group's first five errors: which required paths a record lacks."""
-    missing = X.compact(*(F.when(F.col(p).isNull() if has_path(events.schema, p) else F.lit(True), F.lit(p)) for p in required))
-    rows = events.withColumn("_missing", missing)
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("total"), F.count_if(F.size("_missing") == 0).alias("valid"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.size("_missing") > 0, F.array_join("_missing", ",")))), 1, 5).alias("errors"),
-    )
+def map_counts(records: DataFrame, events: DataFrame, by: str) -> DataFrame:
+    """(by, read, mapped, skipped) of raw records and the events they were mapped to: an event without a time is an error and is skipped."""
+    read = records.groupBy(by).agg(F.count("*").alias("read"))
+    good = events.where("time IS NOT NULL").groupBy(by).agg(F.count("*").alias("mapped"))
+    out = read.join(good, by, "left").na.fill(0, ["mapped"])
+    return out.withColumn("skipped", F.col("read") - F.col("mapped"))
+
+
+def conformance(events: DataFrame, required: list[str], by: list[str], types: dict[str, str] | None = None, order: list[str] | None = None, keep: int = 5) -> DataFrame:
+    """(by, total, valid, errors): how many records have the required paths and, where a path has one of `types`, a value of that type.
+
+    errors are the texts of each group's first `keep` records with an error, in
+    the given order, else in that of their texts; a record's errors stand in one text.
+    """
+    types = types or {}
+
+    def fault(path: str) -> Column:
+        if not has_path(events.schema, path):
+            return F.lit(f"{path}: missing") if path in required else F.lit(None).cast("string")
+        value = F.col(path)
+        text = F.when(value.isNull(), F.lit(f"{path}: missing") if path in required else F.lit(None))
+        return text.when(value.cast("string").try_cast(types[path]).isNull(), f"{path}: no {types[path]}") if path in types else text
+
+    rows = events.withColumn("_errors", X.compact(*(fault(p) for p in dict.fromkeys([*required, *types])))).withColumn("_text", F.array_join("_errors", ", "))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.size("_errors") == 0).alias("valid"))
+    turn = W.partitionBy(*by).orderBy(*(order or []), "_text")
+    first = rows.where(F.size("_errors") > 0).withColumn("_place", F.row_number().over(turn)).where(F.col("_place") <= keep)
+    texts = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "_text"))).alias("_e")).select(*by, F.col("_e._text").alias("errors"))
+    return counts.join(texts, by, "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))

@@ -14,12 +14,15 @@ from vigilia.functions import exprs as X
 from vigilia.functions import fixed
 
 
-def sessionize(events: DataFrame, gap_minutes: float = fixed.GAP_MINUTES, bucket_days: int | None = None) -> DataFrame:
+BUCKET_DAYS = 1
+
+
+def sessionize(events: DataFrame, gap_minutes: float = fixed.GAP_MINUTES, bucket_days: int | None = BUCKET_DAYS) -> DataFrame:
     """Add session_number (from 1 per identity) and session_id. A new session starts after a gap of strictly more than `gap_minutes`.
 
-    With `bucket_days` the events of an identity are ordered per stretch of
-    days, and only one row per stretch meets the others, so that an identity
-    with most of all events is no longer one task's work.
+    The events of an identity are ordered per stretch of `bucket_days` days, and
+    only one row per stretch meets the others, so that an identity with most of
+    all events is no longer one task's work. None orders them all at once.
     """
     gap, t = int(gap_minutes * 60_000_000), X.epoch_us("event_time")
     named = lambda n: F.concat("identity_id", F.lit("_s"), n.cast("string"))

@@ -37,6 +37,8 @@ def api_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.lookup(names, F.concat("event_type", (F.col("k") % 4).cast("string"))).alias("operation"), F.concat(F.lit("res_"), F.col("k").cast("string")).alias("resource"),
         F.concat(F.lit("ip_"), (F.col("k") % 20).cast("string")).alias("ip"), F.concat(F.lit("reg_"), F.expr("k div 5").cast("string")).alias("region"),
         F.round(F.col("value") * 100).cast("long").alias("bytes"), (F.col("event_type") == "error").alias("failed"), F.expr("user_id % 10 = 0").alias("is_system"),
+        F.when(F.col("k") % 5 != 0, F.concat(F.lit("AID"), F.col("user_id").cast("string"), F.lit("-"), (F.col("k") % 3).cast("string"))).alias("uid"), F.concat(F.lit("arn:"), F.col("user_id").cast("string"), F.lit("/"), (F.col("k") % 3).cast("string")).alias("uid_alt"),
+        F.when(F.col("k") % 4 == 0, "AssumedRole").otherwise("IAMUser").alias("type"),
     ).withColumn("resources", F.array("resource"))
 
 

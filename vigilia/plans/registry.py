@@ -328,7 +328,7 @@ def vpc_actor_profile(spark, sf_dir):
 @register("SELECT eni, dst_port, count(*) AS n FROM fcur GROUP BY eni, dst_port HAVING count(*) > 1")
 def vpc_repeated_ports(spark, sf_dir):
     out = B.flow_profile(_split_table(D.flows(spark, sf_dir))[1], ["eni"])
-    return out.select("eni", F.explode(F.map_filter("port_counts", lambda _, n: n > 1)).alias("dst_port", "n"))
+    return out.select("eni", F.explode(F.filter("port_counts", lambda x: x["n"] > 1)).alias("e")).select("eni", "e.dst_port", "e.n")
 
 
 @register("SELECT actor, count(*) AS event_count, CAST(sum(bytes) AS BIGINT) AS bytes_total, max(bytes) AS bytes_max, CASE WHEN max(bytes) > 0 THEN epoch_us(arg_max(event_time, (bytes, -epoch_us(event_time)))) END AS bytes_max_time, count(*) FILTER (code <> 200) AS error_count, string_agg(DISTINCT operation, ',' ORDER BY operation) AS known_operations, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS known_buckets, string_agg(DISTINCT ip, ',' ORDER BY ip) AS known_ips FROM acur GROUP BY actor")
@@ -358,6 +358,94 @@ def run_counters(spark, sf_dir):
     return B.profile_counts(profiles, B.resolve_interfaces(flows, B.last_actor_by_ip(D.api_events(spark, sf_dir))))
 
 
+def _spans(profile: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
+    """The spans of a profile as rows (by, kind, value, first_seen, last_seen)."""
+    def named(kind: str, column: str):
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x[kind].cast("string").alias("value"), x["first_seen"].alias("first_seen"), x["last_seen"].alias("last_seen")))
+
+    each = F.flatten(F.array(*(named(k, c) for k, c in columns.items())))
+    return profile.select(by, F.explode(each).alias("e")).select(by, "e.kind", "e.value", us("e.first_seen").alias("first_seen"), us("e.last_seen").alias("last_seen"))
+
+
+def _spans_sql(view: str, by: str, kinds: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {by}, '{k}' AS kind, {k} AS value, epoch_us(min(event_time)) AS first_seen, epoch_us(max(event_time)) AS last_seen FROM {view} GROUP BY {by}, {k}" for k in kinds)
+
+
+def _places(profile: DataFrame, by: str, key: str, column: str) -> DataFrame:
+    """An ordered histogram as rows (by, place from 1, key, n)."""
+    return profile.select(by, F.posexplode(column).alias("p", "e")).select(by, (F.col("p") + 1).alias("place"), F.col(f"e.{key}").alias(key), "e.n")
+
+
+def _places_sql(view: str, by: str, key: str, value: str | None = None) -> str:
+    return f"SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {key}) AS place, {key}, n FROM (SELECT {by}, {value or key} AS {key}, count(*) AS n FROM {view} GROUP BY 1, 2)"
+
+
+@register(_spans_sql("cur", "actor", ("ip", "uid_alt", "type")))
+def ct_profile_spans(spark, sf_dir):
+    return _spans(B.api_profile(_current(spark, sf_dir)), "actor", {"ip": "ips", "uid_alt": "uid_alts", "type": "types"})
+
+
+@register(_places_sql("cur", "actor", "hour", "CAST(hour(event_time) AS INT)"))
+def ct_profile_hours(spark, sf_dir):
+    return _places(B.api_profile(_current(spark, sf_dir)), "actor", "hour", "hours")
+
+
+@register("SELECT actor, count(*) AS event_count, arg_min(is_system, (event_time, event_uid)) AS is_system, arg_min(uid, (event_time, event_uid)) FILTER (uid IS NOT NULL) AS uid, string_agg(DISTINCT operation, ',' ORDER BY operation) AS known_operations, string_agg(DISTINCT region, ',' ORDER BY region) AS known_regions, string_agg(DISTINCT resource, ',' ORDER BY resource) AS known_resources FROM cur GROUP BY actor")
+def ct_profile_identity(spark, sf_dir):
+    return B.api_profile(_current(spark, sf_dir)).select("actor", "event_count", "is_system", "uid", *(F.array_join(c, ",").alias(c) for c in ("known_operations", "known_regions", "known_resources")))
+
+
+@register(_spans_sql("acur", "actor", ("ip",)))
+def s3_profile_spans(spark, sf_dir):
+    return _spans(B.access_profile(_split_table(D.accesses(spark, sf_dir))[1]), "actor", {"ip": "ips"})
+
+
+@register(_places_sql("acur", "actor", "code"))
+def s3_profile_codes(spark, sf_dir):
+    return _places(B.access_profile(_split_table(D.accesses(spark, sf_dir))[1]), "actor", "code", "response_codes")
+
+
+def _flow_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.flow_profile(_split_table(D.flows(spark, sf_dir))[1], ["eni"])
+
+
+@register(_spans_sql("fcur", "eni", ("dst_ip",)))
+def vpc_profile_spans(spark, sf_dir):
+    return _spans(_flow_profile(spark, sf_dir), "eni", {"dst_ip": "dst_spans"})
+
+
+@register(_places_sql("fcur", "eni", "connection", "dst_ip || ':' || dst_port"))
+def vpc_profile_connections(spark, sf_dir):
+    return _places(_flow_profile(spark, sf_dir), "eni", "connection", "connections")
+
+
+@register(_places_sql("fcur", "eni", "dst_port"))
+def vpc_profile_ports(spark, sf_dir):
+    return _places(_flow_profile(spark, sf_dir), "eni", "dst_port", "port_counts")
+
+
+@register(_places_sql("fcur", "eni", "action"))
+def vpc_profile_actions(spark, sf_dir):
+    return _places(_flow_profile(spark, sf_dir), "eni", "action", "actions")
+
+
+@register(f"""SELECT count(*) AS total_flows, count(*) FILTER (a IS NOT NULL) AS by_address, count(*) FILTER (a IS NULL AND e IS NOT NULL) AS by_interface, count(*) FILTER (a IS NULL AND e IS NULL AND eni IS NOT NULL) AS interface_alone,
+  count(*) FILTER (a IS NULL AND eni IS NULL) AS skipped_flows FROM (SELECT f.eni, a.actor AS a, e.actor AS e FROM (SELECT CASE WHEN event_uid % 7 > 0 THEN eni END AS eni, CASE WHEN event_uid % 3 = 0 AND suppkey % 2 = 0 THEN src_ip ELSE 'none' END AS src_ip, event_time FROM fcur) f LEFT JOIN {_ACTORS} a USING (src_ip)
+  LEFT JOIN (SELECT DISTINCT eni, 1 AS actor FROM fcur JOIN {_ACTORS} a USING (src_ip) WHERE event_uid % 7 > 0 AND event_uid % 3 = 0 AND suppkey % 2 = 0) e USING (eni))""")
+def flow_counters(spark, sf_dir):
+    rows = _split_table(D.flows(spark, sf_dir))[1]
+    rows = rows.withColumns({"eni": F.when(F.col("event_uid") % 7 > 0, F.col("eni")), "src_ip": F.when((F.col("event_uid") % 3 == 0) & (F.col("suppkey") % 2 == 0), F.col("src_ip")).otherwise("none")})
+    return B.flow_counts(rows, B.last_actor_by_ip(D.api_events(spark, sf_dir)))
+
+
+@register(f"SELECT 'human' AS slice, actor FROM (SELECT actor, arg_min(is_system, (event_time, event_uid)) AS s FROM cur GROUP BY actor) FULL JOIN (SELECT DISTINCT actor FROM acur) USING (actor) WHERE NOT coalesce(s, false) UNION ALL SELECT 'system', actor FROM (SELECT actor, arg_min(is_system, (event_time, event_uid)) AS s FROM cur GROUP BY actor) WHERE s UNION ALL SELECT 'unresolved_interface', eni FROM fcur LEFT JOIN {_ACTORS} a USING (src_ip) GROUP BY eni HAVING max(a.actor) IS NULL")
+def actor_slices(spark, sf_dir):
+    flows = _split_table(D.flows(spark, sf_dir))[1]
+    none = B.flow_profile(flows.where("false"), ["eni"]).withColumnRenamed("eni", "actor")
+    profiles = B.assemble_profiles(B.api_profile(_current(spark, sf_dir)), B.access_profile(_split_table(D.accesses(spark, sf_dir))[1]), none)
+    return B.actor_slices(profiles, B.resolve_interfaces(flows, B.last_actor_by_ip(D.api_events(spark, sf_dir))))
+
+
 # Scores of actors.
 
 
@@ -673,6 +761,45 @@ def exfil_by_actor(spark, sf_dir):
     return R.exfil_by_actor(R.alert_actor(_alerts(spark, sf_dir))).drop("best_time_entity")
 
 
+_DAILY = f"SELECT eni, CAST(event_time AS DATE) AS day, min(a.actor) AS actor FROM fcur JOIN {_ACTORS} a USING (src_ip) WHERE suppkey % 3 > 0 GROUP BY 1, 2"
+
+
+@register(f"SELECT interface_uid, destination, coalesce(e.actor, interface_uid) AS actor FROM nets LEFT JOIN (SELECT eni, arg_max(actor, day) AS actor FROM ({_DAILY}) GROUP BY eni) e ON e.eni = interface_uid")
+def alert_actor_names(spark, sf_dir):
+    flows = _split_table(D.flows(spark, sf_dir))[1].where(F.col("suppkey") % 3 > 0)
+    daily = _day(flows).join(B.last_actor_by_ip(D.api_events(spark, sf_dir)), "src_ip").select("day", "eni", "actor")
+    return R.alert_actor(_network_alerts(spark, sf_dir), R.latest_interfaces(daily)).select("interface_uid", "destination", "actor")
+
+
+@register("SELECT actor, alert_family, place, entity_key, destination, score FROM (SELECT interface_uid AS actor, 'network' AS alert_family, row_number() OVER (PARTITION BY interface_uid ORDER BY network_risk_score DESC, destination) AS place, 'interface:acct:' || interface_uid AS entity_key, destination, network_risk_score AS score FROM nets UNION ALL SELECT principal, 'time_based', row_number() OVER (PARTITION BY principal ORDER BY time_based_risk_score DESC), 'principal:acct:' || principal, 's3_data_access_time_series', time_based_risk_score FROM times)")
+def exfil_actor_rows(spark, sf_dir):
+    alerts, columns = R.alert_actor(_alerts(spark, sf_dir)), ("actor", "alert_family", "place", "entity_key", "destination")
+    network = R.ranked_alerts(alerts, "network_risk_score", "network").select(*columns, F.col("network_risk_score").alias("score"))
+    return network.unionByName(R.ranked_alerts(alerts, "time_based_risk_score", "time_based", keep=1).select(*columns, F.col("time_based_risk_score").alias("score")))
+
+
+def _evidence_sql(today: str, before: str, by: str, kinds: dict[str, str]) -> str:
+    long = lambda v: " UNION ALL ".join(f"SELECT {by} AS actor, '{k}' AS kind, CAST({c} AS VARCHAR) AS value, event_time FROM {v}" for k, c in kinds.items())
+    return f"SELECT actor, kind, value, count(*) AS n, epoch_us(min(event_time)) AS first_seen FROM ({long(today)}) t WHERE NOT EXISTS (SELECT 1 FROM ({long(before)}) b WHERE b.actor = t.actor AND b.kind = t.kind AND b.value = t.value) GROUP BY ALL"
+
+
+@register(_evidence_sql("cur", "base", "actor", {k: k for k in ("operation", "ip", "region", "resource")}))
+def evidence_api(spark, sf_dir):
+    return R.evidence_rows(R.api_evidence(_current(spark, sf_dir)), R.api_evidence(_base(spark, sf_dir))).withColumn("first_seen", us("first_seen"))
+
+
+@register(_evidence_sql("acur", "abase", "actor", {k: k for k in ("operation", "ip", "bucket")}))
+def evidence_access(spark, sf_dir):
+    before, after = _split_table(D.accesses(spark, sf_dir))
+    return R.evidence_rows(R.access_evidence(after), R.access_evidence(before)).withColumn("first_seen", us("first_seen"))
+
+
+@register(_evidence_sql("fcur", "fbase", "eni", {"dst_ip": "dst_ip", "connection": "dst_ip || ':' || dst_port", "protocol": "protocol"}))
+def evidence_flow(spark, sf_dir):
+    before, after = _split_table(D.flows(spark, sf_dir).withColumn("actor", F.col("eni")))
+    return R.evidence_rows(R.flow_evidence(after), R.flow_evidence(before)).withColumn("first_seen", us("first_seen"))
+
+
 @register("SELECT actor, c AS \"column\", string_agg(item, ',' ORDER BY item) AS items FROM (" + " UNION ALL ".join(f"SELECT DISTINCT actor, 'known_{k}s' AS c, {k} AS item FROM cur s WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.actor = s.actor AND b.{k} = s.{k})" for k in ("region", "resource")) + ") GROUP BY ALL")
 def evidence_new_vs_baseline(spark, sf_dir):
     out = R.new_evidence(B.api_profile(_current(spark, sf_dir)), B.api_profile(_base(spark, sf_dir)), ["known_regions", "known_resources"])
@@ -765,6 +892,21 @@ def conformance_counts(spark, sf_dir):
     return N.conformance(rows, ["metadata.uid", "metadata.value"], ["event_type"]).select("event_type", "total", "valid")
 
 
+@register("""SELECT event_type, count(*) AS total, count(*) FILTER (e = '') AS valid, coalesce(string_agg(e, '; ' ORDER BY r) FILTER (e <> '' AND r <= 5), '') AS errors FROM (SELECT *, row_number() OVER (PARTITION BY event_type, e <> '' ORDER BY event_id) AS r FROM (SELECT event_type, event_id,
+  concat_ws(', ', CASE WHEN event_id % 7 = 0 THEN 'metadata.uid: missing' END, CASE WHEN event_id % 11 = 0 THEN 'metadata.value: no double' END) AS e FROM events)) GROUP BY event_type""")
+def conformance_errors(spark, sf_dir):
+    value = F.when(F.col("event_id") % 11 == 0, F.lit("many")).otherwise(F.coalesce(F.col("value"), F.lit(0.0)).cast("string"))
+    rows = D.read(spark, sf_dir, "events").select("event_type", "event_id", F.struct(value.alias("value"), F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("uid")).alias("metadata"))
+    return N.conformance(rows, ["metadata.uid", "metadata.value"], ["event_type"], {"metadata.value": "double"}, ["event_id"]).withColumn("errors", F.array_join("errors", "; "))
+
+
+@register("SELECT event_type AS source, count(*) AS read, count(*) FILTER (event_id % 13 <> 0) AS mapped, count(*) FILTER (event_id % 13 = 0) AS skipped FROM events GROUP BY event_type")
+def mapped_counts(spark, sf_dir):
+    time = F.when(F.col("event_id") % 13 == 0, F.lit("yesterday")).otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    records = D.read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), time.alias("eventTime"))
+    return N.map_counts(records, records.withColumn("time", N.iso_millis(F.col("eventTime"))), "source")
+
+
 @register("WITH t AS (SELECT user_id % 5 AS bucket, event_type AS name, count(*) AS n FROM events GROUP BY ALL) SELECT CAST(bucket AS VARCHAR) AS bucket, name, n FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, name) AS r FROM t) WHERE r <= 3 UNION ALL SELECT NULL, name, CAST(sum(n) AS BIGINT) FROM t GROUP BY name")
 def source_type_inventory(spark, sf_dir):
     texts = D.read(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("string").alias("bucket"), F.concat(F.lit("x sourcetype::"), "event_type", F.lit(" y")).alias("value"))

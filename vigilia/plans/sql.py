@@ -18,6 +18,7 @@ VIEWS = {
     "svcs": f"svcs(operation, service) AS (VALUES {_values(fixed.service_map().items())})",
     "ev": """ev AS (SELECT event_id AS event_uid, ts AS event_time, 'u' || user_id AS actor, k, o.operation, 'res_' || k AS resource, 'ip_' || (k % 20) AS ip, 'reg_' || (k // 5) AS region,
       CAST(round(value * 100) AS BIGINT) AS bytes, r.event_type = 'error' AS failed, user_id % 10 = 0 AS is_system,
+      CASE WHEN k % 5 <> 0 THEN 'AID' || user_id || '-' || (k % 3) END AS uid, 'arn:' || user_id || '/' || (k % 3) AS uid_alt, CASE WHEN k % 4 = 0 THEN 'AssumedRole' ELSE 'IAMUser' END AS type,
       coalesce(c.category, 'Other') AS category, coalesce(s.service, 'none') AS service, o.operation IN (""" + ", ".join(f"'{x}'" for x in fixed.SENSITIVE_ACTIONS) + """) AS sensitive
     FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) r
     LEFT JOIN ops o ON r.event_type = o.event_type AND r.k % 4 = o.r LEFT JOIN cats c ON o.operation = c.operation LEFT JOIN svcs s ON o.operation = s.operation)""",

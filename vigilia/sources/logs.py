@@ -70,6 +70,55 @@ def read_events(spark: SparkSession, paths: list[str] | str, schema: str = EVENT
     return rows.withColumn("input_file", F.col("_metadata.file_path")).withColumns({"source": source_label(F.col("input_file")), "day": day_of(F.col("input_file"))})
 
 
+def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(input_file, line_number, value) of text files, numbered from 1 in each file: lines are counted per block, and blocks stand one after another."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    rows = lines.select(F.input_file_name().alias("input_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    ends = rows.groupBy("input_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    before = W.partitionBy("input_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("input_file", "_block", "_least", "_before")
+    return rows.join(ends, ["input_file", "_block"]).select("input_file", (F.col("_before") + F.col("_id") - F.col("_least") + 1).alias("line_number"), "value")
+
+
+def bad_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The numbered lines that are neither blank nor a JSON object."""
+    return numbered_lines(spark, paths).where(F.trim("value") != "").where(F.json_object_keys("value").isNull())
+
+
+def check_lines(spark: SparkSession, paths: list[str] | str) -> None:
+    """An error that names the first bad line of the first file which has one."""
+    first = bad_lines(spark, paths).orderBy("input_file", "line_number").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].input_file}, line {first[0].line_number}: no JSON object")
+
+
+def expand_sources(spark: SparkSession, inputs: list[str] | str) -> dict[str, list[str]]:
+    """The files under files, folders (with all below) and globs by suffix, each once however often it is named; nothing found is an error."""
+    wanted = [inputs] if isinstance(inputs, str) else inputs
+    found = _present(spark, list(dict.fromkeys(wanted)))
+    out: dict[str, list[str]] = {}
+    if found:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)}}}").load(found)
+        for r in listed.select("path").distinct().orderBy("path").collect():  # names of files, which the driver lists for any read
+            out.setdefault(r.path.rsplit(".", 1)[1], []).append(r.path)
+    if not out:
+        raise FileNotFoundError(f"no {', '.join(SUFFIXES)} files under {wanted}")
+    return out
+
+
+def read_sources(spark: SparkSession, inputs: list[str] | str, schema: str = EVENT) -> DataFrame:
+    """Events of all supported files under the inputs: JSON lines, JSON documents, and CSV whose columns the schema gives their types."""
+    files, frames = expand_sources(spark, inputs), []
+    if lines := files.get("jsonl", []) + files.get("ndjson", []):
+        frames.append(read_events(spark, lines, schema).select(*T.StructType.fromDDL(schema).names))
+    if documents := files.get("json"):
+        frames.append(read_document(spark, documents, schema))
+    if tables := files.get("csv"):
+        flat = read_flat_csv(spark, tables)
+        frames.append(flat.select(F.from_json(F.to_json(F.struct("*")), f"struct<{schema_fields(schema)}>").alias("e")).select("e.*"))
+    return union_sources(frames)
+
+
 def read_document(spark: SparkSession, paths: list[str] | str, schema: str = EVENT) -> DataFrame:
     """JSON documents: a list of events, or an object that holds it under events, data, records or Records."""
     raw = spark.read.text(paths, wholetext=True)
@@ -136,8 +185,10 @@ def parse_lines(texts: DataFrame, column: str, pattern: str, fields: list[str],
         for m in markers:
             held = held | F.col(column).contains(m)
         rows = rows.where(held)
-    found = rows.select(F.explode(F.regexp_extract_all(column, F.lit(f"({pattern})"), 1)).alias("_line"))
-    return found.select(*(F.regexp_extract("_line", pattern, i).alias(f) for i, f in enumerate(fields, 1))).dropDuplicates()
+    found = rows.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(0))).alias("_line"))
+    between = "\u0001"  # the fields of a line in one text: the pattern runs once a line, and equal records are equal texts
+    plain = found.select(F.regexp_replace("_line", pattern, between.join(f"${i}" for i in range(1, len(fields) + 1))).alias("_fields")).distinct()
+    return plain.select(F.split("_fields", between).alias("_f")).select(*(F.col("_f")[i].alias(f) for i, f in enumerate(fields)))
 
 
 def flow_lines(texts: DataFrame, column: str = "value", marked: bool = True) -> DataFrame:
