@@ -122,3 +122,44 @@ def test_sinks(spark, tmp_path):
     assert (valid.total, valid.valid, valid.errors) == (2, 0, ["a: missing, c: missing", "c: missing"])
     timeline = N.actor_timeline(spark.createDataFrame([(1,)], "x int").withColumn("event_time", F.current_timestamp()), F.lit("u")).first()
     assert timeline.n == 1
+
+
+def test_numbered_and_bad_lines(spark, tmp_path):
+    good = json.dumps(EVENT)
+    (tmp_path / "a.jsonl").write_text("\n".join([good] * 400 + ["", "not json"] + [good] * 300 + ["[1]"]) + "\n")
+    (tmp_path / "b.jsonl").write_text(f"{good}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")  # several blocks a file
+    try:
+        rows = logs.numbered_lines(spark, str(tmp_path)).collect()
+        assert sorted(r.line_number for r in rows if r.input_file.endswith("a.jsonl")) == list(range(1, 704))
+        assert [(r.input_file[-7:], r.line_number) for r in logs.bad_lines(spark, str(tmp_path)).orderBy("line_number").collect()] == [("a.jsonl", 402), ("a.jsonl", 703)]
+        with pytest.raises(ValueError, match="a.jsonl, line 402"):
+            logs.check_lines(spark, str(tmp_path))
+        logs.check_lines(spark, str(tmp_path / "b.jsonl"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_expanding_sources(spark, tmp_path):
+    deep = tmp_path / "x" / "y"
+    deep.mkdir(parents=True)
+    (deep / "a.jsonl").write_text(json.dumps({"time": 1, "src_endpoint": {"ip": "1.1.1.1"}}) + "\n")
+    (deep / "b.ndjson").write_text(json.dumps({"time": 2}) + "\n")
+    (tmp_path / "c.json").write_text(json.dumps({"records": [{"time": 3}, {"time": 4}]}))
+    (tmp_path / "d.csv").write_text("time,src_endpoint.ip\n5,5.5.5.5\n")
+    (tmp_path / "e.txt").write_text("no")
+    inputs = [str(tmp_path), str(deep), str(deep / "*.jsonl")]
+    assert {k: len(v) for k, v in logs.expand_sources(spark, inputs).items()} == {"jsonl": 1, "ndjson": 1, "json": 1, "csv": 1}
+    rows = logs.read_sources(spark, inputs, "time long, src_endpoint struct<ip:string>").collect()
+    assert sorted((r.time, r.src_endpoint.ip if r.src_endpoint else None) for r in rows) == [(1, "1.1.1.1"), (2, None), (3, None), (4, None), (5, "5.5.5.5")]
+    with pytest.raises(FileNotFoundError):
+        logs.expand_sources(spark, [str(tmp_path / "e.txt"), str(tmp_path / "none*")])
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    rows = [(6003, 1534755721000, ("a",), (f"Op{i}",)) for i in range(30)]
+    events = spark.createDataFrame(rows, "class_uid int, time long, user struct<name:string>, api struct<operation:string>")
+    events = events.select("class_uid", "time", F.struct("user").alias("actor"), "api")
+    order = lambda f: [r.event_name for r in N.session_events(f).orderBy("event_time", "event_uid").collect()]
+    assert order(events.repartition(5)) == order(events.coalesce(1))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
-from vigilia.operators.normalize import ACCESS_FIELDS, FLOW_FIELDS
+from vigilia.operators.normalize import ACCESS_FIELDS, FLOW_FIELDS, has_path
 
 #: Fixed value: the event contract all sources share, as a superset; missing paths are null.
 EVENT = (
@@ -115,10 +115,25 @@ def read_sources(spark: SparkSession, inputs: list[str] | str, schema: str = EVE
         frames.append(read_document(spark, documents, schema))
     if tables := files.get("csv"):
         flat = read_flat_csv(spark, tables)
-        frames.append(flat.select(F.from_json(F.to_json(F.struct("*")), f"struct<{schema_fields(schema)}>").alias("e")).select("e.*"))
+        frames.append(flat.select(*typed(flat, T.StructType.fromDDL(schema))))
     return union_sources(frames)
 
 
+def typed(frame: DataFrame, kind: T.StructType, above: str = "") -> list[Column]:
+    """Columns of the schema from a frame whose leaves are texts: what is no value of its type, and what is not there, is null."""
+    out = []
+    for field in kind.fields:
+        path = f"{above}{field.name}"
+        if isinstance(field.dataType, T.StructType):
+            column = F.struct(*typed(frame, field.dataType, f"{path}."))
+        elif not has_path(frame.schema, path):
+            column = F.lit(None).cast(field.dataType)
+        else:
+            column = F.from_json(path, field.dataType) if isinstance(field.dataType, (T.ArrayType, T.MapType)) else F.col(path).try_cast(field.dataType)
+        out.append(column.alias(field.name))
+    return out
+
+
 def read_document(spark: SparkSession, paths: list[str] | str, schema: str = EVENT) -> DataFrame:
     """JSON documents: a list of events, or an object that holds it under events, data, records or Records."""
     raw = spark.read.text(paths, wholetext=True)
