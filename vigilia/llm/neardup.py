@@ -32,6 +32,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 SMALL_BUCKET = 48
+BROADCAST_ROWS = 50_000  # of two ids each
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -100,11 +101,16 @@ def run_sets(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(map_texts(texts.join(wanted, "id", "left_semi").select("id", "text"), run, f"id {_kind(texts)}, runs array<long>"))
 
 
+def _sized(written: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast up to BROADCAST_ROWS rows. Files of ids compress far below what a broadcast of them takes, so their size must not decide."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of (a, b) whose sets of runs have at least that Jaccard similarity."""
     ours, theirs = sets.select(F.col("id").alias("a"), F.col("runs").alias("_a")), sets.select(F.col("id").alias("b"), F.col("runs").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
-    joined = pairs.join(theirs, "b").join(ours, "a").where(F.size("_a") >= similarity * F.size("_b")).where(F.size("_b") >= similarity * F.size("_a"))
+    joined = _sized(pairs).join(theirs, "b").join(ours, "a").where(F.size("_a") >= similarity * F.size("_b")).where(F.size("_b") >= similarity * F.size("_a"))
     return cut(joined.withColumn("_c", common).where(F.col("_c") >= similarity * (F.size("_a") + F.size("_b") - F.col("_c"))).select("a", "b"))
 
 
@@ -150,7 +156,7 @@ def _star(buckets: DataFrame) -> DataFrame:
 
 def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, id, class, n): the texts, with their classes, of the buckets of several classes, and how many those have."""
-    named = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    named = buckets.join(_sized(classes), "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
     mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     return named.join(mixed, "key")
 
@@ -234,14 +240,14 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float, looks: int
     mixed = cut(_mixed(buckets, cut(components(links))))
     for look in range(looks):
         far = _across_large(mixed, look)
-        pairs = cut((far if look else _across_small(mixed).unionByName(far)).distinct().join(tried, ["a", "b"], "left_anti"))  # the first look tries all pairs of small buckets
+        pairs = cut((far if look else _across_small(mixed).unionByName(far)).distinct().join(_sized(tried), ["a", "b"], "left_anti"))  # the first look tries all pairs of small buckets
         found = _verified(pairs, sets, similarity)
         tried = tried.union(pairs)
         if found.isEmpty():
             break
         links = links.union(found)
         mixed = cut(_mixed(buckets, cut(components(links))))
-    rest = cut(_rest(mixed, sets, similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = cut(_rest(mixed, sets, similarity).join(_sized(tried), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(_verified(rest, sets, similarity))
     return components(links.union(copies))
