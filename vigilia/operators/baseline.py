@@ -21,6 +21,13 @@ def with_actor(events: DataFrame) -> DataFrame:
     return events.where(F.col("actor").isNotNull() & (F.col("actor") != ""))
 
 
+def long_values(rows: DataFrame, kinds: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """(keep, kind, value) rows of the columns that `kinds` names, as text; `keep` is the actor unless given."""
+    keep = keep or ["actor"]
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))
+    return rows.select(*keep, F.explode(each).alias("_e")).select(*keep, "_e.kind", "_e.value")
+
+
 def slot_stats(events: DataFrame, unit: str, value: Column | None = None, by: str = "actor") -> DataFrame:
     """(by, mean, std, slots) of the events, or of the summed value, per hour or day; sample deviation, 0 for one slot; four decimals."""
     amount = F.count(F.lit(1)) if value is None else F.sum(value)

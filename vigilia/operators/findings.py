@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
+from vigilia.operators.baseline import long_values
 
 
 def peak_scores(scores: DataFrame) -> DataFrame:
@@ -119,8 +120,7 @@ def flow_evidence(flows: DataFrame) -> DataFrame:
 
 
 def _long(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))
-    return rows.select("actor", "event_time", F.explode(each).alias("e")).select("actor", "e.kind", "e.value", "event_time")
+    return long_values(rows, kinds, ["actor", "event_time"]).select("actor", "kind", "value", "event_time")
 
 
 def new_evidence(today: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:

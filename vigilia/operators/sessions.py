@@ -15,6 +15,9 @@ from vigilia.functions import fixed
 
 
 BUCKET_DAYS = 1
+SEQUENCE_LIMIT = 10_000  # events of a session that its displayed sequences hold
+CALLS = 6  # first calls of a category that texts may name
+MARKED_EVENTS = sorted({e for pair in fixed.EVENT_PAIRS for e in pair})
 
 
 def sessionize(events: DataFrame, gap_minutes: float = fixed.GAP_MINUTES, bucket_days: int | None = BUCKET_DAYS) -> DataFrame:
@@ -57,46 +60,77 @@ def key_action_minutes(category: str) -> Column:
     return F.when(done >= found, (done - found) / 60e6)
 
 
-def session_features(events: DataFrame) -> DataFrame:
-    """One row per session of `sessionize`d events."""
+def session_features(events: DataFrame, sequence_limit: int = SEQUENCE_LIMIT) -> DataFrame:
+    """One row per session of `sessionize`d events.
+
+    No column grows with a session's length: the ordered sequences, for display,
+    hold its first `sequence_limit` events; what scoring reads is aggregated
+    from rows: `grams` has each distinct run of two and three categories and of
+    two operations, `category_marks` each category and `event_marks` each
+    operation that a rule names, with count, first and last place and the places
+    and names of the first CALLS events, places counting from 1.
+    """
     us = X.epoch_us("event_time")
     n = F.count(F.lit(1))
     minutes = F.greatest((F.max(us) - F.min(us)) / 60e6, F.lit(fixed.SINGLE_EVENT_MINUTES))
-    count = lambda c: F.count_if(F.col("action_category") == c)
-    ordered = F.array_sort(F.collect_list(F.struct("event_time", "event_uid", "event_name", "action_category")))
-    out = with_burst(events).groupBy("session_id").agg(
+    cat, name, place = F.col("action_category"), F.col("event_name"), F.col("_place")
+    count = lambda c: F.count_if(cat == c)
+    order = W.partitionBy("session_id").orderBy("event_time", "event_uid")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = with_burst(events).withColumns({
+        "_place": F.row_number().over(order),
+        "_listed": F.coalesce(F.max(name == "ListBuckets").over(before), F.lit(False)), "_c2": F.lead("action_category", 1).over(order), "_c3": F.lead("action_category", 2).over(order), "_e2": F.lead("event_name", 1).over(order),
+    })
+    shown = F.array_sort(F.collect_list(F.when(place <= sequence_limit, F.struct(place, name, cat))))
+    out = rows.groupBy("session_id").agg(
         F.first("identity_id").alias("identity_id"), F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"),
-        minutes.alias("duration_minutes"), n.alias("num_events"), (n / minutes).alias("events_per_minute"), ordered.alias("_ordered"),
+        minutes.alias("duration_minutes"), n.alias("num_events"), (n / minutes).alias("events_per_minute"), shown.alias("_shown"),
         F.countDistinct("event_source").alias("unique_services"), F.countDistinct("aws_region").alias("unique_regions"), F.countDistinct("source_ip").alias("unique_source_ips"),
         count("Discovery").alias("num_discovery_actions"), count("DataAccess").alias("num_data_access_actions"),
         *(count(c).alias(f"num_{name}_actions") for name, c, _ in fixed.SENSITIVE_WEIGHTS),
         F.count_if("is_failed").alias("num_failed_events"), (F.count_if("is_failed") / n).alias("failed_event_ratio"),
-        F.count_if(F.col("event_name") == "GetObject").alias("num_getobject_events"), F.count_if("is_sensitive").alias("num_sensitive_actions"),
-        F.max("_burst").alias("max_events_in_5min"),
+        F.count_if(name == "GetObject").alias("num_getobject_events"), F.count_if("is_sensitive").alias("num_sensitive_actions"),
+        F.max("_burst").alias("max_events_in_5min"), F.count_if((name == "GetObject") & F.col("_listed")).alias("reads_after_listing"),
         key_action_minutes("PermissionChange").alias("minutes_discovery_to_permission_change"),
         key_action_minutes("CredentialAccess").alias("minutes_discovery_to_credential_access"),
         key_action_minutes("DataAccess").alias("minutes_discovery_to_data_access"),
     )
-    return out.withColumns({
-        "ordered_event_sequence": F.col("_ordered.event_name"), "ordered_action_categories": F.col("_ordered.action_category"),
-    }).drop("_ordered")
+    arrow = lambda *c: F.concat_ws(" -> ", *c)
+    kinds = {
+        "category": cat, "event": F.when(name.isin(MARKED_EVENTS), name), "category2": F.when(F.col("_c2").isNotNull(), arrow(cat, "_c2")),
+        "category3": F.when(F.col("_c3").isNotNull(), arrow(cat, "_c2", "_c3")), "event2": F.when(F.col("_e2").isNotNull(), arrow(name, "_e2")),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("gram")) for k, v in kinds.items())))
+    runs = rows.select("session_id", "_place", "event_name", each.alias("r")).select("session_id", "_place", "event_name", "r.kind", "r.gram").where("gram IS NOT NULL")
+    runs = runs.withColumn("_turn", F.row_number().over(W.partitionBy("session_id", "kind", "gram").orderBy("_place")))
+    firsts = F.array_sort(F.collect_list(F.when(F.col("_turn") <= CALLS, F.struct(F.col("_place").alias("place"), F.col("event_name").alias("call")))))
+    grams = runs.groupBy("session_id", "kind", "gram").agg(F.count("*").alias("n"), F.min("_place").alias("first"), F.max("_place").alias("last"), firsts.alias("calls"))
+    grams = grams.groupBy("session_id").agg(F.collect_list(F.struct("kind", "gram", "n", "first", "last", "calls")).alias("grams"))
+    marks = lambda kind: F.map_from_entries(F.transform(F.filter("grams", lambda g: g["kind"] == kind), lambda g: F.struct(g["gram"], g)))
+    return out.join(grams, "session_id").withColumns({
+        "category_marks": marks("category"), "event_marks": marks("event"), "ordered_event_sequence": F.col("_shown.event_name"), "ordered_action_categories": F.col("_shown.action_category"),
+    }).drop("_shown")
 
 
 # The global model: tables that scoring broadcasts or joins.
 
 
-def ngram_frequencies(sessions: DataFrame, sequence: str, n: int, keep: int = fixed.NGRAM_KEEP) -> DataFrame:
+def ngram_counts(sessions: DataFrame, kind: str) -> DataFrame:
+    """(gram, n) over all sessions; `kind` is category2, category3 or event2."""
+    return sessions.select(F.explode("grams").alias("g")).where(F.col("g.kind") == kind).groupBy("g.gram").agg(F.sum("g.n").alias("n"))
+
+
+def ngram_frequencies(sessions: DataFrame, kind: str, keep: int = fixed.NGRAM_KEEP) -> DataFrame:
     """(gram, n, freq) of the `keep` most frequent n-grams; of equal counts the lesser text. freq is a share of all n-grams."""
-    grams = sessions.select(F.explode(X.ngrams(F.col(sequence), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    grams = ngram_counts(sessions, kind)
     total = grams.agg(F.sum("n").alias("total"))
     return grams.crossJoin(F.broadcast(total)).withColumn("freq", F.col("n") / F.col("total")).drop("total").orderBy(F.desc("n"), "gram").limit(keep)
 
 
 def transition_probabilities(sessions: DataFrame) -> DataFrame:
     """(src, dst, n, prob) of neighbouring categories."""
-    pairs = sessions.select(F.explode(X.ngrams(F.col("ordered_action_categories"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     split = F.split("gram", " -> ")
-    out = pairs.select(split[0].alias("src"), split[1].alias("dst"), "n")
+    out = ngram_counts(sessions, "category2").select(split[0].alias("src"), split[1].alias("dst"), "n")
     return out.withColumn("prob", F.col("n") / F.sum("n").over(W.partitionBy("src")))
 
 
@@ -110,6 +144,7 @@ def feature_distributions(sessions: DataFrame) -> DataFrame:
 
 
 def common_sequences(sessions: DataFrame, sequence: str, keep: int = fixed.SEQUENCE_KEEP) -> DataFrame:
+    """(sequence, n) of the `keep` most frequent ones; sequences count as far as they are shown."""
     whole = sessions.select(F.array_join(sequence, " -> ").alias("sequence")).groupBy("sequence").agg(F.count("*").alias("n"))
     return whole.orderBy(F.desc("n"), "sequence").limit(keep)
 
@@ -118,7 +153,11 @@ class SessionModel:
     """What scoring needs of the baseline sessions: category 2- and 3-grams and the row of distributions."""
 
     def __init__(self, sessions: DataFrame, keep: int = fixed.NGRAM_KEEP):
-        self.grams = ngram_frequencies(sessions, "ordered_action_categories", 2, keep).unionByName(ngram_frequencies(sessions, "ordered_action_categories", 3, keep))
+        each = sessions.select(F.explode("grams").alias("g")).where(F.col("g.kind").isin("category2", "category3"))
+        counts = each.groupBy("g.kind", "g.gram").agg(F.sum("g.n").alias("n"))  # as many as categories have pairs and triples; both in one pass over the sessions
+        kind = W.partitionBy("kind")
+        ranked = counts.withColumns({"freq": F.col("n") / F.sum("n").over(kind), "_place": F.row_number().over(kind.orderBy(F.desc("n"), "gram"))})
+        self.grams = ranked.where(F.col("_place") <= keep).select("gram", "n", "freq")
         wide = feature_distributions(sessions).groupBy(F.lit(1).alias("_one"))
         self.distributions = wide.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std", "p95")))).alias("dist")).select("dist")
 
@@ -126,47 +165,56 @@ class SessionModel:
 # Scoring. Each component adds its score and its lists of reasons and evidence.
 
 
+def _calls(category: str | Column, n: int) -> Column:
+    """The first n calls of a category in a session, joined."""
+    mark = F.try_element_at("category_marks", F.lit(category) if isinstance(category, str) else category)
+    return F.coalesce(F.array_join(F.slice(mark["calls"]["call"], 1, n), ", "), F.lit(""))
+
+
+def _follows(marks: str, a: str, b: str) -> Column:
+    """Whether some b comes after the first a."""
+    return F.coalesce(F.try_element_at(marks, F.lit(a))["first"] < F.try_element_at(marks, F.lit(b))["last"], F.lit(False))
+
+
 def score_rarity(sessions: DataFrame, model: SessionModel) -> DataFrame:
     """0 to 25: the mean of 1 - frequency over all 2- and 3-grams of categories; up to three that the baseline never saw are evidence."""
     frequencies = model.grams.agg(F.map_from_entries(F.collect_list(F.struct("gram", "freq"))).alias("_freq"))  # twice NGRAM_KEEP entries at most
-    cats = F.col("ordered_action_categories")
-    out = sessions.crossJoin(F.broadcast(frequencies)).withColumn("_grams", F.concat(X.ngrams(cats, 2), X.ngrams(cats, 3)))
-    out = out.withColumn("_rare", F.transform("_grams", lambda g: 1 - F.coalesce(F.try_element_at("_freq", g), F.lit(0.0))))
-    mean = F.aggregate("_rare", F.lit(0.0), lambda a, x: a + x) / F.size("_grams")
-    unseen = F.slice(F.filter("_grams", lambda g: F.try_element_at("_freq", g).isNull()), 1, 3)
-    calls = lambda c: F.concat(
-        c, F.lit(":["), F.array_join(F.slice(F.transform(F.filter(F.arrays_zip("ordered_event_sequence", "ordered_action_categories"), lambda p: p["ordered_action_categories"] == c), lambda p: p["ordered_event_sequence"]), 1, 3), ", "), F.lit("]")
-    )
+    out = sessions.crossJoin(F.broadcast(frequencies)).withColumn("_grams", F.filter("grams", lambda g: g["kind"].isin("category2", "category3")))
+    rare = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + g["n"] * (1 - F.coalesce(F.try_element_at("_freq", g["gram"]), F.lit(0.0))))
+    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda a, g: a + g["n"])
+    new = F.filter("_grams", lambda g: F.try_element_at("_freq", g["gram"]).isNull())
+    places = F.array_sort(F.flatten(F.transform(new, lambda g: F.transform(F.slice(g["calls"], 1, 3), lambda p: F.struct(g["kind"].alias("kind"), p["place"].alias("p"), g["gram"].alias("gram"))))))
+    unseen = F.slice(places["gram"], 1, 3)
+    calls = lambda c: F.concat(c, F.lit(":["), _calls(c, 3), F.lit("]"))
     evidence = F.transform(unseen, lambda g: F.concat(F.lit("RARE_SEQUENCE: "), F.array_join(F.transform(F.split(g, " -> "), calls), " -> ")))
     text = F.concat(F.lit("contains rare action chain(s) never seen in baseline: "), F.array_join(unseen, ", "))
     return out.withColumns({
-        "sequence_rarity_score": F.when(F.size("_grams") > 0, F.least(mean * 25, F.lit(25.0))).otherwise(F.lit(0.0)),
+        "sequence_rarity_score": F.when(total > 0, F.least(rare / total * 25, F.lit(25.0))).otherwise(F.lit(0.0)),
         "_rarity_reasons": X.compact(F.when(F.size(unseen) > 0, text)), "_rarity_flags": evidence,
-    }).drop("_freq", "_grams", "_rare")
+    }).drop("_freq", "_grams")
 
 
 def score_chains(sessions: DataFrame) -> DataFrame:
     """0 to 30: category pairs 6, triples 4, event pairs 5, bulk reads after a listing 6, evasion before all else 8."""
-    cats, events = F.col("ordered_action_categories"), F.col("ordered_event_sequence")
     rules: list[tuple[Column, float, Column, Column]] = []
-    calls = lambda c: F.concat(F.lit("["), X.first_calls(events.alias("e"), cats.alias("c"), c, 3), F.lit("]"))
+    calls = lambda c: F.concat(F.lit("["), _calls(c, 3), F.lit("]"))
+    first = lambda c: F.try_element_at("category_marks", F.lit(c))["first"]
     arrow = F.lit(" -> ")
     for a, b in fixed.CATEGORY_CHAINS:
-        rules.append((X.follows(cats, a, b), 6.0, F.lit(f"{a} -> {b} chain present"), F.concat(F.lit(f"CHAIN {a}->{b}: "), calls(a), arrow, calls(b))))
+        rules.append((_follows("category_marks", a, b), 6.0, F.lit(f"{a} -> {b} chain present"), F.concat(F.lit(f"CHAIN {a}->{b}: "), calls(a), arrow, calls(b))))
     for a, b, c in fixed.CATEGORY_TRIPLES:
-        holds = F.coalesce(X.first_position(cats, a) < X.first_position(cats, b), F.lit(False)) & X.follows(cats, b, c)
+        holds = F.coalesce(first(a) < first(b), F.lit(False)) & _follows("category_marks", b, c)
         rules.append((holds, 4.0, F.lit(f"{a} -> {b} -> {c} chain present"), F.concat(F.lit(f"TRIPLE {a}->{b}->{c}: "), calls(a), arrow, calls(b), arrow, calls(c))))
     for a, b in fixed.EVENT_PAIRS:
-        rules.append((X.follows(events, a, b), 5.0, F.lit(f"{a} followed by {b}"), F.lit(f"EVENT_PAIR: {a} -> {b}")))
-    listed = X.first_position(events, "ListBuckets")
-    after = F.size(F.filter(F.slice(events, (F.coalesce(listed, F.lit(0)) + 2).cast("int"), F.size(events)), lambda e: e == "GetObject"))
+        rules.append((_follows("event_marks", a, b), 5.0, F.lit(f"{a} followed by {b}"), F.lit(f"EVENT_PAIR: {a} -> {b}")))
+    after = F.col("reads_after_listing")
     rules.append((
-        listed.isNotNull() & (after >= 5), 6.0, F.concat(F.lit("ListBuckets followed by "), after.cast("string"), F.lit(" GetObject calls (bulk access)")),
+        after >= 5, 6.0, F.concat(F.lit("ListBuckets followed by "), after.cast("string"), F.lit(" GetObject calls (bulk access)")),
         F.concat(F.lit("BULK_ACCESS: ListBuckets -> GetObject x"), after.cast("string")),
     ))
     rules.append((
-        (F.get(cats, F.lit(0)) == "DefenseEvasion") & (F.size(cats) > 1), 8.0, F.lit("DefenseEvasion action occurred before other activity in the session"),
-        F.concat(F.lit("DEFENSE_EVASION_FIRST: "), F.get(events, F.lit(0)), F.lit(" preceded all other actions")),
+        F.coalesce(first("DefenseEvasion") == 1, F.lit(False)) & (F.col("num_events") > 1), 8.0, F.lit("DefenseEvasion action occurred before other activity in the session"),
+        F.concat(F.lit("DEFENSE_EVASION_FIRST: "), _calls("DefenseEvasion", 1), F.lit(" preceded all other actions")),
     ))
     return _component(sessions, "suspicious_chain_score", "_chain", rules, 30.0)
 
@@ -183,8 +231,7 @@ def _component(sessions: DataFrame, name: str, short: str, rules: list[tuple[Col
 def score_timing(sessions: DataFrame) -> DataFrame:
     """0 to 20: rates beyond the baseline's p95 and quick steps from Discovery. Needs `dist`."""
     rules = []
-    events, cats = F.col("ordered_event_sequence"), F.col("ordered_action_categories")
-    head = F.concat(F.array_join(F.slice(events, 1, 5), ", "), F.when(F.size(events) > 5, F.lit("...")).otherwise(F.lit("")))
+    head = F.concat(F.array_join(F.slice("ordered_event_sequence", 1, 5), ", "), F.when(F.col("num_events") > 5, F.lit("...")).otherwise(F.lit("")))
     for feature in ("events_per_minute", "max_events_in_5min"):
         p95, value = F.col("dist")[feature]["p95"], F.col(feature).cast("double")
         rules.append((
@@ -193,10 +240,9 @@ def score_timing(sessions: DataFrame) -> DataFrame:
         ))
     for name, category in (("permission_change", "PermissionChange"), ("credential_access", "CredentialAccess"), ("data_access", "DataAccess")):
         value = F.col(f"minutes_discovery_to_{name}")
-        first = lambda c: X.first_calls(events.alias("e"), cats.alias("c"), c, 1)
         rules.append((
             F.coalesce(value <= 10, F.lit(False)), 6.0, F.format_string(f"fast progression from Discovery to {category} in %.1f minutes", value),
-            F.concat(F.format_string("FAST_PROGRESSION (%.1fmin): ", value), first("Discovery"), F.lit(" -> ... -> "), first(category)),
+            F.concat(F.format_string("FAST_PROGRESSION (%.1fmin): ", value), _calls("Discovery", 1), F.lit(" -> ... -> "), _calls(category, 1)),
         ))
     return _component(sessions, "timing_burst_score", "_timing", rules, 20.0)
 
@@ -217,13 +263,11 @@ def score_deviation(sessions: DataFrame) -> DataFrame:
 def score_sensitive(sessions: DataFrame) -> DataFrame:
     """0 to 10: actions of sensitive categories, each up to twice its weight, and 2 for twenty data accesses."""
     rules = []
-    events, cats = F.col("ordered_event_sequence"), F.col("ordered_action_categories")
-    calls = lambda c, n: X.first_calls(events.alias("e"), cats.alias("c"), c, n)
     for name, category, weight in fixed.SENSITIVE_WEIGHTS:
         n = F.col(f"num_{name}_actions")
-        rules.append((n > 0, F.least(n * weight, F.lit(2 * weight)), F.concat(n.cast("string"), F.lit(f" {name} action(s)")), F.concat(F.lit(f"SENSITIVE {category} (x"), n.cast("string"), F.lit("): "), calls(category, 6))))
+        rules.append((n > 0, F.least(n * weight, F.lit(2 * weight)), F.concat(n.cast("string"), F.lit(f" {name} action(s)")), F.concat(F.lit(f"SENSITIVE {category} (x"), n.cast("string"), F.lit("): "), _calls(category, CALLS))))
     n = F.col("num_data_access_actions")
-    rules.append((n >= 20, 2.0, F.concat(F.lit("high-volume data access ("), n.cast("string"), F.lit(" events)")), F.concat(F.lit("HIGH_VOLUME_DATA_ACCESS (x"), n.cast("string"), F.lit("): "), calls("DataAccess", 5), F.lit("..."))))
+    rules.append((n >= 20, 2.0, F.concat(F.lit("high-volume data access ("), n.cast("string"), F.lit(" events)")), F.concat(F.lit("HIGH_VOLUME_DATA_ACCESS (x"), n.cast("string"), F.lit("): "), _calls("DataAccess", 5), F.lit("..."))))
     return _component(sessions, "sensitive_action_score", "_sensitive", rules, 10.0)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
-from vigilia.operators.baseline import hour_counts, known_values, slot_stats, with_actor
+from vigilia.operators.baseline import access_baseline, access_profile, flow_baseline, flow_profile, hour_counts, known_values, long_values, slot_stats, with_actor
 
 ACCESS_DIMS = ("new_operation", "new_bucket", "new_src_ip", "error_rate", "bytes_zscore", "event_zscore")
 FLOW_DIMS = ("new_dst_ip", "new_dst_port", "reject_ratio", "bytes_zscore", "flow_zscore", "new_protocol")
@@ -63,8 +63,17 @@ def api_scores(dimensions: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def _new(today: str, before: str) -> Column:
-    return F.when(F.size(F.array_except(today, before)) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+def novel_kinds(today: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
+    """(by, novel): the kinds of which today's rows (by, kind, value) have a value that the actor's baseline rows (actor, kind, value) lack.
+
+    Values meet in an anti-join, so no actor's set of values is ever one row.
+    """
+    fresh = today.where(F.col("value").isNotNull()).select(*by, "kind", "value").distinct().join(before.select("actor", "kind", "value").distinct(), ["actor", "kind", "value"], "left_anti")
+    return fresh.groupBy(*by).agg(F.collect_set("kind").alias("novel"))  # as many as there are kinds
+
+
+def _has(kind: str) -> Column:
+    return F.when(F.array_contains(F.coalesce("novel", F.array().cast("array<string>")), kind), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def _scored(rows: DataFrame, dims: dict[str, Column], by: list[str]) -> DataFrame:
@@ -74,35 +83,41 @@ def _scored(rows: DataFrame, dims: dict[str, Column], by: list[str]) -> DataFram
     )
 
 
-def access_scores(profile: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Object access: without a baseline everything is new and only bytes, on a log scale, and errors tell actors apart."""
-    by = by or ["actor"]
-    known = baseline.select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("known_operations", "known_buckets", "known_ips", "daily_events", "daily_bytes")))
-    rows = profile.join(known, "actor", "left")
+def access_scores(accesses: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Object accesses against those of the clean period: without a baseline everything is new and only bytes, on a log scale, and errors tell actors apart."""
+    by, kinds = by or ["actor"], {k: k for k in ("operation", "bucket", "ip")}
+    rows, before = with_actor(accesses), with_actor(baseline)
+    known = access_baseline(before).select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("daily_events", "daily_bytes")))
+    novel = novel_kinds(long_values(rows, kinds, by), long_values(before, kinds), by)
+    out = access_profile(rows, by).join(known, "actor", "left").join(novel, by, "left")
     either = lambda a, b: F.when(F.col("_known").isNotNull(), a).otherwise(b)
     one = F.lit(1.0)
     dims = dict(zip(ACCESS_DIMS, (
-        either(_new("known_operations", "_known_operations"), one), either(_new("known_buckets", "_known_buckets"), one), either(_new("known_ips", "_known_ips"), one),
+        either(_has("operation"), one), either(_has("bucket"), one), either(_has("ip"), one),
         F.coalesce(F.try_divide("error_count", "event_count"), F.lit(0.0)),
         either(X.deviation(F.col("bytes_total").cast("double"), F.col("_daily_bytes.mean"), F.col("_daily_bytes.std")), X.bytes_score(F.col("bytes_total"))),
         either(X.deviation(F.col("event_count").cast("double"), F.col("_daily_events.mean"), F.col("_daily_events.std")), one),
     )))
-    return _scored(rows, dims, by)
+    return _scored(out, dims, by)
 
 
-def flow_scores(profile: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or ["actor"]
-    known = baseline.select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("known_dst_ips", "known_dst_ports", "known_protocols", "daily_flows", "daily_bytes")))
-    rows = profile.join(known, "actor", "left")
+def flow_scores(flows: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Flows against those of the clean period; a port is new only if it was seen more than once."""
+    by, kinds = by or ["actor"], {k: k for k in ("dst_ip", "dst_port", "protocol")}
+    rows, before = flows.where(F.col("actor").isNotNull()), baseline.where(F.col("actor").isNotNull())
+    known = flow_baseline(before).select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("daily_flows", "daily_bytes")))
+    today = long_values(rows, kinds, by).groupBy(*by, "kind", "value").agg(F.count("*").alias("_n")).where((F.col("kind") != "dst_port") | (F.col("_n") > 1))
+    novel = novel_kinds(today, long_values(before, kinds), by)
+    out = flow_profile(rows, by).join(known, "actor", "left").join(novel, by, "left")
     either = lambda a, b: F.when(F.col("_known").isNotNull(), a).otherwise(b)
     one = F.lit(1.0)
     dims = dict(zip(FLOW_DIMS, (
-        either(_new("dst_ips", "_known_dst_ips"), one), either(_new("dst_ports", "_known_dst_ports"), one), F.coalesce(F.try_divide("reject_count", "event_count"), F.lit(0.0)),
+        either(_has("dst_ip"), one), either(_has("dst_port"), one), F.coalesce(F.try_divide("reject_count", "event_count"), F.lit(0.0)),
         either(X.deviation(F.col("bytes_total").cast("double"), F.col("_daily_bytes.mean"), F.col("_daily_bytes.std")), X.bytes_score(F.col("bytes_total"))),
         either(X.deviation(F.col("event_count").cast("double"), F.col("_daily_flows.mean"), F.col("_daily_flows.std")), one),
-        either(_new("protocols", "_known_protocols"), one),
+        either(_has("protocol"), one),
     )))
-    return _scored(rows, dims, by)
+    return _scored(out, dims, by)
 
 
 def combine_scores(api: DataFrame, access: DataFrame, flow: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -137,17 +137,17 @@ def _top(source: str, total: str) -> str:
 
 @register(_top("grams2", "grams2"))
 def category_bigrams(spark, sf_dir):
-    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "ordered_action_categories", 2))
+    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "category2"))
 
 
 @register(_top("grams3", "grams3"))
 def category_trigrams(spark, sf_dir):
-    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "ordered_action_categories", 3))
+    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "category3"))
 
 
 @register(f"SELECT operation || ' -> ' || o2 AS gram, count(*) AS n, round(count(*) / (SELECT count(*) FROM bs WHERE o2 IS NOT NULL), 6) AS freq FROM bs WHERE o2 IS NOT NULL GROUP BY 1 ORDER BY n DESC, gram LIMIT {fixed.NGRAM_KEEP}")
 def event_bigrams(spark, sf_dir):
-    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "ordered_event_sequence", 2))
+    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "event2"))
 
 
 @register("SELECT category AS src, c2 AS dst, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY category), 6) AS prob FROM bs WHERE c2 IS NOT NULL GROUP BY 1, 2")
@@ -464,12 +464,12 @@ def _api_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _access_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _split_table(D.accesses(spark, sf_dir))
-    return U.access_scores(B.access_profile(_day(after), ["actor", "day"]), B.access_baseline(before), ["actor", "day"])
+    return U.access_scores(_day(after), before, ["actor", "day"])
 
 
 def _flow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _split_table(D.flows(spark, sf_dir).withColumn("actor", F.col("eni")))
-    return U.flow_scores(B.flow_profile(_day(after), ["actor", "day"]), B.flow_baseline(before), ["actor", "day"])
+    return U.flow_scores(_day(after), before, ["actor", "day"])
 
 
 def _texted(frame: DataFrame) -> DataFrame:
