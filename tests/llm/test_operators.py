@@ -497,6 +497,24 @@ class TestQuality:
             flagged |= on
         assert (flagged == bad).mean() > 0.95 and len(rules.rules) <= 4 and "reject" in str(rules)
 
+    def test_learned_verdicts_row_by_row(self, spark):
+        """The list that the labels teach, as a Spark expression, against the same list applied to each row's statistics in numpy."""
+        from vigilia.llm.quality import FEATURES, fit_rules, judge, with_statistics
+
+        r = random.Random(5)
+        texts = [(i, t + " #*!" * (r.randint(8, 20) if i % 4 == 0 else 0)) for i, t in enumerate(random_texts(21, 400, low=15, high=60))]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i, _ in texts], "doc_id long, quality int")
+        rules = fit_rules(docs, labels, "doc_id", "text", "quality")
+        rows = {x.doc_id: x for x in with_statistics(docs, "text").collect()}
+        table = {f: np.array([rows[i][f] for i, _ in texts], float) for f in FEATURES}
+        bad = np.zeros(len(texts), bool)
+        for rule in rules.rules:
+            bad |= np.logical_and.reduce([t.rows(table) for t in rule])
+        got = {x.doc_id: x for x in judge(docs, rules, "doc_id", "text").collect()}
+        assert rules.rules and all(got[i].kept == (not got[i].base_failed and not bad[i]) for i, _ in texts)
+        assert np.mean(bad == np.array([i % 4 == 0 for i, _ in texts])) > 0.95
+
     def test_emitted_expression_and_native_plan(self, spark):
         from vigilia.llm.quality import DecisionList, Test, fit_rules, judge
 
@@ -512,6 +530,8 @@ class TestQuality:
         from vigilia.llm.quality import DecisionList, judge
 
         assert judge(odd_docs(spark), DecisionList(()), "doc_id", "text").count() == len(ODD)
+        names = spark.createDataFrame([("a", "one two", 1), ("a", "one two", 1), (None, None, 1)], "_words string, body string, n_words int")
+        assert sorted((r._words or "", r.n_words) for r in judge(names, DecisionList(()), "_words", "body").collect()) == [("", 0), ("a", 2), ("a", 2)]
         assert judge(empty_docs(spark), DecisionList(()), "doc_id", "text").count() == 0
 
 

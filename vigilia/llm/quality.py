@@ -210,6 +210,6 @@ def judge(docs: DataFrame, rules: DecisionList, key: str, text: str) -> DataFram
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        with_statistics(docs.select(F.col(key), F.col(text).alias("_text")), "_text").withColumn("rule", rules.fired())
-        .select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), "rule")
+        with_statistics(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").withColumn("rule", rules.fired())
+        .select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), "rule")
     )
