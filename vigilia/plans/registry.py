@@ -708,6 +708,28 @@ def alerts_union(spark, sf_dir):
     return _alerts(spark, sf_dir).where("combined_risk_score >= 20").select("alert_family", "entity_key", "destination", "combined_risk_score")
 
 
+@register("SELECT 'network' AS alert_family, 'interface:acct:' || interface_uid AS entity_key, destination, network_risk_score AS combined_risk_score FROM nets UNION ALL SELECT 'time_based', 'principal:acct:' || principal, 's3_data_access_time_series', time_based_risk_score FROM times")
+def ordered_alerts(spark, sf_dir):
+    return E.ordered_alerts(_alerts(spark, sf_dir)).select("alert_family", "entity_key", "destination", "combined_risk_score")
+
+
+_REASONS = [
+    (f"event_count >= {fixed.MIN_EVENTS}", "'high repeated event count: ' || event_count"),
+    (f"small_transfer_ratio >= {fixed.MIN_SMALL_RATIO}", "'mostly small transfers: ' || printf('%.2f', small_transfer_ratio)"),
+    (f"duration_hours >= {fixed.MIN_HOURS}", "'spread over ' || printf('%.1f', duration_hours) || ' hours'"),
+    (f"total_bytes_out >= {fixed.MIN_TOTAL_BYTES}", "'meaningful accumulated egress: ' || total_bytes_out || ' bytes'"),
+    ("p95_bytes > 0 AND total_bytes_out > p95_bytes", "'bytes_out above entity daily p95 baseline: ' || CAST(trunc(p95_bytes) AS BIGINT)"),
+    ("p95_events > 0 AND event_count > p95_events", "'event_count above entity daily p95 baseline: ' || CAST(trunc(p95_events) AS BIGINT)"),
+    ("rare_destination_ratio >= 0.5", "'destination is new/rare for this entity'"), ("rare_user_agent_ratio >= 0.5", "'user agent is new/rare for this entity'"),
+]
+
+
+@register(f"SELECT interface_uid, destination, concat_ws('; ', {', '.join(f'CASE WHEN {c} THEN {t} END' for c, t in _REASONS)}) AS alert_reasons FROM nets n LEFT JOIN p95 p USING (interface_uid) LEFT JOIN timf t USING (interface_uid, destination) WHERE NOT coalesce(interval_count >= {fixed.MIN_INTERVALS} AND interval_cv <= {fixed.JITTERED_CV}, false)")
+def alert_reasons(spark, sf_dir):
+    regular = (F.col("interval_count") >= fixed.MIN_INTERVALS) & (F.col("interval_cv") <= fixed.JITTERED_CV)  # their texts round halves as Java does, and are tested on rows
+    return _network_alerts(spark, sf_dir).where(~F.coalesce(regular, F.lit(False))).select("interface_uid", "destination", "alert_reasons")
+
+
 # Findings.
 
 
