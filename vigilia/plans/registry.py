@@ -699,6 +699,17 @@ def time_score(spark, sf_dir):
     return E.score_time(E.time_features(_ratios(spark, sf_dir))).select("principal", "time_based_risk_score", "time_detection_types")
 
 
+_RANKED_DAYS = "SELECT a.*, t.final3_avg_ratio, row_number() OVER (PARTITION BY a.principal ORDER BY round(coalesce(activity_ratio, 0), 2) DESC, access_day) AS top FROM act a JOIN timef t USING (principal)"
+_NAMED_DAYS = f"SELECT *, row_number() OVER (PARTITION BY principal ORDER BY access_day) AS place FROM ({_RANKED_DAYS}) WHERE x >= {fixed.SUSTAINED_RATIO} OR (final3_avg_ratio >= {fixed.RAMP_FINAL} AND l <= 3) OR top <= 3"
+
+
+@register(f"""SELECT 'principal:acct:' || principal AS entity_key, CAST(access_day AS VARCHAR) AS date, round(coalesce(activity_ratio, 0), 2) AS activity_ratio, round(coalesce(bytes_ratio, 0), 2) AS bytes_ratio, round(coalesce(event_ratio, 0), 2) AS event_ratio,
+  b AS bytes, CAST(trunc(baseline_avg_daily_bytes) AS BIGINT) AS expected_bytes, CAST(trunc(greatest(0.0, b - baseline_avg_daily_bytes)) AS BIGINT) AS excess_bytes, n AS events, round(baseline_avg_daily_events, 2) AS expected_events, res AS distinct_resources, rare_n AS rare_resource_events,
+  concat_ws('|', CASE WHEN x >= {fixed.SUSTAINED_RATIO} THEN 'elevated' END, CASE WHEN x >= {fixed.SPIKE_RATIO} THEN 'spike' END, CASE WHEN rare_n > 0 THEN 'rare_resources' END) AS flags FROM ({_NAMED_DAYS}) WHERE place <= 10""")
+def contributing_day_rows(spark, sf_dir):
+    return contributing_days(spark, sf_dir).withColumn("flags", F.array_join("flags", "|"))
+
+
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _network_alerts(spark, sf_dir).unionByName(E.score_time(E.time_features(_ratios(spark, sf_dir))), allowMissingColumns=True)
 
