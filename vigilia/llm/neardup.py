@@ -218,8 +218,9 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     side = lambda frame, name: frame.select("run", "salt", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "class", "n", "have", "place")))
     long = side(lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "l")
     short = side(lists.where("short").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "s")
+    # Merged: a broadcast would be chosen by the size before the salts, which multiply the short side.
     need = (F.col("l_n") + F.col("s_n")) * (similarity / (1 + similarity)) - 1e-6
-    met = long.join(short, ["run", "salt"]).where("l_class <> s_class").where(F.col("s_n") <= F.col("l_n")).where(F.col("s_n") >= similarity * F.col("l_n") - 1e-6)
+    met = long.join(short.hint("merge"), ["run", "salt"]).where("l_class <> s_class").where(F.col("s_n") <= F.col("l_n")).where(F.col("s_n") >= similarity * F.col("l_n") - 1e-6)
     met = met.where(F.least("l_have", "s_have") >= need).where(F.least(F.col("l_n") - F.col("l_place"), F.col("s_n") - F.col("s_place")) + 1 >= need)
     return _paired(met, "l_id", "s_id")
 
