@@ -12,10 +12,13 @@ from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
-
+from vigilia.operators.quantiles import grouped_quantiles
+from vigilia.sources.stored import stored
 
 BUCKET_DAYS = 1
-SEQUENCE_LIMIT = 10_000  # events of a session that its displayed sequences hold
+STRETCH_MINUTES = 30  # of a session that are ordered together; no less than the window of a burst
+PIECE_EVENTS = 1000  # events in a row of `session_sequences`
+TIED_EVENTS = 64  # events by which sequences of equal counts are compared first
 CALLS = 6  # first calls of a category that texts may name
 MARKED_EVENTS = sorted({e for pair in fixed.EVENT_PAIRS for e in pair})
 
@@ -47,10 +50,45 @@ def sessionize(events: DataFrame, gap_minutes: float = fixed.GAP_MINUTES, bucket
     return out.withColumn("session_id", named(F.col("session_number"))).select(*events.columns, "session_number", "session_id")
 
 
-def with_burst(events: DataFrame, seconds: int = fixed.BURST_SECONDS) -> DataFrame:
-    """Add, to each event, how many of its session lie in the window that ends with it, both ends counted."""
-    frame = W.partitionBy("session_id").orderBy(X.epoch_us("event_time")).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_burst", F.count(F.lit(1)).over(frame))
+def placed_events(events: DataFrame, stretch_minutes: int = STRETCH_MINUTES, burst_seconds: int = fixed.BURST_SECONDS) -> DataFrame:
+    """`sessionize`d events with _place (from 1 in the session), _burst, _listed, and the next ones' _c2, _c3 and _e2.
+
+    Events are ordered per stretch of time of a session, so a session that never
+    ends is many tasks' work. A stretch begins with copies of the last
+    `burst_seconds` before it, for _burst: the events in the window that ends
+    with an event, both ends counted. What else lies beyond its borders comes
+    from one row per stretch: how many events came before, whether ListBuckets
+    was among them, and the two events that follow.
+    """
+    width, burst = stretch_minutes * 60_000_000, burst_seconds * 1_000_000
+    if burst > width:
+        raise ValueError("a stretch is shorter than the window of a burst")
+    own = F.floor(F.col("_t") / width)
+    rows = events.withColumn("_t", X.epoch_us("event_time")).withColumn("_own", own)
+    rows = rows.withColumn("_stretch", F.explode(F.when((F.col("_own") + 1) * width - F.col("_t") <= burst, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    inside = W.partitionBy("session_id", "_stretch")
+    order, here = inside.orderBy("event_time", "event_uid"), F.col("_stretch") == F.col("_own")
+    listing = F.coalesce(here & (F.col("event_name") == "ListBuckets"), F.lit(False))
+    rows = rows.withColumns({
+        "_at": F.count_if(here).over(order.rowsBetween(W.unboundedPreceding, 0)), "_lists": F.coalesce(F.max(listing).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)),
+        "_n1": F.lead("action_category", 1).over(order), "_n2": F.lead("action_category", 2).over(order), "_m1": F.lead("event_name", 1).over(order),
+        "_burst": F.count(F.lit(1)).over(inside.orderBy("_t").rangeBetween(-burst, 0)),
+    }).where(here)
+    first = F.array_sort(F.collect_list(F.when(F.col("_at") <= 2, F.struct("_at", F.col("event_name").alias("e"), F.col("action_category").alias("c")))))
+    ends = rows.groupBy("session_id", "_stretch").agg(F.count("*").alias("_n"), F.max(listing).alias("_any"), first.alias("_first"))
+    whole = W.partitionBy("session_id").orderBy("_stretch")  # a row a stretch
+    before, none = whole.rowsBetween(W.unboundedPreceding, -1), F.array().cast(ends.schema["_first"].dataType)
+    ends = ends.select(
+        "session_id", "_stretch", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.coalesce(F.max("_any").over(before), F.lit(False)).alias("_earlier"),
+        F.concat(F.coalesce(F.lead("_first", 1).over(whole), none), F.coalesce(F.lead("_first", 2).over(whole), none)).alias("_next"),
+    )
+    follow = lambda i, field: F.get("_next", F.lit(i))[field]
+    left = F.col("_n") - F.col("_at")  # events after it in the stretch
+    out = rows.join(ends, ["session_id", "_stretch"]).withColumns({
+        "_place": F.col("_at") + F.col("_before"), "_listed": F.col("_lists") | F.col("_earlier"), "_e2": F.when(left >= 1, F.col("_m1")).otherwise(follow(0, "e")),
+        "_c2": F.when(left >= 1, F.col("_n1")).otherwise(follow(0, "c")), "_c3": F.when(left >= 2, F.col("_n2")).when(left == 1, follow(0, "c")).otherwise(follow(1, "c")),
+    })
+    return out.select(*events.columns, "_stretch", "_place", "_burst", "_listed", "_c2", "_c3", "_e2")
 
 
 def key_action_minutes(category: str) -> Column:
@@ -60,31 +98,31 @@ def key_action_minutes(category: str) -> Column:
     return F.when(done >= found, (done - found) / 60e6)
 
 
-def session_features(events: DataFrame, sequence_limit: int = SEQUENCE_LIMIT) -> DataFrame:
+def _sequence_key(column: str) -> Column:
+    """An aggregate: 128 bits that name an ordered sequence, from the places and values of its rows in any order."""
+    return F.struct(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(lane), "_place", column)).alias(f"h{lane}") for lane in (1, 2)))
+
+
+def session_features(events: DataFrame, stretch_minutes: int = STRETCH_MINUTES) -> DataFrame:
     """One row per session of `sessionize`d events.
 
-    No column grows with a session's length: the ordered sequences, for display,
-    hold its first `sequence_limit` events; what scoring reads is aggregated
-    from rows: `grams` has each distinct run of two and three categories and of
-    two operations, `category_marks` each category and `event_marks` each
-    operation that a rule names, with count, first and last place and the places
-    and names of the first CALLS events, places counting from 1.
+    No column grows with a session's length: `first_events` holds five names;
+    `event_sequence` and `category_sequence` name the whole sequences, for which
+    see `session_sequences`; what scoring reads is aggregated from rows: `grams`
+    has each distinct category and run of two and three of them and each
+    operation that a rule names, `category_marks` and `event_marks` those of one
+    kind, with count, first and last place and the places and names of the first
+    CALLS events, places counting from 1.
     """
     us = X.epoch_us("event_time")
     n = F.count(F.lit(1))
     minutes = F.greatest((F.max(us) - F.min(us)) / 60e6, F.lit(fixed.SINGLE_EVENT_MINUTES))
     cat, name, place = F.col("action_category"), F.col("event_name"), F.col("_place")
     count = lambda c: F.count_if(cat == c)
-    order = W.partitionBy("session_id").orderBy("event_time", "event_uid")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    rows = with_burst(events).withColumns({
-        "_place": F.row_number().over(order),
-        "_listed": F.coalesce(F.max(name == "ListBuckets").over(before), F.lit(False)), "_c2": F.lead("action_category", 1).over(order), "_c3": F.lead("action_category", 2).over(order), "_e2": F.lead("event_name", 1).over(order),
-    })
-    shown = F.array_sort(F.collect_list(F.when(place <= sequence_limit, F.struct(place, name, cat))))
+    rows = placed_events(events, stretch_minutes)
     out = rows.groupBy("session_id").agg(
         F.first("identity_id").alias("identity_id"), F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"),
-        minutes.alias("duration_minutes"), n.alias("num_events"), (n / minutes).alias("events_per_minute"), shown.alias("_shown"),
+        minutes.alias("duration_minutes"), n.alias("num_events"), (n / minutes).alias("events_per_minute"), F.array_sort(F.collect_list(F.when(place <= 5, F.struct(place, name)))).alias("_first"),
         F.countDistinct("event_source").alias("unique_services"), F.countDistinct("aws_region").alias("unique_regions"), F.countDistinct("source_ip").alias("unique_source_ips"),
         count("Discovery").alias("num_discovery_actions"), count("DataAccess").alias("num_data_access_actions"),
         *(count(c).alias(f"num_{name}_actions") for name, c, _ in fixed.SENSITIVE_WEIGHTS),
@@ -94,39 +132,52 @@ def session_features(events: DataFrame, sequence_limit: int = SEQUENCE_LIMIT) ->
         key_action_minutes("PermissionChange").alias("minutes_discovery_to_permission_change"),
         key_action_minutes("CredentialAccess").alias("minutes_discovery_to_credential_access"),
         key_action_minutes("DataAccess").alias("minutes_discovery_to_data_access"),
+        _sequence_key("event_name").alias("event_sequence"), _sequence_key("action_category").alias("category_sequence"),
     )
     arrow = lambda *c: F.concat_ws(" -> ", *c)
-    kinds = {
-        "category": cat, "event": F.when(name.isin(MARKED_EVENTS), name), "category2": F.when(F.col("_c2").isNotNull(), arrow(cat, "_c2")),
-        "category3": F.when(F.col("_c3").isNotNull(), arrow(cat, "_c2", "_c3")), "event2": F.when(F.col("_e2").isNotNull(), arrow(name, "_e2")),
-    }
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("gram")) for k, v in kinds.items())))
-    runs = rows.select("session_id", "_place", "event_name", each.alias("r")).select("session_id", "_place", "event_name", "r.kind", "r.gram").where("gram IS NOT NULL")
-    runs = runs.withColumn("_turn", F.row_number().over(W.partitionBy("session_id", "kind", "gram").orderBy("_place")))
-    firsts = F.array_sort(F.collect_list(F.when(F.col("_turn") <= CALLS, F.struct(F.col("_place").alias("place"), F.col("event_name").alias("call")))))
-    grams = runs.groupBy("session_id", "kind", "gram").agg(F.count("*").alias("n"), F.min("_place").alias("first"), F.max("_place").alias("last"), firsts.alias("calls"))
+    kinds = {"category": cat, "event": F.when(name.isin(MARKED_EVENTS), name), "category2": F.when(F.col("_c2").isNotNull(), arrow(cat, "_c2")), "category3": F.when(F.col("_c3").isNotNull(), arrow(cat, "_c2", "_c3"))}
+    each = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("gram"))) for k, v in kinds.items()))))
+    runs = rows.select("session_id", "_stretch", "_place", "event_name", each.alias("r")).select("session_id", "_stretch", "_place", "event_name", "r.kind", "r.gram")
+    runs = runs.withColumn("_turn", F.row_number().over(W.partitionBy("session_id", "_stretch", "kind", "gram").orderBy("_place")))
+    firsts = F.collect_list(F.when(F.col("_turn") <= CALLS, F.struct(F.col("_place").alias("place"), F.col("event_name").alias("call"))))
+    parts = runs.groupBy("session_id", "_stretch", "kind", "gram").agg(F.count("*").alias("n"), F.min("_place").alias("first"), F.max("_place").alias("last"), firsts.alias("calls"))
+    calls = F.slice(F.array_sort(F.flatten(F.collect_list("calls"))), 1, CALLS)  # CALLS entries a stretch
+    grams = parts.groupBy("session_id", "kind", "gram").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), calls.alias("calls"))
     grams = grams.groupBy("session_id").agg(F.collect_list(F.struct("kind", "gram", "n", "first", "last", "calls")).alias("grams"))
     marks = lambda kind: F.map_from_entries(F.transform(F.filter("grams", lambda g: g["kind"] == kind), lambda g: F.struct(g["gram"], g)))
-    return out.join(grams, "session_id").withColumns({
-        "category_marks": marks("category"), "event_marks": marks("event"), "ordered_event_sequence": F.col("_shown.event_name"), "ordered_action_categories": F.col("_shown.action_category"),
-    }).drop("_shown")
+    return out.join(grams, "session_id").withColumns({"category_marks": marks("category"), "event_marks": marks("event"), "first_events": F.col("_first.event_name")}).drop("_first")
+
+
+def session_sequences(events: DataFrame, piece_events: int = PIECE_EVENTS, stretch_minutes: int = STRETCH_MINUTES) -> DataFrame:
+    """(session_id, piece, event_names, action_categories): whole ordered sequences, in pieces of `piece_events` events from piece 0."""
+    piece = F.floor((F.col("_place") - 1) / piece_events).alias("piece")
+    out = placed_events(events, stretch_minutes).groupBy("session_id", piece).agg(F.array_sort(F.collect_list(F.struct("_place", "event_name", "action_category"))).alias("_p"))
+    return out.select("session_id", "piece", F.col("_p.event_name").alias("event_names"), F.col("_p.action_category").alias("action_categories"))
 
 
 # The global model: tables that scoring broadcasts or joins.
 
 
 def ngram_counts(sessions: DataFrame, kind: str) -> DataFrame:
-    """(gram, n) over all sessions; `kind` is category2, category3 or event2."""
+    """(gram, n) over all sessions; `kind` is category, category2 or category3."""
     return sessions.select(F.explode("grams").alias("g")).where(F.col("g.kind") == kind).groupBy("g.gram").agg(F.sum("g.n").alias("n"))
 
 
-def ngram_frequencies(sessions: DataFrame, kind: str, keep: int = fixed.NGRAM_KEEP) -> DataFrame:
-    """(gram, n, freq) of the `keep` most frequent n-grams; of equal counts the lesser text. freq is a share of all n-grams."""
-    grams = ngram_counts(sessions, kind)
+def operation_pair_counts(events: DataFrame) -> DataFrame:
+    """(gram, n) of neighbouring operations in the sessions of `sessionize`d events."""
+    return placed_events(events).where("_e2 IS NOT NULL").groupBy(F.concat_ws(" -> ", "event_name", "_e2").alias("gram")).agg(F.count("*").alias("n"))
+
+
+def most_frequent(grams: DataFrame, keep: int = fixed.NGRAM_KEEP) -> DataFrame:
+    """(gram, n, freq) of the `keep` most frequent of (gram, n); of equal counts the lesser text. freq is a share of all."""
     total = grams.agg(F.sum("n").alias("total"))
     return grams.crossJoin(F.broadcast(total)).withColumn("freq", F.col("n") / F.col("total")).drop("total").orderBy(F.desc("n"), "gram").limit(keep)
 
 
+def ngram_frequencies(sessions: DataFrame, kind: str, keep: int = fixed.NGRAM_KEEP) -> DataFrame:
+    return most_frequent(ngram_counts(sessions, kind), keep)
+
+
 def transition_probabilities(sessions: DataFrame) -> DataFrame:
     """(src, dst, n, prob) of neighbouring categories."""
     split = F.split("gram", " -> ")
@@ -137,22 +188,53 @@ def transition_probabilities(sessions: DataFrame) -> DataFrame:
 def feature_distributions(sessions: DataFrame) -> DataFrame:
     """(feature, mean, std, p50, p90, p95, p99, min, max); population deviation, 1e-6 where there is none."""
     long = sessions.select(*(F.col(f).cast("double").alias(f) for f in fixed.DISTRIBUTION_FEATURES)).unpivot([], fixed.DISTRIBUTION_FEATURES, "feature", "x")
-    q = F.percentile("x", F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95, 0.99))))
-    out = long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), q.alias("q"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = out.join(F.broadcast(grouped_quantiles(long, "feature", "x", (0.5, 0.9, 0.95, 0.99))), "feature", "left")  # a row a feature
     std = F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1e-6))
     return out.select("feature", "mean", std.alias("std"), *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))), "min", "max")
 
 
-def common_sequences(sessions: DataFrame, sequence: str, keep: int = fixed.SEQUENCE_KEEP) -> DataFrame:
-    """(sequence, n) of the `keep` most frequent ones; sequences count as far as they are shown."""
-    whole = sessions.select(F.array_join(sequence, " -> ").alias("sequence")).groupBy("sequence").agg(F.count("*").alias("n"))
-    return whole.orderBy(F.desc("n"), "sequence").limit(keep)
+def common_sequences(sessions: DataFrame, events: DataFrame, kind: str, keep: int = fixed.SEQUENCE_KEEP) -> DataFrame:
+    """(sequence, n) of the `keep` most frequent whole sequences, the lesser text of equal counts; `kind` is event or category.
+
+    `sessions` are the features of `events`. Sequences are counted by their
+    128-bit names; texts are put together for the `keep` that win alone. Where
+    counts tie, sequences are compared by their first TIED_EVENTS events, and
+    those that still tie at the border by four times as many, and so on.
+    """
+    value, key = {"event": "event_name", "category": "action_category"}[kind], f"{kind}_sequence"
+    counts = sessions.groupBy(key).agg(F.count("*").alias("n"), F.min("session_id").alias("session_id")).select("session_id", "n", F.col(f"{key}.n").alias("length"))
+    top = counts.orderBy(F.desc("n")).limit(keep).select("n").collect()
+    if len(top) < keep:
+        chosen, tied, wanted = counts, None, 0
+    else:
+        edge = top[-1].n
+        chosen, tied, wanted = counts.where(F.col("n") > edge), counts.where(F.col("n") == edge), sum(r.n == edge for r in top)
+    places = placed_events(events).select("session_id", "_place", F.col(value).alias("_value"))
+
+    def texts(of: DataFrame, most: int | None = None) -> DataFrame:
+        rows = places if most is None else places.where(F.col("_place") <= most)
+        return rows.join(of, "session_id").groupBy("session_id", "n", "length").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_value"))), lambda p: p["_value"]), " -> ").alias("sequence"))
+
+    most = TIED_EVENTS
+    while tied is not None and wanted:
+        heads = texts(tied, most)
+        border = heads.orderBy("sequence").limit(wanted).agg(F.max("sequence").alias("s"), F.max("length").alias("length")).first()
+        tied = heads.where(F.col("sequence") <= F.lit(border.s)).select("session_id", "n", "length")
+        found = tied.agg(F.count("*").alias("n"), F.max("length").alias("length")).first()
+        if found.n <= wanted or found.length <= most:
+            break
+        most *= 4
+    if tied is not None:
+        chosen = chosen.unionByName(tied)
+    return texts(chosen).orderBy(F.desc("n"), "sequence").limit(keep).select("sequence", "n")
 
 
 class SessionModel:
     """What scoring needs of the baseline sessions: category 2- and 3-grams and the row of distributions."""
 
     def __init__(self, sessions: DataFrame, keep: int = fixed.NGRAM_KEEP):
+        sessions = stored(sessions.select("grams", *fixed.DISTRIBUTION_FEATURES))  # read twice
         each = sessions.select(F.explode("grams").alias("g")).where(F.col("g.kind").isin("category2", "category3"))
         counts = each.groupBy("g.kind", "g.gram").agg(F.sum("g.n").alias("n"))  # as many as categories have pairs and triples; both in one pass over the sessions
         kind = W.partitionBy("kind")
@@ -231,7 +313,7 @@ def _component(sessions: DataFrame, name: str, short: str, rules: list[tuple[Col
 def score_timing(sessions: DataFrame) -> DataFrame:
     """0 to 20: rates beyond the baseline's p95 and quick steps from Discovery. Needs `dist`."""
     rules = []
-    head = F.concat(F.array_join(F.slice("ordered_event_sequence", 1, 5), ", "), F.when(F.col("num_events") > 5, F.lit("...")).otherwise(F.lit("")))
+    head = F.concat(F.array_join(F.col("first_events"), ", "), F.when(F.col("num_events") > 5, F.lit("...")).otherwise(F.lit("")))
     for feature in ("events_per_minute", "max_events_in_5min"):
         p95, value = F.col("dist")[feature]["p95"], F.col(feature).cast("double")
         rules.append((

@@ -88,11 +88,10 @@ _COUNTS = [
 
 @register(f"SELECT session_id, identity_id, epoch_us(session_start) AS session_start, epoch_us(session_end) AS session_end, {_r('duration_minutes', 'events_per_minute', 'failed_event_ratio')}, {', '.join(_COUNTS)}, categories, operations FROM xf")
 def session_features(spark, sf_dir):
-    out = _features(spark, sf_dir).select(
-        "session_id", "identity_id", us("session_start"), us("session_end"), "duration_minutes", "events_per_minute", "failed_event_ratio", *_COUNTS,
-        F.array_join("ordered_action_categories", " -> ").alias("categories"), F.array_join("ordered_event_sequence", " -> ").alias("operations"),
-    )
-    return rounded(out)
+    events = _sessions(spark, sf_dir)
+    shown = S.session_sequences(events).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("piece", *(F.array_join(c, " -> ").alias(c) for c in ("action_categories", "event_names"))))).alias("p"))
+    out = S.session_features(events).select("session_id", "identity_id", us("session_start"), us("session_end"), "duration_minutes", "events_per_minute", "failed_event_ratio", *_COUNTS)
+    return rounded(out.join(shown, "session_id").select(*out.columns, F.array_join("p.action_categories", " -> ").alias("categories"), F.array_join("p.event_names", " -> ").alias("operations")))
 
 
 @register("SELECT session_id, max_events_in_5min FROM xf")
@@ -147,7 +146,7 @@ def category_trigrams(spark, sf_dir):
 
 @register(f"SELECT operation || ' -> ' || o2 AS gram, count(*) AS n, round(count(*) / (SELECT count(*) FROM bs WHERE o2 IS NOT NULL), 6) AS freq FROM bs WHERE o2 IS NOT NULL GROUP BY 1 ORDER BY n DESC, gram LIMIT {fixed.NGRAM_KEEP}")
 def event_bigrams(spark, sf_dir):
-    return rounded(S.ngram_frequencies(_features(spark, sf_dir, "base"), "event2"))
+    return rounded(S.most_frequent(S.operation_pair_counts(_sessions(spark, sf_dir, "base"))))
 
 
 @register("SELECT category AS src, c2 AS dst, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY category), 6) AS prob FROM bs WHERE c2 IS NOT NULL GROUP BY 1, 2")
@@ -162,12 +161,12 @@ def feature_distributions(spark, sf_dir):
 
 @register(f"SELECT categories AS sequence, count(*) AS n FROM bf GROUP BY 1 ORDER BY n DESC, sequence LIMIT {fixed.SEQUENCE_KEEP}")
 def common_sequences(spark, sf_dir):
-    return S.common_sequences(_features(spark, sf_dir, "base"), "ordered_action_categories")
+    return S.common_sequences(_features(spark, sf_dir, "base"), _sessions(spark, sf_dir, "base"), "category")
 
 
 @register(f"SELECT operations AS sequence, count(*) AS n FROM bf GROUP BY 1 ORDER BY n DESC, sequence LIMIT {fixed.SEQUENCE_KEEP}")
 def common_event_sequences(spark, sf_dir):
-    return S.common_sequences(_features(spark, sf_dir, "base"), "ordered_event_sequence")
+    return S.common_sequences(_features(spark, sf_dir, "base"), _sessions(spark, sf_dir, "base"), "event")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
