@@ -157,6 +157,8 @@ class Aligner:
             raise ValueError("a piece of the second tokenizer goes on after a space: its units cannot be told apart")
         if self.b.get_piece_size() > B_IDS:
             raise ValueError(f"the second tokenizer has more than {B_IDS} ids")
+        shown = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.decimal, self.decimal_at = np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in shown])])
         self.code = np.uint32 if len(self.bytes_a) <= 1 << 16 else np.int64
         self.most, self.links = most, links
         self._empty()
@@ -165,7 +167,7 @@ class Aligner:
         self.keys, self.checks, self.sound = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
         self.figures = np.zeros((0, 4), np.int32)  # n_a, n_b, n_groups, n_links
         self.pairs, self.first = np.zeros(0, self.code), np.zeros(1, np.int64)  # linked pairs of each unit, repeats included
-        self.shown: list[bytes] = []
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # groups as text, each with a semicolon after it
         self.old, self.new, self.border = HashIndex(self.keys), HashIndex(self.keys), 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -188,33 +190,34 @@ class Aligner:
         """
         plain = [i for i, r in enumerate(raws) if (0x21 <= r[-1] < 0x7F or len(r) > 1 and r[-1] >= 0x80 and 0xC3 <= r[-2] < 0xE0) and b"\xe2\x96\x81" not in r]
         chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        order, flat, count = [], ([], []), ([], [])
         alone = sorted({*range(len(raws))} - {*plain})
-        got = [[np.zeros(0, np.int64)] * len(raws) for _ in range(2)]
-        joined = self._encode([b"".join(raws[i] for i in c) for c in chunks])
-        for c, *both in zip(chunks, *joined):
+        for c, *both in zip(chunks, *self._encode([b"".join([raws[i] for i in c]) for c in chunks])):
             stops = np.cumsum([len(raws[i]) for i in c])
             parts = []
             for ids, size in zip(both, (self.size_a, self.size_b)):
                 ids = np.array(ids, np.int64)
                 ends = np.cumsum(size[ids])
                 at = np.searchsorted(ends, stops)
-                if not len(ends) or ends[-1] != stops[-1] or (ends[at] != stops).any():
-                    break
-                parts.append(np.split(ids, at[:-1] + 1))
+                if len(ends) and ends[-1] == stops[-1] and (ends[at] == stops).all():
+                    parts.append((ids, np.diff(at, prepend=-1)))
             if len(parts) < 2:
                 alone += c  # a unit here has other bytes than its text
                 continue
-            for out, part in zip(got, parts):
-                for i, ids in zip(c, part):
-                    out[i] = ids
-        if alone:
-            for out, ids in zip(got, self._encode([raws[i] for i in alone])):
-                for i, x in zip(alone, ids):
-                    out[i] = np.array(x, np.int64)
-        return [(np.concatenate([np.zeros(0, np.int64), *x]), np.array([len(i) for i in x], np.int64)) for x in got]
-
-    def aligned(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of byte strings that start with a space: sound, figures, linked pairs, each one's first pair (one more), groups as text."""
+            order += c
+            for k, (ids, n) in enumerate(parts):
+                flat[k].append(ids)
+                count[k].append(n)
+        order = np.array(order + alone, np.int64)
+        back, out = np.argsort(order), []
+        for k, got in enumerate(self._encode([raws[i] for i in alone])):
+            ids = np.concatenate([np.zeros(0, np.int64), *flat[k], *(np.array(x, np.int64) for x in got)])
+            n = np.concatenate([np.zeros(0, np.int64), *count[k], np.array([len(x) for x in got], np.int64)])
+            out.append((ids[_exploded(np.concatenate([[0], np.cumsum(n)]), back)[0]], n[back]))
+        return out
+
+    def aligned(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of byte strings that start with a space: sound, figures, linked pairs, each one's first pair (one more), the groups as text and each one's first byte of it (one more)."""
         both, sound, joined = self.encoded(raws), np.ones(len(raws), bool), b"".join(raws)
         stops = np.cumsum([len(r) for r in raws])
         for (flat, count), table, size in zip(both, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b)):
@@ -235,18 +238,26 @@ class Aligner:
         k = np.arange(link_at[-1]) - link_at[:-1][g]
         pairs = flat_a[from_a[g] + k // per_b[g]] * B_IDS + flat_b[from_b[g] + k % per_b[g]]
         figures = np.stack([count_a, count_b, np.diff(group_at), np.diff(link_at[group_at])], axis=1).astype(np.int32)
-        la, lb = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        shown = [f"{','.join(la[p:q])}|{','.join(lb[r:s])}" for p, q, r, s in zip(from_a.tolist(), stop_a.tolist(), from_b.tolist(), stop_b.tolist())]
-        bounds = group_at.tolist()
-        return sound, figures, pairs.astype(self.code), link_at[group_at], [";".join(shown[x:y]).encode() for x, y in zip(bounds[:-1], bounds[1:])]
+        # Of each group the ids of a, then those of b, each with the sign after it.
+        ids, signs = np.zeros(len(flat_a) + len(flat_b), np.int64), np.full(len(flat_a) + len(flat_b), ord(","), np.uint8)
+        group_a, group_b = np.repeat(np.arange(len(per_a)), per_a), np.repeat(np.arange(len(per_b)), per_b)
+        ids[np.arange(len(flat_a)) + from_b[group_a]] = flat_a
+        ids[np.arange(len(flat_b)) + stop_a[group_b]] = flat_b
+        signs[stop_a + from_b - 1], signs[stop_a + stop_b - 1] = ord("|"), ord(";")
+        at, token = _exploded(self.decimal_at, ids)
+        wide = np.concatenate([[0], np.cumsum(np.diff(self.decimal_at)[ids] + 1)])
+        text = np.zeros(wide[-1], np.uint8)
+        text[np.arange(len(at)) + token] = self.decimal[at]
+        text[wide[1:] - 1] = signs
+        return sound, figures, pairs.astype(self.code), link_at[group_at], text, wide[np.concatenate([[0], stop_a + stop_b])[group_at]]
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, raws: list[bytes]) -> None:
-        sound, figures, pairs, first, shown = self.aligned(raws)
+        sound, figures, pairs, first, text, text_at = self.aligned(raws)
         self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
         self.pairs = np.concatenate([self.pairs, pairs])
         self.keys, self.checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
         self.sound, self.figures = np.concatenate([self.sound, sound]), np.concatenate([self.figures, figures])
-        self.shown += shown
+        self.text, self.text_at = np.concatenate([self.text, text]), np.concatenate([self.text_at, self.text_at[-1] + text_at[1:]])
         if len(self.keys) - self.border > max(4096, self.border // 4):
             self.border, self.old = len(self.keys), HashIndex(self.keys)
         self.new = HashIndex(self.keys[self.border :])
@@ -401,8 +412,9 @@ def align_corpus(docs: DataFrame, key: str, text: str, path_a: str, path_b: str,
                         figures = memo.figures[place]
                         out.append(batch.column("_key").slice(lo, hi - lo))
                         out += [pa.array(np.where(sound, row_sums(figures[:, i], first), 0)) for i in range(4)]
-                        bounds, shown, at_unit = first.tolist(), memo.shown, place.tolist()
-                        out.append(pa.array([hashlib.sha256(b";".join([shown[u] for u in at_unit[x:y]])).hexdigest() if ok and y > x else "" for x, y, ok in zip(bounds[:-1], bounds[1:], sound.tolist())]))
+                        at_byte, _ = _exploded(memo.text_at, place)
+                        shown, ends = memo.text[at_byte].tobytes(), np.concatenate([[0], np.cumsum(np.diff(memo.text_at)[place])])[first].tolist()
+                        out.append(pa.array([hashlib.sha256(shown[x : y - 1]).hexdigest() if ok and y > x else "" for x, y, ok in zip(ends[:-1], ends[1:], sound.tolist())]))
                         names += ["_key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
                     yield pa.RecordBatch.from_arrays(out, names=names)
 
