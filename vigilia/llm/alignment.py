@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, cut
+from vigilia.llm.common import arrow_map, cut, fresh
 from vigilia.llm.textbytes import U64, HashIndex, row_sums, slices, word_hashes
 
 MEMO_UNITS = 800_000  # units whose alignment a worker remembers, of some 200 bytes each
@@ -429,4 +429,4 @@ def align_corpus(docs: DataFrame, key: str, text: str, path_a: str, path_b: str,
         more = functools.reduce(DataFrame.unionByName, [scored(slim, *p, False) for p in parts[1:]])
         sums = more.groupBy("_row").agg(F.sum("n_best").alias("_best"), F.sum("count_sum").alias("_sum"))
         out = out.join(sums, "_row").withColumns({"n_best": F.col("n_best") + F.col("_best"), "count_sum": F.col("count_sum") + F.col("_sum")})
-    return out.select(F.col("_key").alias(key), *columns)
+    return out.select(F.col("_key").alias(key), *(F.col(c).alias(n) for c, n in zip(columns, fresh([key], *columns))))

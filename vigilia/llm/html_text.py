@@ -322,6 +322,8 @@ def _article(r: random.Random) -> Iterator[tuple[str, str, int]]:
     """(before, text, after is implied) pieces of an article: headings, paragraphs, lists, quotes, tables, code, captions."""
     if r.random() < 0.8:
         yield r.choice(["<h1>", "<h1>", "<h1>", "<h2>", "<header><h1>"]), _text(r, 1, 12, r.random() < 0.3), 1
+    if r.random() < 0.2:
+        yield r.choice(["<p class='byline'>", "<div class='author'>", "<address>", "<p class='dateline'>", "<p><time>", "<div class='meta'>", "<p class='lead'>"]), _text(r, 2, 8, False), 1
     for _ in range(r.choice([1, 2, 3, r.randint(1, 14)])):
         kind = r.random()
         if kind < 0.72:
@@ -330,7 +332,7 @@ def _article(r: random.Random) -> Iterator[tuple[str, str, int]]:
             yield r.choice(["<h2>", "<h3>"]), _text(r, 1, 7, False), 1
         elif kind < 0.87:
             for _ in range(r.randint(2, 5)):
-                yield "<ul><li>", _text(r, 2, 20), 1
+                yield r.choice(["<ul><li>", "<ul><li>", "<ol><li>", "<dl><dt>", "<dl><dd>"]), _text(r, 1, 20), 1
         elif kind < 0.91:
             yield "<blockquote><p>", _text(r, 5, 50), 1
         elif kind < 0.94:
@@ -371,7 +373,9 @@ def _boiler(r: random.Random, kind: str) -> Iterator[tuple[str, str, int]]:
             yield box + r.choice(["", "", "<p>", "<p>", "<div>", "<h3>"]), _text(r, 1, r.choice([6, 15, 60])), 0
 
 
-_BODIES = ["", "", "<article>", "<article>", "<main><article>", "<main>", "<div class='content'>", "<div id='content'>", "<div class='post-body'>", "<div class='entry-content'>", "<div class='article-text'>", "<section class='story'>", "<div role='main'>", "<article class='post'>", "<div>", "<main><div class='body'>"]
+#: Openings of single blocks that stand between an article's own and are none of it.
+_STRAYS = ["<button>", "<button>", "<p><button>", "<div><button>", "<button class='subscribe'>", "<div class='ad'>", "<div class='share'><a href='/s'>", "<aside>", "<form><label>", "<form><button>", "<div class='promo'><a href='/p'>"]
+_BODIES = ["", "", "<article>", "<article>", "<main><article>", "<main>", "<div class='content'>", "<div id='content'>", "<div class='post-body'>", "<div class='entry-content'>", "<div class='article-text'>", "<section class='story'>", "<div role='main'>", "<article class='post'>", "<div>", "<main><div class='body'>", "<div>", "<section>", "<div class='page'><div>", "<div id='wrap'><div class='bd'>", "<table><tr><td>", "<div class='story'>"]
 _TAG = re.compile(r"<([a-z0-9]+)")
 
 
@@ -383,6 +387,8 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, set[str]]]:
         before = [k for k in ("notice", "header", "menu", "advert", "form", "sidebar") if r.random() < 0.45]
         after = [k for k in ("advert", "comments", "sidebar", "form", "notice", "footer") if r.random() < 0.5]
         inner = [k for k in ("advert", "form", "comments", "sidebar", "notice") if r.random() < 0.2]
+        if r.random() < 0.3:  # a page of little else than its article
+            before, after, inner = before[: r.choice([0, 0, 1])], after[: r.choice([0, 0, 1])], []
         r.shuffle(inner)
         r.shuffle(before)
         out = ["<!DOCTYPE html><html><head><title>x</title></head><body>"]
@@ -400,6 +406,9 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, set[str]]]:
         for kind in before:
             put(_boiler(r, kind))
         pieces = list(_article(r))
+        if r.random() < 0.4:
+            for _ in range(r.randint(1, 3)):
+                pieces.insert(r.randint(0, len(pieces)), (r.choice(_STRAYS), _text(r, 1, 5, False), 0))
         for kind in inner:
             cut = r.randint(0, len(pieces))
             put(pieces[:cut], body)
@@ -436,10 +445,10 @@ def extract(pages: DataFrame, keep: list[str], body: str, model: ChainCRF | None
 
     Null, empty and textless pages have an empty text; a page that breaks off is
     read as far as it goes; every row stands for itself, also one that repeats.
-    Columns that are not kept are ignored; of kept ones named text or n_chars
-    the result's take the place.
+    Columns that are not kept are ignored; of kept ones named text or n_chars,
+    in capitals or not, the result's take the place.
     """
-    keep = [c for c in keep if c not in ("text", "n_chars")]
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
     shared = pages.sparkSession.sparkContext.broadcast(model or fit_extractor())
 

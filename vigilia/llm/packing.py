@@ -1,8 +1,10 @@
 """Packing into fixed-length sequences by cutting-stock column generation.
 
 A document's ids are cut into pieces of the sequence length and a rest. Rests
-fall into classes by length, rounded up to a grid; the histogram of classes is
-the demand of a cutting-stock problem. Its linear program is solved by column
+of one length are bundled until a bundle, rounded up to a grid, loses little by
+that: sixteen rests of 3 ids fill three steps of 16 without loss. Bundles and
+long rests fall into classes by rounded length; the histogram of classes is the
+demand of a cutting-stock problem. Its linear program is solved by column
 generation: a revised simplex over patterns, priced by an unbounded knapsack
 dynamic program. Patterns are rounded down, what is left is packed by first
 fit decreasing, and ranked pieces take the places that patterns offer to their
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vigilia.llm.common import arrow_map, cut
+from vigilia.llm.common import arrow_map, cut, fresh
 from vigilia.llm.textbytes import SPACE, U64, HashIndex, folded, mix, slices, word_bounds, word_hashes
 
 SEQUENCE = 4096
@@ -30,7 +32,9 @@ GRID = 16
 END_ID = 2
 MAX_COLUMNS = 3000
 GAP = 1e-4  # the linear program ends once it is within this share of its optimum
-RANKED_ROWS = 2000  # pieces of a class that are ranked in one group; a class has as many groups as it needs
+LOSS = 0.005  # share of a bundle's ids that rounding may cost
+BUNDLE = 1024  # ids of a bundle of several rests at most
+RANKED_ROWS = 2000  # pieces of a length that are ranked in one group; a length has as many groups as it needs
 MEMO_WORDS = 1_000_000
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -296,54 +300,88 @@ def round_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, solved: lis
     return sorted(kept.items())
 
 
+def bundled(counts: dict[int, int], grid: int, ids: int = BUNDLE) -> tuple[dict[int, tuple[int, int, tuple[int, int], tuple[int, int]]], dict[int, int]]:
+    """How pieces become items of the cutting-stock problem, and how many items each class has.
+
+    For each length: pieces a bundle (of `ids` ids at most), number of whole
+    bundles, class and first item of these, and class and item of the bundle
+    that takes what is left.
+    """
+    items, demand = {}, defaultdict(int)
+
+    def add(size: int, n: int) -> tuple[int, int]:
+        c = -(-size // grid)
+        demand[c] += n
+        return c, demand[c] - n
+
+    for size, n in sorted(counts.items()):
+        loss = lambda k: (-k * size % grid) / (k * size)  # noqa: B023, E731
+        most = range(1, max(1, min(n, ids // size)) + 1)
+        each = next((k for k in most if loss(k) <= LOSS), min(most, key=loss))
+        full = n // each
+        items[size] = (each, full, add(each * size, full), add((n - full * each) * size, 1) if n % each else (0, 0))
+    return items, dict(demand)
+
+
 def pack(docs: DataFrame, key: str, text: str, tokenizer: str, length: int = SEQUENCE, grid: int = GRID, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece; sequence ids are gapless from 0.
 
     A worker remembers the ids of about `memo_words` words (some 100 bytes each);
     fewer cost time, not results. Null and empty texts are the end id alone. Rows
     that repeat, or have equal or null keys, are packed as documents of their
-    own. An empty table gives no rows. Only the key and the text are read.
+    own. An empty table gives no rows. Only the key and the text are read; a
+    result named like the key has an underscore after it.
     """
     spark = docs.sparkSession
     made = pieces(docs, key, text, tokenizer, length, end_id, memo_words)
-    made = cut(made.withColumns({"_class": F.expr(f"int((length + {grid - 1}) div {grid})"), "_row": F.monotonically_increasing_id()}))  # written once, so _row stays as it is
-    demand = {r["_class"]: r["count"] for r in made.groupBy("_class").count().collect()}  # a row a class
+    made = cut(made.withColumn("_row", F.monotonically_increasing_id()))  # written once, so _row stays as it is
+    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # a row a length
+    items, demand = bundled(counts, grid, min(BUNDLE, length // 4))
     sizes = np.array(sorted(demand), int)
     wanted = np.array([demand[s] for s in sizes.tolist()], np.int64)
     room = length // grid
     plan = round_patterns(sizes, wanted, room, solve_patterns(sizes, wanted.astype(float), room)) if len(sizes) else []
-    # A run of a class' ranks that one pattern serves: from which rank, how many a sequence, from which sequence.
+    # A run of a class' items that one pattern serves: from which item, how many a sequence, from which sequence.
     runs, ranks, sequence = defaultdict(list), defaultdict(int), 0
     for pattern, times in plan:
         for i, n in pattern:
             runs[int(sizes[i])].append((ranks[i], n, sequence))
             ranks[i] += n * times
         sequence += times
-    served = spark.sparkContext.broadcast({c: np.array(rs, np.int64).T for c, rs in runs.items()})  # as long as patterns
-    salts = F.create_map(*(F.lit(int(x)) for c, n in demand.items() for x in (c, -(-n // RANKED_ROWS)))) if demand else F.create_map(F.lit(0), F.lit(1))
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64("_key", "start", "ids_crc32", "_row"), F.element_at(salts, F.col("_class"))).cast("int"))
-    counts = salted.groupBy("_class", "_salt").agg(F.count("*").alias("_n"))
-    up_to = W.partitionBy("_class").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("_class", "_salt", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))  # a row for RANKED_ROWS pieces
+    served = spark.sparkContext.broadcast(({c: np.array(rs, np.int64).T for c, rs in runs.items()}, items))  # as long as patterns and lengths
+    salts = spark.createDataFrame([(n, -(-k // RANKED_ROWS)) for n, k in counts.items()], "length long, _salts int")  # a row a length
+    salted = made.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_key", "start", "ids_crc32", "_row"), F.col("_salts")).cast("int")).drop("_salts")
+    up_to = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))  # a row for RANKED_ROWS pieces
     ranked = (
-        salted.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_salt").orderBy("_key", "start", "ids_crc32", "_row")) - 1)
-        .join(bases, ["_class", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+        salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("_key", "start", "ids_crc32", "_row")) - 1)
+        .join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     )
     kind = docs.schema[key].dataType.simpleString()
 
     def place(batches):
+        runs, items = served.value
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            rank, group = batch.column(at["_rank"]).to_numpy(), batch.column(at["_class"]).to_numpy()
-            out = np.zeros(len(rank), np.int64)
+            rank, lengths = batch.column(at["_rank"]).to_numpy(), batch.column(at["length"]).to_numpy()
+            group, item, turn, out = (np.zeros(len(rank), np.int64) for _ in range(4))
+            for n in np.unique(lengths):
+                each, full, (c, base), (last_c, last) = items[int(n)]
+                rows = np.flatnonzero(lengths == n)
+                whole = rank[rows] < full * each
+                group[rows] = np.where(whole, c, last_c)
+                item[rows] = np.where(whole, base + rank[rows] // each, last)
+                turn[rows] = np.where(whole, rank[rows] % each, rank[rows] - full * each)
             for c in np.unique(group):
                 rows = np.flatnonzero(group == c)
-                begin, each, seq = served.value[int(c)]
-                k = np.searchsorted(begin, rank[rows], "right") - 1
-                out[rows] = seq[k] + (rank[rows] - begin[k]) // each[k]
-            keep = ["_key", "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in keep), pa.array(out)], names=[*keep, "sequence_id"])
-
-    placed = arrow_map(ranked, place, f"_key {kind}, {PIECES}, _class int, _rank long, sequence_id long")
-    before = W.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(W.unboundedPreceding, -1)
-    return placed.select(F.col("_key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+                begin, each, seq = runs[int(c)]
+                k = np.searchsorted(begin, item[rows], "right") - 1
+                out[rows] = seq[k] + (item[rows] - begin[k]) // each[k]
+            keep = ["_key", "start", "length", "ids_crc32", "doc_tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in keep), *map(pa.array, (group, item, turn, out))], names=[*keep, "_class", "_item", "_turn", "sequence_id"])
+
+    placed = arrow_map(ranked, place, f"_key {kind}, {PIECES}, _class long, _item long, _turn long, sequence_id long")
+    before = W.partitionBy("sequence_id").orderBy(F.desc("_class"), "_item", "length", "_turn").rowsBetween(W.unboundedPreceding, -1)
+    out = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    return placed.select(F.col("_key").alias(key), *(F.col(c).alias(n) for c, n in zip(out, fresh([key], *out))))

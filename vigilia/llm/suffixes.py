@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, cut
+from vigilia.llm.common import arrow_map, cut, fresh
 from vigilia.llm.textbytes import _BYTE, U64, mix, powers, slices, text_buffers
 
 LENGTH = 200
@@ -336,4 +336,5 @@ def drop_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, kep
 
     joined = slim.join(spans, ["h", "check"], "left").select("_key", "text", "spans")
     out = arrow_map(joined, run, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else ""))
-    return out.select(F.col("_key").alias(key), *(c for c in out.columns if c != "_key"))
+    names = [c for c in out.columns if c != "_key"]
+    return out.select(F.col("_key").alias(key), *(F.col(c).alias(n) for c, n in zip(names, fresh([key], *names))))
