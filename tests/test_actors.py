@@ -96,3 +96,19 @@ def test_period_tables(spark):
 def test_resources_sharing_a_uid_space(spark):
     base = api(spark, [("a", 0, "Get", "r", "i", ["x"])])
     assert U.api_event_dimensions(api(spark, []), base).count() == 0
+
+
+def test_half_of_all_events_on_one_actor_are_dealt_over_tasks(spark):
+    """One service account with one region and one hour: its events reach the join in copies' shares, and the result is that of one task."""
+    rows = [("svc" if i % 2 else f"u{i % 7}", D0 if i % 2 else D0 + dt.timedelta(hours=i % 5), f"Op{i % 3}" if i % 4 == 0 else "Op", "r", "ip", [], False) for i in range(4000)]
+    schema = "actor string, event_time timestamp, operation string, region string, ip string, resources array<string>, is_system boolean"
+    events = spark.createDataFrame(rows, schema).withColumn("event_uid", F.monotonically_increasing_id())
+    base = events.where("event_uid % 3 = 0")
+    spread, single = U.api_event_dimensions(events, base, 256), U.api_event_dimensions(events, base, 1)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, single.collect())) and spread.count() == 4000
+    found = U.api_combinations(events, base)
+    hot = found.where("actor = 'svc'").agg(F.max("_events")).first()[0]
+    keys = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert hot >= 1000 and "_copy" in keys  # its largest combination alone would be a quarter of all rows in one task
+    largest = hot / -(-hot * 256 // 4000)
+    assert largest <= 4000 / 256

@@ -1,6 +1,8 @@
 """Sessions: boundaries, features, the model and every rule of the score at its edge."""
 
+import collections
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,14 +61,16 @@ def test_key_action_minutes(spark):
 
 def test_model_tables(spark):
     rows = events(spark, [("a", 0, "ListBuckets"), ("a", 1, "GetObject"), ("a", 2, "GetObject"), ("b", 0, "ListBuckets"), ("b", 1, "GetObject")])
-    features = S.session_features(S.sessionize(rows))
+    rows = S.sessionize(rows)
+    features = S.session_features(rows)
     grams = {r.gram: (r.n, r.freq) for r in S.ngram_frequencies(features, "category2").collect()}
     assert grams == {"Discovery -> DataAccess": (2, pytest.approx(2 / 3)), "DataAccess -> DataAccess": (1, pytest.approx(1 / 3))}
     assert [r.gram for r in S.ngram_frequencies(features, "category2", 1).collect()] == ["Discovery -> DataAccess"]
     assert {(r.src, r.dst): r.prob for r in S.transition_probabilities(features).collect()} == {("Discovery", "DataAccess"): 1.0, ("DataAccess", "DataAccess"): 1.0}
     dist = {r.feature: r for r in S.feature_distributions(features).collect()}
     assert dist["num_events"].mean == 2.5 and dist["num_events"].std == 0.5 and dist["num_events"].p95 == pytest.approx(2.95) and dist["unique_services"].std == 1e-6
-    assert S.common_sequences(features, "ordered_event_sequence", 1).first().sequence == "ListBuckets -> GetObject"
+    assert S.common_sequences(features, rows, "event", 1).first().sequence == "ListBuckets -> GetObject"
+    assert {(r.gram, r.n) for r in S.operation_pair_counts(rows).collect()} == {("ListBuckets -> GetObject", 2), ("GetObject -> GetObject", 1)}
 
 
 @pytest.mark.parametrize("names, score", [
@@ -114,11 +118,71 @@ def test_categories_and_priority():
     assert sum(fixed.CT_WEIGHTS.values()) == pytest.approx(1)
 
 
-def test_scores_do_not_depend_on_the_displayed_sequence(spark):
+def test_scores_do_not_depend_on_the_stretches(spark):
     names = ["StopLogging", "ListBuckets", "GetObject", "CreateUser", "GetSecretValue", "PutBucketPolicy", *["GetObject"] * 30, "CreateAccessKey", "AssumeRole", "PutObject"]
-    rows = S.sessionize(events(spark, [("a", i * 5, n) for i, n in enumerate(names)] + [("b", i * 60, n) for i, n in enumerate(["ListBuckets", "GetObject"])]))
-    whole, short = S.session_features(rows), S.session_features(rows, sequence_limit=6)
-    assert {len(r.ordered_event_sequence) for r in short.collect()} == {6, 2} and max(len(r.ordered_action_categories) for r in whole.collect()) == len(names)
-    model = S.SessionModel(whole.where("identity_id = 'b'"))
-    texts = [sorted((r.session_id, r.session_risk_score, r.risk_explanation, r.flagged_api_sequences) for r in S.score_sessions(f, model).collect()) for f in (whole, short)]
-    assert texts[0] == texts[1] and "RARE_SEQUENCE" in texts[0][0][3] and "BULK_ACCESS: ListBuckets -> GetObject x31" in texts[0][0][3]
+    rows = S.sessionize(events(spark, [("a", i * 50, n) for i, n in enumerate(names)] + [("b", i * 60, n) for i, n in enumerate(["ListBuckets", "GetObject"])]))
+    model = S.SessionModel(S.session_features(rows).where("identity_id = 'b'"))
+    texts = [sorted((r.session_id, r.session_risk_score, r.risk_explanation, r.flagged_api_sequences) for r in S.score_sessions(S.session_features(rows, m), model).collect()) for m in (5, 30, 100_000)]
+    assert texts[0] == texts[1] == texts[2] and "RARE_SEQUENCE" in texts[0][0][3] and "BULK_ACCESS: ListBuckets -> GetObject x31" in texts[0][0][3]
+    with pytest.raises(ValueError):
+        S.placed_events(rows, 4)
+
+
+def test_one_endless_session_per_identity_equals_brute_force(spark):
+    """A gap that never ends, so that every identity is one session over many stretches, some of one event, some of many in one moment."""
+    r = random.Random(11)
+    names = ["ListBuckets", "GetObject", "PutObject", "StopLogging", "CreateUser", "AssumeRole", "NoCategory"]
+    raw = []
+    for who, n in (("a", 400), ("b", 60), ("c", 1), ("d", 2)):
+        at = 0
+        for _ in range(n):
+            at += r.choice([0, 0, 1, 20, 100, 299, 300, 301, 1500, 4000, 30_000])
+            raw.append((who, at, r.choice(names), r.random() < 0.2))
+    raw = sorted(raw, key=lambda _: r.random())
+    features = {f.identity_id: f for f in S.session_features(S.sessionize(events(spark, raw), 10**7)).collect()}
+    pieces = {}
+    for p in S.session_sequences(S.sessionize(events(spark, raw), 10**7), piece_events=37).orderBy("session_id", "piece").collect():
+        pieces.setdefault(p.session_id[:1], []).extend(p.event_names)
+        assert len(p.event_names) <= 37
+    category = lambda n: fixed.category_map().get(n, "Other")
+    for who in "abcd":
+        rows = sorted((t, i, n, f) for i, (w, t, n, f) in enumerate(raw) if w == who)
+        seen, got = [n for _, _, n, _ in rows], features[who]
+        assert pieces[who] == seen and got.num_events == len(rows) and list(got.first_events) == seen[:5]
+        assert got.max_events_in_5min == max(sum(t - 300 <= u <= t for u, *_ in rows) for t, *_ in rows)
+        assert got.reads_after_listing == sum(n == "GetObject" and "ListBuckets" in seen[:i] for i, n in enumerate(seen))
+        want = {}
+        for i in range(len(seen)):
+            cats = [category(n) for n in seen[i : i + 3]]
+            for kind, gram in (("category", cats[0]), ("category2", " -> ".join(cats[:2])), ("category3", " -> ".join(cats)), ("event", seen[i])):
+                if kind == "event" and gram not in S.MARKED_EVENTS or kind == "category2" and len(cats) < 2 or kind == "category3" and len(cats) < 3:
+                    continue
+                want.setdefault((kind, gram), []).append((i + 1, seen[i]))
+        assert {(g.kind, g.gram): (g.n, g.first, g.last, [tuple(c) for c in g.calls]) for g in got.grams} == {k: (len(v), v[0][0], v[-1][0], v[: S.CALLS]) for k, v in want.items()}
+
+
+def test_common_sequences_compare_whole_texts(spark, monkeypatch):
+    """Sequences that differ only late are told apart, and ties go by the whole text, in rounds."""
+    monkeypatch.setattr(S, "TIED_EVENTS", 2)
+    long = ["GetObject"] * 40
+    talks = {"a": [*long, "PutObject"], "b": [*long, "ListBuckets"], "c": [*long, "PutObject"], "d": long, "e": ["GetObject"] * 39, "f": ["CreateUser"], "g": ["StopLogging"], "h": [*long, "AssumeRole"]}
+    rows = S.sessionize(events(spark, [(who, i, n) for who, ns in talks.items() for i, n in enumerate(ns)]))
+    features = S.session_features(rows)
+    counts = collections.Counter(" -> ".join(ns) for ns in talks.values())
+    want = sorted(((t, n) for t, n in counts.items()), key=lambda x: (-x[1], x[0]))
+    for keep in (1, 2, 3, 4, 5, 100):
+        assert [tuple(x) for x in S.common_sequences(features, rows, "event", keep).collect()] == want[:keep]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grouped_quantiles_equal_percentile(spark, seed):
+    from vigilia.operators.quantiles import grouped_quantiles
+
+    r = random.Random(seed)
+    draw = [lambda: r.random(), lambda: r.choice([0.0, 1.0, 1e-6, 2.0**52, 3.0]), lambda: -r.expovariate(1), lambda: r.gauss(0, 1) * 10 ** r.randint(-300, 300), lambda: 7.0]
+    rows = [(f"g{k}", f()) for k, f in enumerate(draw) for _ in range(r.choice([1, 2, 99, 250]))] + [("g0", None), ("none", None)] + [("edge", 2.0**e) for e in range(-60, 60)] + [("edge", 2.0**e * (1 - 2.0**-53)) for e in range(-60, 60)]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0)
+    want = {x.g: x.q for x in frame.where("x IS NOT NULL").groupBy("g").agg(F.percentile("x", F.array(*(F.lit(p) for p in shares))).alias("q")).collect()}
+    got = {x.g: x.q for x in grouped_quantiles(frame, "g", "x", shares).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12, abs=0) for g in want)

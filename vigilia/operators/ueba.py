@@ -9,17 +9,31 @@ from pyspark.sql import Window as W
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
 from vigilia.operators.baseline import access_baseline, access_profile, flow_baseline, flow_profile, hour_counts, known_values, long_values, slot_stats, with_actor
+from vigilia.sources.stored import stored
 
 ACCESS_DIMS = ("new_operation", "new_bucket", "new_src_ip", "error_rate", "bytes_zscore", "event_zscore")
+NO_TIME = "0001-01-01 00:00:00"  # the slot of events without a time
+HOT_PARTS = 256  # a combination with more than this part of all events is dealt over several tasks
 FLOW_DIMS = ("new_dst_ip", "new_dst_port", "reject_ratio", "bytes_zscore", "flow_zscore", "new_protocol")
 
 
-def api_event_dimensions(events: DataFrame, baseline: DataFrame) -> DataFrame:
-    """The six deviations of each event from its actor's baseline events, and their weighted sum.
+COMBINATION = ["actor", "_slot_key", "operation", "region", "ip", "resources"]
+
+
+def _combined(events: DataFrame) -> DataFrame:
+    """Events with the keys of their combination, none of which is null."""
+    none = F.array().cast("array<string>")
+    return with_actor(events).withColumns({
+        **{c: F.coalesce(c, F.lit("")) for c in ("operation", "region", "ip")}, "resources": F.coalesce("resources", none), "_slot_key": F.coalesce(F.date_trunc("hour", "event_time"), F.lit(NO_TIME).cast("timestamp")),
+    })
+
+
+def api_combinations(events: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The six deviations of each combination of actor, hour slot, operation, region, address and resources, with its number of events.
 
     Novelty is an equi join with the baseline's distinct (actor, kind, value)
-    rows, so no actor's set of known values is ever one row. Events of actors
-    without a baseline are left out; a missing operation counts as new.
+    rows, so no actor's set of known values is ever one row, and what joins are
+    combinations, not events. A missing operation counts as new.
     """
     seen = known_values(baseline).select("actor", "kind", F.col("value"))
     # An operation that is missing stays in the baseline's histogram as the empty text, and is new unless it stands there.
@@ -29,30 +43,39 @@ def api_event_dimensions(events: DataFrame, baseline: DataFrame) -> DataFrame:
     peak = hours.groupBy("actor").agg(F.max("n").alias("_peak"))
     volume = slot_stats(with_actor(baseline).where("event_time IS NOT NULL"), "hour").select("actor", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
     actors = with_actor(baseline).select("actor").distinct().join(volume, "actor", "left").join(peak, "actor", "left")
-    rows = with_actor(events).withColumns({
-        "operation": F.coalesce("operation", F.lit("")), "hour": F.hour("event_time"),
-        "_slot": F.when(F.col("event_time").isNotNull(), F.count(F.lit(1)).over(W.partitionBy("actor", F.date_trunc("hour", "event_time")))),
-    })
-    out = rows.join(actors, "actor")
-    for kind, column in (("operation", "operation"), ("region", "region"), ("ip", "ip")):
-        side = seen.where(F.col("kind") == kind).select("actor", F.col("value").alias(column), F.lit(True).alias(f"_{kind}"))
-        out = out.join(side, ["actor", column], "left")
-    fresh = (
-        with_actor(events).select("actor", F.explode("resources").alias("value")).where("value IS NOT NULL").distinct()
-        .join(seen.where("kind = 'resource'").select("actor", "value"), ["actor", "value"], "left_anti")
-    )
-    novel = with_actor(events).select("actor", "event_uid", F.explode("resources").alias("value")).join(fresh, ["actor", "value"]).select("actor", "event_uid").distinct()
-    out = out.join(novel.withColumn("_resource", F.lit(True)), ["actor", "event_uid"], "left")
-    out = out.join(hours.withColumnRenamed("n", "_n"), ["actor", "hour"], "left")
+    out = _combined(events).groupBy(*COMBINATION).agg(F.count("*").alias("_events")).join(actors, "actor")
+    timed = F.col("_slot_key") != F.lit(NO_TIME).cast("timestamp")
+    out = out.withColumns({"hour": F.when(timed, F.hour("_slot_key")), "_slot": F.when(timed, F.sum("_events").over(W.partitionBy("actor", "_slot_key")))})
+    for kind in ("operation", "region", "ip"):
+        side = seen.where(F.col("kind") == kind).select("actor", F.col("value").alias(kind), F.lit(True).alias(f"_{kind}"))
+        out = out.join(side, ["actor", kind], "left")
+    named = _combined(events).select("actor", "resources").distinct().select("actor", "resources", F.explode("resources").alias("value")).where("value IS NOT NULL")
+    novel = named.join(seen.where("kind = 'resource'").select("actor", "value"), ["actor", "value"], "left_anti").select("actor", "resources").distinct()
+    out = out.join(novel.withColumn("_resource", F.lit(True)), ["actor", "resources"], "left").join(hours.withColumnRenamed("n", "_n"), ["actor", "hour"], "left")
     flag = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
-    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    out = out.withColumns({
-        "d_op": flag(F.col("_operation").isNull()), "d_resource": flag(F.col("_resource").isNotNull()), "d_region": flag(has("region") & F.col("_region").isNull()),
+    return out.withColumns({
+        "d_op": flag(F.col("_operation").isNull()), "d_resource": flag(F.col("_resource").isNotNull()), "d_region": flag((F.col("region") != "") & F.col("_region").isNull()),
         "d_volume": F.when(F.col("_slot").isNull(), F.lit(0.0)).otherwise(X.deviation(F.col("_slot").cast("double"), F.coalesce("_mean", F.lit(0.0)), F.coalesce("_std", F.lit(0.0)))),
-        "d_ip": flag(has("ip") & F.col("_ip").isNull() & has("region") & F.col("_region").isNotNull()),
+        "d_ip": flag((F.col("ip") != "") & F.col("_ip").isNull() & (F.col("region") != "") & F.col("_region").isNotNull()),
         "d_hour": F.when(F.col("hour").isNull() | F.col("_peak").isNull(), F.lit(0.0)).otherwise(1 - F.coalesce(F.col("_n"), F.lit(0)) / F.col("_peak")),
-    })
-    return out.withColumn("composite", X.weighted(fixed.CT_WEIGHTS)).select("actor", "event_uid", "event_time", *fixed.CT_WEIGHTS, "composite")
+    }).withColumn("composite", X.weighted(fixed.CT_WEIGHTS)).select(*COMBINATION, "_events", *fixed.CT_WEIGHTS, "composite")
+
+
+def api_event_dimensions(events: DataFrame, baseline: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
+    """The six deviations of each event from its actor's baseline events, and their weighted sum. Events of actors without a baseline are left out.
+
+    Each event takes those of its combination in one join. A combination with
+    more than 1 in `parts` of all events, of which there are fewer than `parts`,
+    is copied so often that each copy meets about that share of them.
+    """
+    found = stored(api_combinations(events, baseline))
+    copies = lambda: F.ceil(F.col("_events") * parts / F.col("_all")).cast("int")
+    spread = found.crossJoin(F.broadcast(found.agg(F.sum("_events").alias("_all")))).withColumn("_copies", F.greatest(copies(), F.lit(1)))
+    hot = spread.where("_copies > 1").select(*COMBINATION, "_copies")  # fewer than `parts`
+    rows = _combined(events).select(*COMBINATION, "event_uid", "event_time").join(F.broadcast(hot), COMBINATION, "left")
+    rows = rows.withColumn("_copy", F.pmod(F.xxhash64("event_uid", "event_time"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    sides = spread.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    return rows.join(sides, [*COMBINATION, "_copy"]).select("actor", "event_uid", "event_time", *fixed.CT_WEIGHTS, "composite")
 
 
 def api_scores(dimensions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -12,12 +12,13 @@ from vigilia.functions import fixed
 from vigilia.operators import baseline as B
 from vigilia.operators import exfil as E
 from vigilia.operators import findings as R
+from vigilia.operators import incremental as I
 from vigilia.operators import normalize as N
 from vigilia.operators import sessions as S
 from vigilia.operators import ueba as U
 from vigilia.plans import driver_tables as D
 from vigilia.plans.sql import query
-from vigilia.sources import logs
+from vigilia.sources import logs, stored, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -42,6 +43,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _same(name: str) -> Callable[[Query], Query]:
+    """Register a query whose counterpart is that of another."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, _SQL[name]
+        return f
+
+    return add
+
+
 def rounded(frame: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, for results whose sums may run in any order."""
     return frame.select(*(X.settled(F.col(f.name), places).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in frame.schema.fields))
@@ -267,19 +278,52 @@ _SETS = "(SELECT actor, string_agg(DISTINCT ip, ',' ORDER BY ip) AS known_ips, s
 
 @register(f"SELECT s.*, h.mean AS volume_mean, h.std AS volume_std, h.slots AS active_slots, d.mean AS daily_mean, d.std AS daily_std FROM {_SETS} s JOIN hslots h USING (actor) JOIN dslots d USING (actor)")
 def ct_baseline(spark, sf_dir):
-    return B.api_baseline(_base(spark, sf_dir)).select(
+    return _ct_columns(B.api_baseline(_base(spark, sf_dir)))
+
+
+def _ct_columns(baseline: DataFrame) -> DataFrame:
+    return baseline.select(
         "actor", *(F.array_join(c, ",").alias(c) for c in ("known_ips", "known_regions", "known_resources")), "event_count", "is_system",
         F.col("volume_stats.mean").alias("volume_mean"), F.col("volume_stats.std").alias("volume_std"), F.col("volume_stats.slots").alias("active_slots"), F.col("daily_events.mean").alias("daily_mean"), F.col("daily_events.std").alias("daily_std"),
     )
 
 
+def _by_day(spark: SparkSession, partials: DataFrame) -> DataFrame:
+    """Partials stored a day a folder; the first three days are written once more, which must leave all others as they are."""
+    path = stored.shared_folder(spark)
+    tables.write_days(partials, path)
+    days = [r.day for r in tables.read_days(spark, path, schema=I.PARTIAL).select("day").distinct().orderBy("day").limit(3).collect()]
+    tables.write_days(partials.where(F.col("day").isin(days)), path)
+    return tables.read_days(spark, path, schema=I.PARTIAL)
+
+
+@_same("ct_baseline")
+def merged_ct_baseline(spark, sf_dir):
+    return _ct_columns(I.api_baseline_of(_by_day(spark, I.api_partials(_base(spark, sf_dir)))))
+
+
+@register("SELECT actor, kind, value, count(*) AS n, epoch_us(min(event_time)) AS first_seen, epoch_us(max(event_time)) AS last_seen FROM (" + _LONG + ") GROUP BY actor, kind, value UNION ALL SELECT actor, 'hour', CAST(hour AS VARCHAR), n, NULL, NULL FROM hcount")
+def merged_values(spark, sf_dir):
+    whole = I.merged(_by_day(spark, I.api_partials(_base(spark, sf_dir)))).where(F.col("kind").isin("operation", "ip", "region", "resource", "hour"))
+    seen = lambda c: F.when(F.col("kind") != "hour", X.epoch_us(c)).alias(c)
+    return whole.select("actor", "kind", "value", "n", seen("first_seen"), seen("last_seen"))
+
+
 def _split_table(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     return E.split_at(frame, D.TRADE_CUTOFF)
 
 
 @register("SELECT b.*, e.mean AS events_mean, e.std AS events_std, v.mean AS bytes_mean, v.std AS bytes_std FROM (SELECT actor, string_agg(DISTINCT operation, ',' ORDER BY operation) AS known_operations, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS known_buckets, string_agg(DISTINCT ip, ',' ORDER BY ip) AS known_ips, count(*) AS event_count FROM abase GROUP BY actor) b JOIN adaye e USING (actor) JOIN adayb v USING (actor)")
 def s3_baseline(spark, sf_dir):
-    out = B.access_baseline(_split_table(D.accesses(spark, sf_dir))[0])
+    return _s3_columns(B.access_baseline(_split_table(D.accesses(spark, sf_dir))[0]))
+
+
+@_same("s3_baseline")
+def merged_s3_baseline(spark, sf_dir):
+    return _s3_columns(I.access_baseline_of(stored.stored(I.access_partials(_split_table(D.accesses(spark, sf_dir))[0]))))
+
+
+def _s3_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "actor", *(F.array_join(c, ",").alias(c) for c in ("known_operations", "known_buckets", "known_ips")), "event_count",
         F.col("daily_events.mean").alias("events_mean"), F.col("daily_events.std").alias("events_std"), F.col("daily_bytes.mean").alias("bytes_mean"), F.col("daily_bytes.std").alias("bytes_std"),
@@ -288,7 +332,16 @@ def s3_baseline(spark, sf_dir):
 
 @register("SELECT b.*, e.mean AS flows_mean, e.std AS flows_std, v.mean AS bytes_mean, v.std AS bytes_std FROM (SELECT eni, string_agg(DISTINCT dst_ip, ',' ORDER BY dst_ip) AS known_dst_ips, count(DISTINCT dst_ip || ':' || dst_port) AS connections, string_agg(DISTINCT protocol::VARCHAR, ',' ORDER BY protocol::VARCHAR) AS known_protocols, count(*) AS event_count FROM fbase GROUP BY eni) b JOIN fdaye e USING (eni) JOIN fdayb v USING (eni)")
 def vpc_baseline(spark, sf_dir):
-    out = B.flow_baseline(_split_table(D.flows(spark, sf_dir))[0], "eni")
+    return _vpc_columns(B.flow_baseline(_split_table(D.flows(spark, sf_dir))[0], "eni"))
+
+
+@_same("vpc_baseline")
+def merged_vpc_baseline(spark, sf_dir):
+    partials = I.flow_partials(_split_table(D.flows(spark, sf_dir))[0], "eni")
+    return _vpc_columns(I.flow_baseline_of(stored.stored(partials)).withColumnRenamed("actor", "eni"))
+
+
+def _vpc_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "eni", F.array_join("known_dst_ips", ",").alias("known_dst_ips"), F.size("known_dst_conns").cast("long").alias("connections"), F.array_join(F.col("known_protocols").cast("array<string>"), ",").alias("known_protocols"), "event_count",
         F.col("daily_flows.mean").alias("flows_mean"), F.col("daily_flows.std").alias("flows_std"), F.col("daily_bytes.mean").alias("bytes_mean"), F.col("daily_bytes.std").alias("bytes_std"),
@@ -688,11 +741,6 @@ def time_evidence(spark, sf_dir):
     return E.time_features(_ratios(spark, sf_dir)).select("principal", F.col("elevated_days").alias("elevated"), "elevated_day_dates", "spike_day_dates", "final_window_days")
 
 
-@register()
-def contributing_days(spark, sf_dir):
-    return R.contributing_days(E.score_time(E.time_features(_ratios(spark, sf_dir))))
-
-
 @register("SELECT principal, time_based_risk_score, time_detection_types FROM times")
 def time_score(spark, sf_dir):
     return E.score_time(E.time_features(_ratios(spark, sf_dir))).select("principal", "time_based_risk_score", "time_detection_types")
@@ -706,7 +754,12 @@ _NAMED_DAYS = f"SELECT *, row_number() OVER (PARTITION BY principal ORDER BY acc
   b AS bytes, CAST(trunc(baseline_avg_daily_bytes) AS BIGINT) AS expected_bytes, CAST(trunc(greatest(0.0, b - baseline_avg_daily_bytes)) AS BIGINT) AS excess_bytes, n AS events, round(baseline_avg_daily_events, 2) AS expected_events, res AS distinct_resources, rare_n AS rare_resource_events,
   concat_ws('|', CASE WHEN x >= {fixed.SUSTAINED_RATIO} THEN 'elevated' END, CASE WHEN x >= {fixed.SPIKE_RATIO} THEN 'spike' END, CASE WHEN rare_n > 0 THEN 'rare_resources' END) AS flags FROM ({_NAMED_DAYS}) WHERE place <= 10""")
 def contributing_day_rows(spark, sf_dir):
-    return contributing_days(spark, sf_dir).withColumn("flags", F.array_join("flags", "|"))
+    return R.contributing_days(E.score_time(E.time_features(_ratios(spark, sf_dir)))).withColumn("flags", F.array_join("flags", "|"))
+
+
+@_same("contributing_day_rows")
+def contributing_days(spark, sf_dir):
+    return contributing_day_rows(spark, sf_dir)
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1074,3 +1127,29 @@ def access_line_parse(spark, sf_dir):
     )
     rows = logs.access_lines(D.read(spark, sf_dir, "orders").select(line.alias("value")))
     return rows.groupBy("bucket", "operation", "http_status").agg(F.count("*").alias("n"), F.sum(c("bytes_sent").cast("long")).alias("bytes"))
+
+
+# Raw records and stored layouts.
+
+
+@register("SELECT user_id % 50 AS a, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS b, CASE WHEN event_id % 10 < 3 THEN event_id % 3 END AS extra, count(*) AS copies FROM events GROUP BY ALL")
+def raw_unique_records(spark, sf_dir):
+    """Raw lines in two orders of keys and spacings, some with a field that no schema names: equal records meet, unequal ones stay apart."""
+    a, b = (F.col("user_id") % 50).cast("string"), F.regexp_extract("props", "([0-9]+)", 1)
+    extra = F.when(F.col("event_id") % 10 < 3, F.concat(F.lit(', "x": {"z": 1, "extra": '), (F.col("event_id") % 3).cast("string"), F.lit("}"))).otherwise(F.lit(""))
+    other = F.when(F.col("event_id") % 10 < 3, F.concat(F.lit('"x":{"extra":'), (F.col("event_id") % 3).cast("string"), F.lit(',"z":1},'))).otherwise(F.lit(""))
+    one, two = F.concat(F.lit('{"a": '), a, F.lit(', "b": '), b, extra, F.lit("}")), F.concat(F.lit("{"), other, F.lit('"b":'), b, F.lit(',"a":'), a, F.lit("}"))
+    lines = D.read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("value"))
+    number = lambda path: F.get_json_object("value", path).cast("long")
+    return logs.deduplicate_raw(lines).select(number("$.a").alias("a"), number("$.b").alias("b"), number("$.x.extra").alias("extra"), "copies")
+
+
+@register("SELECT actor, ip, c.n AS today, b.n AS before FROM (SELECT actor, ip, count(*) AS n FROM cur GROUP BY ALL) c LEFT JOIN (SELECT actor, ip, count(*) AS n FROM base GROUP BY ALL) b USING (actor, ip)")
+def bucketed_ip_history(spark, sf_dir):
+    """Today's addresses beside the baseline's, from two tables bucketed by actor and address, which join without an exchange."""
+    count = lambda rows, name: rows.groupBy("actor", "ip").agg(F.count("*").alias(name))
+    made = []
+    for rows, name in ((_current(spark, sf_dir), "today"), (_base(spark, sf_dir), "before")):
+        path = stored.shared_folder(spark)
+        made.append(tables.save_bucketed(count(rows, name), f"bucketed_{path.rsplit('/', 1)[-1]}", ["actor", "ip"], 16, path))
+    return made[0].join(made[1].hint("merge"), ["actor", "ip"], "left")

@@ -236,6 +236,22 @@ def exact_dedup(records: DataFrame) -> DataFrame:
     return records.dropDuplicates()
 
 
+def canonical_json(text: Column | str) -> Column:
+    """A JSON text in one form: keys in order, no blanks, numbers as numbers, fields outside any schema kept. What is no JSON stays as it is, trimmed."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.trim(text))
+
+
+def deduplicate_raw(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One row per raw record with `copies`: records are equal if all their fields are, in any order, also those that no schema names.
+
+    The columns are those of the copy whose text is least. Null texts are one record. Groups meet as 256-bit digests of the canonical text.
+    """
+    digest = F.sha2(F.coalesce(canonical_json(column), F.lit("")), 256)
+    kept = F.min(F.struct(column, *(c for c in lines.columns if c != column)))
+    return lines.groupBy(F.col(column).isNull().alias("_null"), digest.alias("_digest")).agg(kept.alias("_kept"), F.count("*").alias("copies")).select("_kept.*", "copies").select(*lines.columns, "copies")
+
+
 def read_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, mapped, failed): lines that were read and lines that were not."""
     return rows.groupBy(*by).agg(F.count_if(F.col("_corrupt_record").isNull()).alias("mapped"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("failed"))
