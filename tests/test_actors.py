@@ -112,3 +112,23 @@ def test_half_of_all_events_on_one_actor_are_dealt_over_tasks(spark):
     assert hot >= 1000 and "_copy" in keys  # its largest combination alone would be a quarter of all rows in one task
     largest = hot / -(-hot * 256 // 4000)
     assert largest <= 4000 / 256
+
+
+@pytest.mark.parametrize("rows", [
+    [(0.9, True), (0.8, False), (0.8, True), (0.3, False), (None, True)], [(0.5, True)] * 3 + [(0.5, False)] * 2, [(1.0, False)], [], [(i % 37 / 7, i % 3 == 0) for i in range(500)], [(0.1, None), (0.2, True)],
+])
+def test_curves_equal_brute_force(spark, rows):
+    from vigilia.operators import curves as C
+
+    points = C.curve(spark.createDataFrame(rows, "score double, hit boolean"), "score", "hit")
+    value = [(float("-inf") if s is None else s, bool(h)) for s, h in rows]
+    p, n = sum(h for _, h in value), sum(not h for _, h in value)
+    got = sorted(tuple(r) for r in points.select("threshold", "tp", "fp", "recall", "fall_out", "precision").collect())
+    want = []
+    for t in sorted({s for s, _ in value}):
+        tp, fp = sum(s >= t and h for s, h in value), sum(s >= t and not h for s, h in value)
+        want.append((t, tp, fp, tp / p if p else None, fp / n if n else None, tp / (tp + fp)))
+    assert got == want
+    area = C.areas(points).first()
+    pairs = [(a > b) + (a == b) / 2 for a, h in value if h for b, g in value if not g]
+    assert area.roc_auc == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None)

@@ -32,7 +32,7 @@ def test_merged_equals_recomputed_and_a_new_day_costs_a_day(spark, events, tmp_p
     tables.write_days(I.api_partials(events.where(day >= "2024-01-05")), path)  # more days, each computed alone
     stored = tables.read_days(spark, path, schema=I.PARTIAL)
     whole, want = I.api_baseline_of(stored), B.api_baseline(events)
-    for column in ("event_count", "is_system", "known_ips", "known_regions", "known_resources", "volume_stats.mean", "volume_stats.std", "volume_stats.slots", "daily_events.mean", "daily_events.std"):
+    for column in ("event_count", "is_system", "known_ips", "known_regions", "known_resources", "known_operations", "volume_stats.mean", "volume_stats.std", "volume_stats.slots", "daily_events.mean", "daily_events.std"):
         assert same(want.select("actor", F.col(column).alias("x")), whole.select("actor", F.col(column).alias("x"))), column
     part = I.api_baseline_of(tables.read_days(spark, path, last="2024-01-04", schema=I.PARTIAL))
     assert same(B.api_baseline(first).select("actor", "event_count"), part)

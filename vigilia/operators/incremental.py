@@ -24,14 +24,14 @@ KEYS = ["day", "actor", "kind", "value"]
 PARTIAL = "day date, actor string, kind string, value string, n long, total decimal(38,0), squares decimal(38,0), first_seen timestamp, last_seen timestamp, first_uid long, first_flag boolean"
 
 
-def _values(rows: DataFrame, kinds: dict[str, Column]) -> DataFrame:
-    """Counts and times per (day, actor, kind, value); an array column gives a value per element, null and empty values none."""
+def _values(rows: DataFrame, kinds: dict[str, Column], blanks: bool = False) -> DataFrame:
+    """Counts and times per (day, actor, kind, value); an array column gives a value per element, null values none, nor do empty ones unless `blanks`."""
     def pairs(kind: str, c: Column) -> Column:
         many = dict(rows.select(c.alias("_")).dtypes)["_"].startswith("array")
         return F.transform(c if many else F.array(c), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value")))
 
     each = [pairs(k, c) for k, c in kinds.items()]
-    long = rows.select("day", "actor", "event_time", F.explode(F.flatten(F.array_compact(F.array(*each)))).alias("p")).where("p.value IS NOT NULL AND p.value <> ''")
+    long = rows.select("day", "actor", "event_time", F.explode(F.flatten(F.array_compact(F.array(*each)))).alias("p")).where("p.value IS NOT NULL" if blanks else "p.value <> ''")
     return long.groupBy("day", "actor", F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"))
 
 
@@ -57,27 +57,34 @@ def _table(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, full)
 
 
-def _dated(events: DataFrame) -> DataFrame:
-    return with_actor(events).withColumn("day", F.to_date("event_time"))
+def _dated(events: DataFrame, daily: bool) -> DataFrame:
+    """Events with their day, or with none where a whole period is one partial."""
+    return events.withColumn("day", F.to_date("event_time") if daily else F.lit(None).cast("date"))
 
 
-def api_partials(events: DataFrame) -> DataFrame:
-    """Partials of API events: operations, addresses, regions, resources and hours, slots of hours and days, the first event's is_system."""
-    rows = _dated(events)
+def api_partials(events: DataFrame, daily: bool = True) -> DataFrame:
+    """Partials of API events: operations, addresses, regions, resources and hours, slots of hours and days, the first event's is_system.
+
+    Events without an operation are counted under the empty one; events without a time have no slot.
+    """
+    rows = _dated(with_actor(events), daily)
+    timed = rows.where("event_time IS NOT NULL")
+    missing = rows.where(F.coalesce("operation", F.lit("")) == "").groupBy("day", "actor").agg(F.count("*").alias("n"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"))
+    missing = missing.withColumns({"kind": F.lit("operation"), "value": F.lit("")})
     kinds = {"operation": F.col("operation"), "ip": F.col("ip"), "region": F.col("region"), "resource": F.col("resources"), "hour": F.hour("event_time")}
-    return _table([_values(rows, kinds), _slots(rows, "hour", "hour_slots"), _slots(rows, "day", "day_slots"), _first(rows, F.col("is_system"))])
+    return _table([_values(rows, kinds), missing, _slots(timed, "hour", "hour_slots"), _slots(timed, "day", "day_slots"), _first(rows, F.col("is_system"))])
 
 
-def access_partials(accesses: DataFrame) -> DataFrame:
-    rows = _dated(accesses)
+def access_partials(accesses: DataFrame, daily: bool = True) -> DataFrame:
+    rows = _dated(with_actor(accesses), daily)
     kinds = {k: F.col(k) for k in ("operation", "bucket", "ip")}
-    return _table([_values(rows, kinds), _slots(rows, "day", "day_slots"), _slots(rows, "day", "day_bytes", F.coalesce("bytes", F.lit(0))), _first(rows, F.lit(None).cast("boolean"))])
+    return _table([_values(rows, kinds, True), _slots(rows, "day", "day_slots"), _slots(rows, "day", "day_bytes", F.coalesce("bytes", F.lit(0))), _first(rows, F.lit(None).cast("boolean"))])
 
 
-def flow_partials(flows: DataFrame, by: str = "actor") -> DataFrame:
-    rows = _dated(flows.drop("actor").withColumnRenamed(by, "actor") if by != "actor" else flows)
+def flow_partials(flows: DataFrame, by: str = "actor", daily: bool = True) -> DataFrame:
+    rows = _dated((flows.drop("actor").withColumnRenamed(by, "actor") if by != "actor" else flows).where("actor IS NOT NULL"), daily)
     kinds = {"dst_ip": F.col("dst_ip"), "dst_port": F.col("dst_port"), "dst_conn": F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")), "protocol": F.col("protocol")}
-    return _table([_values(rows, kinds), _slots(rows, "day", "day_slots"), _slots(rows, "day", "day_bytes", F.coalesce("bytes", F.lit(0))), _first(rows, F.lit(None).cast("boolean"))])
+    return _table([_values(rows, kinds, True), _slots(rows, "day", "day_slots"), _slots(rows, "day", "day_bytes", F.coalesce("bytes", F.lit(0))), _first(rows, F.lit(None).cast("boolean"))])
 
 
 def merged(partials: DataFrame) -> DataFrame:

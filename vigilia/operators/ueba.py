@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
-from vigilia.operators.baseline import access_baseline, access_profile, flow_baseline, flow_profile, hour_counts, known_values, long_values, slot_stats, with_actor
+from vigilia.operators.baseline import access_profile, flow_profile, long_values, with_actor
+from vigilia.operators.incremental import access_partials, api_partials, flow_partials, merged, merged_stats
 from vigilia.sources.stored import stored
 
 ACCESS_DIMS = ("new_operation", "new_bucket", "new_src_ip", "error_rate", "bytes_zscore", "event_zscore")
@@ -35,14 +36,12 @@ def api_combinations(events: DataFrame, baseline: DataFrame) -> DataFrame:
     rows, so no actor's set of known values is ever one row, and what joins are
     combinations, not events. A missing operation counts as new.
     """
-    seen = known_values(baseline).select("actor", "kind", F.col("value"))
-    # An operation that is missing stays in the baseline's histogram as the empty text, and is new unless it stands there.
-    blank = with_actor(baseline).where(F.coalesce("operation", F.lit("")) == "").select("actor", F.lit("operation").alias("kind"), F.lit("").alias("value")).distinct()
-    seen = seen.unionByName(blank)
-    hours = hour_counts(baseline)
+    whole = stored(merged(api_partials(baseline, daily=False)))  # one pass over the baseline; all that follows reads these rows
+    seen = whole.where(F.col("kind").isin("operation", "region", "ip", "resource")).select("actor", "kind", "value")  # with the empty operation, if the baseline has it
+    hours = whole.where(F.col("kind") == "hour").select("actor", F.col("value").cast("int").alias("hour"), "n")
     peak = hours.groupBy("actor").agg(F.max("n").alias("_peak"))
-    volume = slot_stats(with_actor(baseline).where("event_time IS NOT NULL"), "hour").select("actor", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    actors = with_actor(baseline).select("actor").distinct().join(volume, "actor", "left").join(peak, "actor", "left")
+    volume = merged_stats(whole, "hour_slots").select("actor", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    actors = whole.where(F.col("kind") == "events").select("actor").join(volume, "actor", "left").join(peak, "actor", "left")
     out = _combined(events).groupBy(*COMBINATION).agg(F.count("*").alias("_events")).join(actors, "actor")
     timed = F.col("_slot_key") != F.lit(NO_TIME).cast("timestamp")
     out = out.withColumns({"hour": F.when(timed, F.hour("_slot_key")), "_slot": F.when(timed, F.sum("_events").over(W.partitionBy("actor", "_slot_key")))})
@@ -95,6 +94,14 @@ def novel_kinds(today: DataFrame, before: DataFrame, by: list[str]) -> DataFrame
     return fresh.groupBy(*by).agg(F.collect_set("kind").alias("novel"))  # as many as there are kinds
 
 
+def _known(whole: DataFrame, stats: dict[str, str]) -> DataFrame:
+    """(actor, _known and the statistics named) of the actors that a merged baseline has."""
+    rows = whole.where(F.col("kind") == "events").select("actor", F.lit(True).alias("_known"))
+    for kind, name in stats.items():
+        rows = rows.join(merged_stats(whole, kind).select("actor", F.struct("mean", "std").alias(name)), "actor", "left")
+    return rows
+
+
 def _has(kind: str) -> Column:
     return F.when(F.array_contains(F.coalesce("novel", F.array().cast("array<string>")), kind), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -109,9 +116,9 @@ def _scored(rows: DataFrame, dims: dict[str, Column], by: list[str]) -> DataFram
 def access_scores(accesses: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Object accesses against those of the clean period: without a baseline everything is new and only bytes, on a log scale, and errors tell actors apart."""
     by, kinds = by or ["actor"], {k: k for k in ("operation", "bucket", "ip")}
-    rows, before = with_actor(accesses), with_actor(baseline)
-    known = access_baseline(before).select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("daily_events", "daily_bytes")))
-    novel = novel_kinds(long_values(rows, kinds, by), long_values(before, kinds), by)
+    rows, before = with_actor(accesses), stored(merged(access_partials(baseline, daily=False)))
+    known = _known(before, {"day_slots": "_daily_events", "day_bytes": "_daily_bytes"})
+    novel = novel_kinds(long_values(rows, kinds, by), before, by)
     out = access_profile(rows, by).join(known, "actor", "left").join(novel, by, "left")
     either = lambda a, b: F.when(F.col("_known").isNotNull(), a).otherwise(b)
     one = F.lit(1.0)
@@ -127,10 +134,10 @@ def access_scores(accesses: DataFrame, baseline: DataFrame, by: list[str] | None
 def flow_scores(flows: DataFrame, baseline: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Flows against those of the clean period; a port is new only if it was seen more than once."""
     by, kinds = by or ["actor"], {k: k for k in ("dst_ip", "dst_port", "protocol")}
-    rows, before = flows.where(F.col("actor").isNotNull()), baseline.where(F.col("actor").isNotNull())
-    known = flow_baseline(before).select("actor", F.lit(True).alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("daily_flows", "daily_bytes")))
+    rows, before = flows.where(F.col("actor").isNotNull()), stored(merged(flow_partials(baseline, daily=False)))
+    known = _known(before, {"day_slots": "_daily_flows", "day_bytes": "_daily_bytes"})
     today = long_values(rows, kinds, by).groupBy(*by, "kind", "value").agg(F.count("*").alias("_n")).where((F.col("kind") != "dst_port") | (F.col("_n") > 1))
-    novel = novel_kinds(today, long_values(before, kinds), by)
+    novel = novel_kinds(today, before, by)
     out = flow_profile(rows, by).join(known, "actor", "left").join(novel, by, "left")
     either = lambda a, b: F.when(F.col("_known").isNotNull(), a).otherwise(b)
     one = F.lit(1.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilia.functions import exprs as X
 from vigilia.functions import fixed
 from vigilia.operators import baseline as B
+from vigilia.operators import curves as C
 from vigilia.operators import exfil as E
 from vigilia.operators import findings as R
 from vigilia.operators import incremental as I
@@ -219,12 +220,15 @@ def session_top(spark, sf_dir):
     return rounded(S.top_sessions(_scored(spark, sf_dir)).select("session_id", "session_risk_score"), 4)
 
 
-@register()
+@register("SELECT session_id, risk_explanation, flagged_api_sequences FROM explained")
 def session_explain(spark, sf_dir):
     return _scored(spark, sf_dir).select("session_id", "risk_explanation", "flagged_api_sequences")
 
 
-@register()
+_CLASS = "CASE WHEN regexp_matches(item, '^(CHAIN|TRIPLE|EVENT_PAIR|BULK_ACCESS|DEFENSE_EVASION)') THEN 'chain' WHEN item LIKE 'RARE%' THEN 'rare' WHEN regexp_matches(item, '^(BURST|FAST)') THEN 'timing' WHEN item LIKE 'DEVIATION%' THEN 'deviate' ELSE 'sensitive' END"
+
+
+@register(f"SELECT {_CLASS} AS class, count(*) AS items, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, unnest(string_split(flagged_api_sequences, ' | ')) AS item FROM explained WHERE flagged_api_sequences <> 'none') GROUP BY 1")
 def session_evidence(spark, sf_dir):
     return R.evidence_items(_scored(spark, sf_dir)).groupBy("class").agg(F.count("*").alias("items"), F.countDistinct("session_id").alias("sessions"))
 
@@ -1129,6 +1133,38 @@ def access_line_parse(spark, sf_dir):
     return rows.groupBy("bucket", "operation", "http_status").agg(F.count("*").alias("n"), F.sum(c("bytes_sent").cast("long")).alias("bytes"))
 
 
+# Curves of the detectors: event deviations against failures, daily flow scores against rejects, sessions against failures.
+
+
+def _judged(spark: SparkSession, sf_dir: str, detector: str) -> DataFrame:
+    """(score, hit) of what a detector scores."""
+    if detector == "api":
+        rows = U.api_event_dimensions(_current(spark, sf_dir), _base(spark, sf_dir)).join(_current(spark, sf_dir).select("event_uid", "failed"), "event_uid")
+        return rows.select(X.settled(F.col("composite"), 6).alias("score"), F.col("failed").alias("hit"))
+    if detector == "session":
+        return _scored(spark, sf_dir).select(X.settled(F.col("session_risk_score"), 4).alias("score"), (F.col("num_failed_events") > 0).alias("hit"))
+    rejects = _split_table(D.flows(spark, sf_dir))[1].groupBy(F.col("eni").alias("actor"), F.to_date("event_time").alias("day")).agg((F.count_if(F.col("action") == "REJECT") > 0).alias("hit"))
+    return _flow_scores(spark, sf_dir).join(rejects, ["actor", "day"]).select("score", "hit")
+
+
+_JUDGED = """SELECT 'api' AS detector, round(round(composite, 10), 6) AS score, failed AS hit FROM comp JOIN (SELECT event_uid, failed FROM cur) USING (event_uid)
+  UNION ALL SELECT 'flow', s.score, r.hit FROM fscore s JOIN (SELECT eni, CAST(event_time AS DATE) AS day, bool_or(action = 'REJECT') AS hit FROM fcur GROUP BY 1, 2) r ON r.eni = s.actor AND r.day = s.day
+  UNION ALL SELECT 'session', round(round(session_risk_score, 10), 4), num_failed_events > 0 FROM risk"""
+_POINTS = f"""(SELECT *, CAST(sum(positives) OVER q AS BIGINT) AS tp, CAST(sum(negatives) OVER q AS BIGINT) AS fp FROM (SELECT detector, score AS threshold, count(*) FILTER (hit) AS positives, count(*) FILTER (NOT hit) AS negatives FROM ({_JUDGED}) GROUP BY 1, 2)
+  WINDOW q AS (PARTITION BY detector ORDER BY threshold DESC))"""
+
+
+@register(f"SELECT threshold, tp, fp, round(tp / (SELECT max(tp) FROM {_POINTS} WHERE detector = 'session'), 6) AS recall, round(fp / (SELECT max(fp) FROM {_POINTS} WHERE detector = 'session'), 6) AS fall_out, round(tp / (tp + fp), 6) AS precision FROM {_POINTS} WHERE detector = 'session'")
+def session_curve(spark, sf_dir):
+    return rounded(C.curve(_judged(spark, sf_dir, "session"), "score", "hit").select("threshold", "tp", "fp", "recall", "fall_out", "precision"))
+
+
+@register(f"SELECT detector, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(negatives) AS BIGINT) AS negatives, round(sum(negatives * (tp - positives / 2)) / (sum(positives) * sum(negatives)), 6) AS roc_auc, round(sum(positives * tp / (tp + fp)) / sum(positives), 6) AS average_precision FROM {_POINTS} GROUP BY detector")
+def detector_areas(spark, sf_dir):
+    out = [C.areas(C.curve(_judged(spark, sf_dir, name), "score", "hit")).withColumn("detector", F.lit(name)) for name in ("api", "flow", "session")]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]).select("detector", "positives", "negatives", "roc_auc", "average_precision"))
+
+
 # Raw records and stored layouts.
 
 

@@ -75,19 +75,19 @@ VIEWS["rarity"] = """rarity AS (SELECT session_id, least(avg(1 - coalesce(freq,
     LEFT JOIN model USING (gram) GROUP BY session_id)"""
 
 
-def _chain() -> str:
+def _chain() -> tuple[str, str]:
+    """First and last places of what the rules name, and the score of the rules that hold."""
     cat = sorted({c for pair in fixed.CATEGORY_CHAINS + fixed.CATEGORY_TRIPLES for c in pair})
     op = sorted({o for pair in fixed.EVENT_PAIRS for o in pair} | {"ListBuckets"})
     positions = ", ".join([f"min(pos) FILTER (category = '{c}') AS a_{c}, max(pos) FILTER (category = '{c}') AS z_{c}" for c in cat] + [f"min(pos) FILTER (operation = '{o}') AS a_{o}, max(pos) FILTER (operation = '{o}') AS z_{o}" for o in op])
     rules = [f"CASE WHEN a_{a} < z_{b} THEN 6 ELSE 0 END" for a, b in fixed.CATEGORY_CHAINS] + [f"CASE WHEN a_{a} < a_{b} AND a_{b} < z_{c} THEN 4 ELSE 0 END" for a, b, c in fixed.CATEGORY_TRIPLES]
     rules += [f"CASE WHEN a_{a} < z_{b} THEN 5 ELSE 0 END" for a, b in fixed.EVENT_PAIRS]
     rules += ["CASE WHEN reads >= 5 THEN 6 ELSE 0 END", "CASE WHEN evades AND n > 1 THEN 8 ELSE 0 END"]
-    return f"""chain AS (SELECT session_id, least(CAST({' + '.join(rules)} AS DOUBLE), 30) AS suspicious_chain_score FROM (
-      SELECT session_id, count(*) AS n, bool_or(pos = 1 AND category = 'DefenseEvasion') AS evades, count(*) FILTER (operation = 'GetObject' AND pos > listed) AS reads, {positions}
-      FROM (SELECT *, min(CASE WHEN operation = 'ListBuckets' THEN pos END) OVER (PARTITION BY session_id) AS listed FROM cs) GROUP BY session_id))"""
+    return f"""placed AS (SELECT session_id, count(*) AS n, bool_or(pos = 1 AND category = 'DefenseEvasion') AS evades, count(*) FILTER (operation = 'GetObject' AND pos > listed) AS reads, {positions}
+      FROM (SELECT *, min(CASE WHEN operation = 'ListBuckets' THEN pos END) OVER (PARTITION BY session_id) AS listed FROM cs) GROUP BY session_id)""", f"chain AS (SELECT session_id, least(CAST({' + '.join(rules)} AS DOUBLE), 30) AS suspicious_chain_score FROM placed)"
 
 
-VIEWS["chain"] = _chain()
+VIEWS["placed"], VIEWS["chain"] = _chain()
 _d = lambda f, k: f"(SELECT {k} FROM dist WHERE feature = '{f}')"
 _burst = lambda f: f"CASE WHEN {_d(f, 'p95')} > 0 AND {f} > {_d(f, 'p95')} THEN 7 * (least({f} / {_d(f, 'p95')}, 3) - 1) / 2 ELSE 0 END"
 _quick = lambda n: f"CASE WHEN minutes_discovery_to_{n} <= 10 THEN 6 ELSE 0 END"
@@ -98,6 +98,58 @@ VIEWS["risk"] = """risk AS (SELECT cf.*, coalesce(sequence_rarity_score, 0) AS s
     least(greatest(coalesce(sequence_rarity_score, 0) + suspicious_chain_score + timing_burst_score + feature_deviation_score + sensitive_action_score, 0), 100) AS session_risk_score
     FROM cf LEFT JOIN rarity USING (session_id) JOIN chain USING (session_id) JOIN timing USING (session_id) JOIN deviant USING (session_id) JOIN sensi USING (session_id))"""
 
+# Texts of the session score.
+
+_num = lambda x, d: f"CAST(round(CAST({x} AS DECIMAL(38, 10)), {d}) AS VARCHAR)"  # noqa: E731  decimals are rounded half up
+_text = lambda c, n: f"coalesce(array_to_string(k_{c}[1:{n}], ', '), '')"
+_cats = sorted({c for pair in fixed.CATEGORY_CHAINS + fixed.CATEGORY_TRIPLES for c in pair} | {c for _, c, _ in fixed.SENSITIVE_WEIGHTS} | {"DefenseEvasion", "DataAccess", "Discovery"})
+VIEWS["firsts"] = "firsts AS (SELECT session_id, category, list(operation ORDER BY pos)[1:6] AS calls FROM cs GROUP BY 1, 2)"
+VIEWS["called"] = "called AS (SELECT session_id, list(operation ORDER BY pos)[1:5] AS head, " + ", ".join(f"list(operation ORDER BY pos) FILTER (category = '{c}') AS k_{c}" for c in _cats) + " FROM cs GROUP BY 1)"
+_shown = lambda c, f: f"{c} || ':[' || coalesce(array_to_string({f}.calls[1:3], ', '), '') || ']'"
+VIEWS["unseen"] = f"""unseen AS (SELECT session_id, list(gram ORDER BY kind, pos) AS grams, list(told ORDER BY kind, pos) AS told FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY kind, pos) AS r FROM (
+      SELECT s.session_id, 2 AS kind, pos, s.category || ' -> ' || c2 AS gram, 'RARE_SEQUENCE: ' || {_shown('s.category', 'f1')} || ' -> ' || {_shown('c2', 'f2')} AS told FROM cs s
+        LEFT JOIN firsts f1 ON f1.session_id = s.session_id AND f1.category = s.category LEFT JOIN firsts f2 ON f2.session_id = s.session_id AND f2.category = s.c2 WHERE c2 IS NOT NULL
+      UNION ALL SELECT s.session_id, 3, pos, s.category || ' -> ' || c2 || ' -> ' || c3, 'RARE_SEQUENCE: ' || {_shown('s.category', 'f1')} || ' -> ' || {_shown('c2', 'f2')} || ' -> ' || {_shown('c3', 'f3')} FROM cs s
+        LEFT JOIN firsts f1 ON f1.session_id = s.session_id AND f1.category = s.category LEFT JOIN firsts f2 ON f2.session_id = s.session_id AND f2.category = s.c2
+        LEFT JOIN firsts f3 ON f3.session_id = s.session_id AND f3.category = s.c3 WHERE c3 IS NOT NULL) WHERE gram NOT IN (SELECT gram FROM model)) WHERE r <= 3 GROUP BY session_id)"""
+
+
+def _rules() -> list[tuple[str, str, str]]:
+    """(condition, reason, flag) of every rule but rarity, in the order in which they are told."""
+    quote = lambda x: f"'{x}'"
+    box = lambda c: f"'[' || {_text(c, 3)} || ']'"
+    out = [(f"a_{a} < z_{b}", quote(f"{a} -> {b} chain present"), f"'CHAIN {a}->{b}: ' || {box(a)} || ' -> ' || {box(b)}") for a, b in fixed.CATEGORY_CHAINS]
+    out += [(f"a_{a} < a_{b} AND a_{b} < z_{c}", quote(f"{a} -> {b} -> {c} chain present"), f"'TRIPLE {a}->{b}->{c}: ' || {box(a)} || ' -> ' || {box(b)} || ' -> ' || {box(c)}") for a, b, c in fixed.CATEGORY_TRIPLES]
+    out += [(f"a_{a} < z_{b}", quote(f"{a} followed by {b}"), quote(f"EVENT_PAIR: {a} -> {b}")) for a, b in fixed.EVENT_PAIRS]
+    out.append(("reads >= 5", "'ListBuckets followed by ' || reads || ' GetObject calls (bulk access)'", "'BULK_ACCESS: ListBuckets -> GetObject x' || reads"))
+    out.append(("evades AND num_events > 1", quote("DefenseEvasion action occurred before other activity in the session"), f"'DEFENSE_EVASION_FIRST: ' || {_text('DefenseEvasion', 1)} || ' preceded all other actions'"))
+    head = "array_to_string(head, ', ') || CASE WHEN num_events > 5 THEN '...' ELSE '' END"
+    for f in ("events_per_minute", "max_events_in_5min"):
+        p95 = _d(f, "p95")
+        out.append((f"{p95} > 0 AND {f} > {p95}", f"'{f}=' || {_num(f, 2)} || ' exceeds baseline p95 (' || {_num(p95, 2)} || ')'", f"'BURST_RATE ({f}=' || {_num(f, 2)} || ' vs p95=' || {_num(p95, 2)} || '): [' || {head} || ']'"))
+    for name, c in (("permission_change", "PermissionChange"), ("credential_access", "CredentialAccess"), ("data_access", "DataAccess")):
+        m = f"minutes_discovery_to_{name}"
+        out.append((f"{m} <= 10", f"'fast progression from Discovery to {c} in ' || {_num(m, 1)} || ' minutes'", f"'FAST_PROGRESSION (' || {_num(m, 1)} || 'min): ' || {_text('Discovery', 1)} || ' -> ... -> ' || {_text(c, 1)}"))
+    for f in fixed.DEVIATION_FEATURES:
+        z = f"abs(({f} - {_d(f, 'mean')}) / {_d(f, 'std')})"
+        out.append((f"{z} > 3", f"'{f}=' || {_num(f, 2)} || ' is far from baseline (z=' || {_num(z, 1)} || ')'", f"'DEVIATION {f}=' || {_num(f, 2)} || ' (z=' || {_num(z, 1)} || ', baseline_mean=' || {_num(_d(f, 'mean'), 2)} || ')'"))
+    for name, c, _ in fixed.SENSITIVE_WEIGHTS:
+        n = f"num_{name}_actions"
+        out.append((f"{n} > 0", f"{n} || ' {name} action(s)'", f"'SENSITIVE {c} (x' || {n} || '): ' || {_text(c, 6)}"))
+    n = "num_data_access_actions"
+    out.append((f"{n} >= 20", f"'high-volume data access (' || {n} || ' events)'", f"'HIGH_VOLUME_DATA_ACCESS (x' || {n} || '): ' || {_text('DataAccess', 5)} || '...'"))
+    return out
+
+
+_told = lambda k: "list_filter([" + ", ".join(f"CASE WHEN {r[0]} THEN {r[k]} END" for r in _rules()) + "], lambda x: x IS NOT NULL)"
+VIEWS["explained"] = f"""explained AS (SELECT session_id, CASE WHEN len(why) = 0 THEN 'This session matches normal baseline behavior; no notable risk signals.' ELSE
+      'This session is ' || CASE WHEN session_risk_score >= {fixed.SESSION_HIGH} THEN 'high' WHEN session_risk_score >= {fixed.SESSION_MEDIUM} THEN 'medium' ELSE 'low' END || ' risk because it ' || array_to_string(why[1:5], '; ')
+      || ', within a ' || {_num('duration_minutes', 1)} || '-minute window (' || num_events || ' events).' END AS risk_explanation,
+    CASE WHEN len(flags) = 0 THEN 'none' ELSE array_to_string(flags, ' | ') END AS flagged_api_sequences FROM (
+    SELECT risk.*, list_concat(CASE WHEN grams IS NULL THEN [] ELSE ['contains rare action chain(s) never seen in baseline: ' || array_to_string(grams, ', ')] END, {_told(1)}) AS why, list_concat(coalesce(told, []), {_told(2)}) AS flags
+    FROM risk JOIN placed USING (session_id) JOIN called USING (session_id) LEFT JOIN unseen USING (session_id)))"""
+
 # Baselines and scores of actors.
 
 
