@@ -97,33 +97,6 @@ def reasons(*rules: tuple[Column, Column | str], separator: str = "; ") -> Colum
     return F.concat_ws(separator, *(F.when(c, F.lit(t) if isinstance(t, str) else t) for c, t in rules))
 
 
-def ngrams(sequence: Column, n: int, joiner: str = " -> ") -> Column:
-    """All runs of n elements as joined texts, with repeats; an empty array for shorter sequences."""
-    count = F.size(sequence) - (n - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(sequence, i, n), joiner))
-    return F.when(count >= 1, runs).otherwise(F.array().cast("array<string>"))
-
-
-def first_position(sequence: Column, value: str) -> Column:
-    """0-based place of the first occurrence, null if there is none."""
-    return F.nullif(F.array_position(sequence, F.lit(value)), F.lit(0).cast("long")) - 1
-
-
-def last_position(sequence: Column, value: str) -> Column:
-    return F.size(sequence) - 1 - first_position(F.reverse(sequence), value)
-
-
-def follows(sequence: Column, a: str, b: str) -> Column:
-    """Whether some b comes after the first a."""
-    return F.coalesce(first_position(sequence, a) < last_position(sequence, b), F.lit(False))
-
-
-def first_calls(events: Column, categories: Column, category: str, n: int) -> Column:
-    """The first n events of a category in a session, joined."""
-    pairs = F.filter(F.arrays_zip(events.alias("e"), categories.alias("c")), lambda p: p["c"] == category)
-    return F.array_join(F.slice(F.transform(pairs, lambda p: p["e"]), 1, n), ", ")
-
-
 def histogram(value: Column | str, count: Column | str) -> Column:
     """An aggregate: (value, count) entries as a map; for groups already counted per value."""
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(col(value), col(count)))))

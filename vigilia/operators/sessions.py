@@ -119,7 +119,7 @@ def session_features(events: DataFrame, stretch_minutes: int = STRETCH_MINUTES)
     minutes = F.greatest((F.max(us) - F.min(us)) / 60e6, F.lit(fixed.SINGLE_EVENT_MINUTES))
     cat, name, place = F.col("action_category"), F.col("event_name"), F.col("_place")
     count = lambda c: F.count_if(cat == c)
-    rows = placed_events(events, stretch_minutes)
+    rows = stored(placed_events(events, stretch_minutes))  # ordered once; features and runs read it
     out = rows.groupBy("session_id").agg(
         F.first("identity_id").alias("identity_id"), F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"),
         minutes.alias("duration_minutes"), n.alias("num_events"), (n / minutes).alias("events_per_minute"), F.array_sort(F.collect_list(F.when(place <= 5, F.struct(place, name)))).alias("_first"),
@@ -210,7 +210,7 @@ def common_sequences(sessions: DataFrame, events: DataFrame, kind: str, keep: in
     else:
         edge = top[-1].n
         chosen, tied, wanted = counts.where(F.col("n") > edge), counts.where(F.col("n") == edge), sum(r.n == edge for r in top)
-    places = placed_events(events).select("session_id", "_place", F.col(value).alias("_value"))
+    places = stored(placed_events(events).select("session_id", "_place", F.col(value).alias("_value")))  # read in every round
 
     def texts(of: DataFrame, most: int | None = None) -> DataFrame:
         rows = places if most is None else places.where(F.col("_place") <= most)
