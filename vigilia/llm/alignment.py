@@ -127,12 +127,13 @@ _TWO[0xC3:0xE0] = True  # first bytes; 0xC2 also starts white space
 
 
 def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all units and each row's first unit (one more than rows)."""
+    """Starts and ends of all units and each row's first unit (one more than rows). A space that ends its row starts none: the second tokenizer would see no text after the space that it adds itself."""
     n = len(data)
     opens = np.zeros(n + 1, bool)
     opens[at] = True
     if n > 1:
         space = np.flatnonzero(data[1:] == 0x20) + 1
+        space = space[~opens[space + 1]]
         before = data[space - 1]
         two = (before >= 0x80) & _TWO[data[np.maximum(space - 2, 0)]] & (space >= 2)
         opens[space[_VISIBLE[before] | two]] = True
