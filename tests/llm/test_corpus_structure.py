@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -189,7 +190,7 @@ class TestPrefixTrie:
         members, last = collections.defaultdict(list), {}
         for c, own in said.items():
             h = zlib.crc32(str(c).encode()) % 4
-            path = tuple(said.get(c - c % 20, [])[:h] + own[h:])
+            path = tuple(said.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:])  # % as in SQL, towards 0
             last[c] = path
             for d in range(len(path) + 1):
                 members[path[:d]].append(c)

@@ -47,6 +47,7 @@ def rebuilt_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "
     holds a third of all rows lies in many stretches. Rows of equal turn are
     ordered by role, then by the text's digest; repeated rows are turns of
     their own. Rows without a conversation id belong to none and are left out.
+    The remainder of a negative id is negative, as in SQL.
     """
     said, spoken = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role), F.lit(""))
     digest = F.sha2(F.concat(F.octet_length(spoken).cast("string"), F.lit(":"), spoken, said), 256)
