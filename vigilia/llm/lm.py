@@ -6,10 +6,12 @@ text's words meet their counts in a join. The log-bilinear model predicts from
 the four words before: position weights times their vectors give a prediction,
 whose products with class and word vectors, normalised by softmax over classes
 and over the words of the class, are the token's probability. It is trained in
-numpy with noise-contrastive estimation on all training texts: in each round
-every task passes over its own share of them, stretch by stretch, and the tasks'
-parameters are averaged by the tokens they saw. A stretch's vectors are gathered
-once and shifted, as a token is context of the tokens after it. A word outside its vocabulary
+numpy with noise-contrastive estimation on all training texts, whose vocabulary
+ids are written once, dealt over rounds: in each round every task passes over
+its own share, stretch by stretch, and the tasks' parameters are averaged by the
+tokens they saw. There is a round for every doubling of the corpus, so that more
+tasks also meet more often. A stretch's vectors are gathered once and shifted, as
+a token is context of the tokens after it. A word outside its vocabulary
 has the probability of the unknown word times its share of all words outside,
 so every text's probability is a proper one.
 """
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilia.llm.common import arrow_map, cut, fold, fresh
+from vigilia.llm.common import arrow_map, cut, fold, fresh, shared_dir
 from vigilia.llm.textbytes import SPACE, U64, HashIndex, lower_ascii, map_texts, slices, sorted_sets, word_bounds, word_hashes
 
 ADD = 0.1  # added to every count of the base
@@ -30,9 +32,10 @@ END = U64(0x9D39247E33776D41)  # the end of a text, counted as a word
 HEAD_WORDS = 1 << 17
 CLASSES = 64  # classes of as many words each
 DEPTH, CONTEXT = 24, 4
-NOISE, BATCH, RATE = 8, 8192, 0.08
-ROUNDS, TASK_TOKENS = 4, 500_000  # rounds of a pass over all training texts; the fewest tokens for which a round gets another task
-PASSES, PASS_TOKENS = 3, 6_000_000  # small corpora are passed over more than once, until about so many tokens are seen
+NOISE, BATCH, RATE = 8, 8192, 0.2
+TASK_TOKENS = 500_000  # the fewest tokens for which a round gets another task
+PASSES = 1  # over all training texts, at every size
+STRETCH = 1 << 18  # tokens that a task gathers before it trains on them
 CHUNKS = 64
 UNKNOWN, LIMIT = 0, CLASSES * CLASSES
 
@@ -197,8 +200,30 @@ class LogBilinear:
         return out / np.log(10)
 
 
+def _dealt(model: LogBilinear, rows: DataFrame) -> DataFrame:
+    """(ids, sizes, turn): the vocabulary ids of all `rows` (text, turn) and how many each text has, written once in a folder a turn."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model.lookup)
+
+    def run(batches):
+        for batch in batches:
+            turns = batch.column("turn").to_numpy()
+            for lo, hi, data, at in slices(batch, "text"):
+                words, first = tokens(data, at)
+                ids, sizes, mine = (shared.value.find(words) + 1).astype(np.uint16), np.diff(first), turns[lo:hi]
+                held = np.unique(mine)
+                yield pa.RecordBatch.from_pydict({
+                    "ids": pa.array([ids[np.repeat(mine == t, sizes)].tobytes() for t in held], pa.binary()),
+                    "sizes": pa.array([sizes[mine == t].astype(np.int64).tobytes() for t in held], pa.binary()), "turn": pa.array(held, pa.int32()),
+                })
+
+    schema, path = "ids binary, sizes binary, turn int", shared_dir(spark)
+    arrow_map(rows, run, schema).write.partitionBy("turn").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def _round(model: LogBilinear, rows: DataFrame) -> int:
-    """Train `model` on all `rows` (text), each task from the same start on its own; the tokens seen."""
+    """Train `model` on all `rows` (ids, sizes), each task from the same start on its own; the tokens seen."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -206,12 +231,21 @@ def _round(model: LogBilinear, rows: DataFrame) -> int:
         net.load(net.first_state if hasattr(net, "first_state") else net.state())  # a worker that serves several tasks starts anew
         net.first_state = net.state()
         rng = np.random.default_rng(3)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def train() -> int:
+            ids, sizes = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            net.train(ids, np.append(0, np.cumsum(sizes)), rng)
+            return len(ids)
+
         for batch in batches:
-            for _, _, data, at in slices(batch, "text"):
-                words, first = tokens(data, at)
-                if len(words):
-                    net.train(net.ids(words), first, rng)
-                    seen += len(words)
+            for ids, sizes in zip(batch.column("ids"), batch.column("sizes")):
+                held.append((np.frombuffer(ids.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(sizes.as_buffer(), np.int64)))
+                if sum(len(x) for x, _ in held) >= STRETCH:
+                    seen += train()
+        if held:
+            seen += train()
         if seen:
             parts = np.array_split(net.state(), CHUNKS)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "seen": pa.array([seen] * CHUNKS, pa.int64()), "v": pa.array([x.tobytes() for x in parts], pa.binary())})
@@ -234,16 +268,16 @@ def _round(model: LogBilinear, rows: DataFrame) -> int:
     return got[0].seen if got else 0
 
 
-def _trained(model: LogBilinear, docs: DataFrame, key: str, text: str, total: int) -> LogBilinear:
-    """The model after training on every row of `docs`, which has `total` tokens; `seen_tokens` counts those trained on."""
-    rounds = min(ROUNDS, max(1, total // TASK_TOKENS))
+def _trained(model: LogBilinear, docs: DataFrame, key: str, text: str, total: int, passes: int = PASSES) -> LogBilinear:
+    """The model after `passes` over every row of `docs`, which has `total` tokens; `seen_tokens` counts those trained on."""
+    rounds = max(1, (total // TASK_TOKENS).bit_length())
     tasks = max(1, total // rounds // TASK_TOKENS)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text"))
+    dealt = _dealt(model, rows.select("text", F.pmod(F.xxhash64("k", "text"), F.lit(rounds)).cast("int").alias("turn")))
     model.seen_tokens = 0
-    for _ in range(min(PASSES, max(1, PASS_TOKENS // max(1, total)))):
+    for _ in range(passes):
         for turn in range(rounds):
-            share = rows.where(F.pmod(F.xxhash64("k", "text"), F.lit(rounds)) == turn).select("text")
-            model.seen_tokens += _round(model, share.coalesce(tasks))
+            model.seen_tokens += _round(model, dealt.where(F.col("turn") == turn).select("ids", "sizes").coalesce(tasks))
     return model
 
 
@@ -263,8 +297,8 @@ def _least_head_count(counts: DataFrame) -> int:
 PARTS = "row long, n_tokens long, head_known long, head_log double, inner_log double, outside long, model_log double, rare array<long>, times array<int>"
 
 
-def score_texts(docs: DataFrame, key: str, text: str, trained: F.Column, keep: list[str]) -> DataFrame:
-    """`keep` with n_tokens, n_known, train_tokens, base_score and score (log10) of every row; `trained` tells the rows to learn from.
+def score_texts(docs: DataFrame, key: str, text: str, trained: F.Column, keep: list[str], passes: int = PASSES) -> DataFrame:
+    """`keep` with n_tokens, n_known, train_tokens, base_score and score (log10) of every row; `trained` tells the rows to learn from, `passes` how often.
 
     A null or empty text is its end alone; long texts are scored whole; rows that
     repeat are counted and scored each. Without any row to learn from all counts
@@ -285,7 +319,7 @@ def score_texts(docs: DataFrame, key: str, text: str, trained: F.Column, keep: l
     head_words, head_counts = head_words[order], head_counts[order]
     inner = min(LIMIT - 1, len(head_words))
     outside = float(total - head_counts[:inner].sum())
-    model = _trained(LogBilinear(head_words[:inner], head_counts[:inner], outside), learn, key, text, int(total))
+    model = _trained(LogBilinear(head_words[:inner], head_counts[:inner], outside), learn, key, text, int(total), passes)
     shared = spark.sparkContext.broadcast((model, HashIndex(head_words), np.log10(head_counts + ADD)))
     schema = "".join(f"`{k}` {docs.schema[c].dataType.simpleString()}, " for k, c in zip(keep, given))
 
