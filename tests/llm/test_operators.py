@@ -655,6 +655,30 @@ class TestLanguageModel:
         got = score_corpus(names, "row", "_text").collect()
         assert [r.row for r in sorted(got, key=lambda r: r.n_tokens)] == [None, "a", "a"] and {r.n_tokens for r in got} == {1, 4} and len({r.score for r in got}) == 2
 
+    def test_dealt_ids_are_those_of_all_texts(self, spark):
+        from vigilia.llm.lm import LogBilinear, _dealt, tokens
+
+        texts = ["a b a", "", "c d e f a", "zz", "a " * 3000]
+        known, counts = np.unique(tokens(np.frombuffer(b"a b c d e f", np.uint8), np.array([0, 11]))[0], return_counts=True)
+        model = LogBilinear(known, counts, 1.0)
+        rows = _dealt(model, spark.createDataFrame([(t, i % 3) for i, t in enumerate(texts)], "text string, turn int").repartition(2)).collect()
+        got = collections.Counter()
+        for r in rows:
+            ids, at = np.frombuffer(r.ids, np.uint16), 0
+            for n in np.frombuffer(r.sizes, np.int64):
+                got[r.turn, tuple(ids[at : at + n].tolist())] += 1
+                at += n
+            assert at == len(ids)
+        one = lambda t: tuple(model.ids(tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]).tolist())
+        assert got == collections.Counter((i % 3, one(t)) for i, t in enumerate(texts))
+
+    def test_more_passes_learn_more(self, spark):
+        from vigilia.llm.lm import score_texts
+
+        docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+        sums = [score_texts(docs, "doc_id", "text", F.lit(True), ["doc_id"], passes=n).agg(F.sum("score"), F.sum("base_score")).first() for n in (1, 3)]
+        assert sums[0][0] < sums[1][0] and sums[0][1] == pytest.approx(sums[1][1])
+
     def test_stretches_have_the_contexts_of_their_rows(self):
         """The shifted vectors give each token the prediction of the up to CONTEXT tokens before it in its row."""
         from vigilia.llm.lm import CONTEXT, LogBilinear
