@@ -163,3 +163,38 @@ def test_ties_do_not_depend_on_partitions(spark):
     events = events.select("class_uid", "time", F.struct("user").alias("actor"), "api")
     order = lambda f: [r.event_name for r in N.session_events(f).orderBy("event_time", "event_uid").collect()]
     assert order(events.repartition(5)) == order(events.coalesce(1))
+
+
+def test_stripping(spark, tmp_path):
+    """Every depth: null fields, empty lists and maps and structs without values go; null elements leave lists; empty texts and empty objects in lists stay."""
+    schema = "i int, a struct<b:struct<c:string>,d:string>, l array<struct<x:int>>, m map<string,string>, n array<array<int>>, `p.q` string"
+    rows = [
+        (1, ((None,), None), [], {}, [[]], None), (2, (("",), None), [None, (None,)], {"k": None}, [[None, 3], None], "z"),
+        (3, None, None, None, None, None), (4, ((None,), "d"), [(5,)], {"k": "v", "l": None}, [], ""),
+    ]
+    logs.write_events(logs.strip_empty(spark.createDataFrame(rows, schema)), str(tmp_path / "e"))
+    got = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "e")).collect()), key=lambda r: r["i"])
+    assert got == [
+        {"i": 1, "n": [[]]}, {"i": 2, "a": {"b": {"c": ""}}, "l": [{}], "n": [[3]], "p.q": "z"}, {"i": 3}, {"i": 4, "a": {"d": "d"}, "l": [{"x": 5}], "m": {"k": "v"}, "p.q": ""},
+    ]
+
+
+def test_roots_and_sources_named_twice(spark, tmp_path):
+    for folder in ("a", "a-b", "a/c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text(json.dumps({"time": len(folder)}) + "\n")
+        (tmp_path / folder / "y.json").write_text(json.dumps([{"time": 10 + len(folder)}]))
+        (tmp_path / folder / "z.csv").write_text(f"time\n{20 + len(folder)}\n")
+        (tmp_path / folder / "part-0.json").write_text(json.dumps({"time": 30 + len(folder)}) + "\n" + json.dumps({"time": 40 + len(folder)}) + "\n")
+    named = [f"{tmp_path}/a", f"{tmp_path}/a*", f"{tmp_path}/a/c/x.jsonl", f"{tmp_path}/none*"]
+    assert [r.rsplit("/", 1)[1] for r in logs.source_roots(spark, named)] == ["a", "a-b"]
+    times = [1, 3, 3, 11, 13, 13, 21, 23, 23, 31, 33, 33, 41, 43, 43]
+    assert sorted(r.time for r in logs.read_sources(spark, named, "time long").collect()) == times
+    with pytest.raises(FileNotFoundError):
+        logs.read_sources(spark, f"{tmp_path}/none*")
+
+
+def test_lines_written_by_day_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-05"), (2, "2024-01-06")], "time long, day string")
+    logs.write_events(rows, str(tmp_path / "e"), by=["day"])
+    assert [(r.time, str(r.day)) for r in logs.read_events(spark, f"{tmp_path}/e/day=2024-01-06", strict=True).collect()] == [(2, "2024-01-06")]

@@ -1189,3 +1189,95 @@ def bucketed_ip_history(spark, sf_dir):
         path = stored.shared_folder(spark)
         made.append(tables.save_bucketed(count(rows, name), f"bucketed_{path.rsplit('/', 1)[-1]}", ["actor", "ip"], 16, path))
     return made[0].join(made[1].hint("merge"), ["actor", "ip"], "left")
+
+
+# Readers and sinks: events are written in each form to the shared folder and read back.
+
+
+def _event_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event structs with null fields, empty lists and structs without values."""
+    c = F.col
+    return D.api_events(spark, sf_dir).select(
+        F.lit(6003).alias("class_uid"), F.unix_millis("event_time").alias("time"), F.when(c("failed"), 2).alias("status_id"), F.struct(F.struct(c("actor").alias("name"), "uid").alias("user")).alias("actor"),
+        F.struct("operation").alias("api"), F.struct(F.when(c("k") % 4 != 0, c("ip")).alias("ip"), F.lit(None).cast("int").alias("port")).alias("src_endpoint"),
+        F.when(c("k") % 3 != 0, F.array(F.struct(c("resource").alias("name")), F.lit(None))).otherwise(F.array().cast("array<struct<name:string>>")).alias("resources"),
+        F.struct(F.when(c("is_system"), True).alias("is_system_actor")).alias("unmapped"), c("event_time").cast("date").alias("day"), "event_uid", "k",
+    )
+
+
+@register("SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, operation, count(*) AS n, count(uid) AS n_uid, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE is_system) AS n_system, count(*) FILTER (WHERE k % 3 <> 0) AS n_resources FROM ev WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' GROUP BY ALL")
+def event_lines(spark, sf_dir):
+    """JSON lines in a folder per day, read back by a glob over days and beside a source that is not there."""
+    path, c = stored.shared_folder(spark), F.col
+    logs.write_events(logs.strip_empty(_event_structs(spark, sf_dir).drop("event_uid", "k")), path, by=["day"])
+    rows = logs.union_sources([logs.read_events(spark, f"{path}/day=2024-01-1*", optional=True), logs.read_events(spark, f"{path}/none*", optional=True)])
+    return rows.groupBy(c("day").cast("string").alias("day"), c("api.operation").alias("operation")).agg(
+        F.count("*").alias("n"), F.count("actor.user.uid").alias("n_uid"), F.count_if(c("status_id") == 2).alias("n_failed"), F.count_if(c("unmapped.is_system_actor")).alias("n_system"), F.count_if(F.size("resources") == 1).alias("n_resources"),
+    )
+
+
+@register("SELECT 'actor,api,class_uid' || CASE WHEN k % 3 <> 0 THEN ',resources' ELSE '' END || CASE WHEN k % 4 <> 0 THEN ',src_endpoint' ELSE '' END || CASE WHEN failed THEN ',status_id' ELSE '' END || ',time' || CASE WHEN is_system THEN ',unmapped' ELSE '' END AS keys, count(*) AS n FROM ev GROUP BY ALL")
+def stripped_keys(spark, sf_dir):
+    """The keys that written events have: none holds a null, an empty list or an object without values."""
+    path = stored.shared_folder(spark)
+    logs.write_events(logs.strip_empty(_event_structs(spark, sf_dir).drop("day", "event_uid", "k")), path)
+    return spark.read.text(path).groupBy(F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("keys")).agg(F.count("*").alias("n"))
+
+
+@register("SELECT CAST(day AS VARCHAR) AS day, line_number, 'no json ' || event_id AS value FROM (SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS line_number FROM events) WHERE event_id % 97 = 0")
+def bad_line_numbers(spark, sf_dir):
+    """The numbered lines of a file per day that are no JSON objects; blank lines count as lines."""
+    path, e = stored.shared_folder(spark), F.col("event_uid")
+    line = F.when(e % 97 == 0, F.concat(F.lit("no json "), e.cast("string"))).when(e % 89 == 0, "").otherwise(F.to_json(F.struct("time", "api")))
+    rows = _event_structs(spark, sf_dir).select("day", "event_uid", line.alias("value")).repartition("day").sortWithinPartitions("day", "event_uid")
+    rows.select("day", "value").write.partitionBy("day").text(path)
+    return logs.bad_lines(spark, path).select(logs.day_of(F.col("input_file")).cast("string").alias("day"), "line_number", "value")
+
+
+@register("SELECT CASE WHEN k % 2 = 0 THEN 'arn:aws:iam::1:user/' || actor ELSE actor END AS identity_id, operation AS event_name, failed AS is_failed, count(*) AS n FROM ev GROUP BY ALL")
+def audit_documents(spark, sf_dir):
+    """Raw audit records in documents under Records, in bare lists and in lines, a thousand events a file, as session events."""
+    path, c = stored.shared_folder(spark), F.col
+    who = F.struct(F.lit("IAMUser").alias("type"), c("actor").alias("principalId"), F.when(c("k") % 2 == 0, F.concat(F.lit("arn:aws:iam::1:user/"), "actor")).alias("arn"))
+    record = F.struct(
+        F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), c("operation").alias("eventName"), F.lit("x.amazonaws.com").alias("eventSource"), c("event_uid").cast("string").alias("eventID"),
+        F.when(c("failed"), "AccessDenied").alias("errorCode"), who.alias("userIdentity"),
+    )
+    rows = D.api_events(spark, sf_dir).select(F.expr("event_uid div 1000").alias("file"), record.alias("r"))
+    files = rows.where("file % 3 < 2").groupBy("file").agg(F.collect_list("r").alias("Records"))  # a thousand each
+    text = F.when(c("file") % 3 == 0, F.to_json(F.struct("Records"))).otherwise(F.to_json("Records"))
+    files.select("file", text.alias("value")).write.partitionBy("file").text(f"{path}/documents")
+    rows.where("file % 3 = 2").select("r.*").write.json(f"{path}/lines")
+    read = logs.union_sources([logs.read_audit(spark, f"{path}/documents", N.AUDIT_SCHEMA, True), logs.read_audit(spark, f"{path}/lines", N.AUDIT_SCHEMA, False)])
+    return N.normalize_sessions(read).groupBy("identity_id", "event_name", "is_failed").agg(F.count("*").alias("n"))
+
+
+@register("SELECT operation, count(*) AS n, CAST(sum(k) AS BIGINT) AS ports, max(epoch_us(event_time) // 1000) AS last_time FROM ev GROUP BY ALL")
+def mixed_sources(spark, sf_dir):
+    """Flattened CSV with dotted headers and JSON lines below one folder, which the inputs name twice: each event once."""
+    path, c = stored.shared_folder(spark), F.col
+    rows = _event_structs(spark, sf_dir).select("time", "actor", "api", F.struct(c("k").alias("port")).alias("src_endpoint"), "event_uid")
+    flat = [c(p).alias(p) for p in ("time", "actor.user.name", "api.operation", "src_endpoint.port")]
+    logs.write_csv(rows.where("event_uid % 2 = 0").select(*flat), f"{path}/a/flat")
+    logs.write_events(rows.where("event_uid % 2 = 1").drop("event_uid"), f"{path}/b/lines")
+    schema = "time long, actor struct<user:struct<name:string>>, api struct<operation:string>, src_endpoint struct<port:int>"
+    read = logs.read_sources(spark, [path, f"{path}/*/flat", f"{path}/a"], schema)
+    return read.groupBy(c("api.operation").alias("operation")).agg(F.count("*").alias("n"), F.sum("src_endpoint.port").alias("ports"), F.max("time").alias("last_time"))
+
+
+@_same("alerts_union")
+def alerts_csv(spark, sf_dir):
+    """Alerts written as CSV, known columns first, and read back with their types."""
+    path, alerts = stored.shared_folder(spark), alerts_union(spark, sf_dir)
+    logs.write_csv(logs.alert_columns(alerts), path)
+    flat = logs.read_flat_csv(spark, path)
+    return flat.select(*logs.typed(flat, alerts.schema))
+
+
+@register("SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, actor, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM ev WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL")
+def results_by_day(spark, sf_dir):
+    """Results of days, stored in a folder per day, of which only those of the asked days are opened."""
+    path = stored.shared_folder(spark)
+    daily = D.api_events(spark, sf_dir).groupBy(F.col("event_time").cast("date").alias("day"), "actor").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    logs.write_table(daily.repartition("day"), path, ["day"])
+    return logs.read_results(spark, path, ("2024-01-05", "2024-01-20")).select(F.col("day").cast("string").alias("day"), "actor", "n", "bytes")

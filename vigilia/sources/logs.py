@@ -23,6 +23,7 @@ EVENT = (
     "unmapped struct<is_system_actor:boolean,bytes_sent:string,object_size:string,total_time:string,action:string,log_status:string,requestParameters:string,responseElements:string,additionalEventData:string>"
 )
 SUFFIXES = ["jsonl", "ndjson", "json", "csv"]
+LINES = "{*.jsonl,*.ndjson,part-*.json}"  # files of JSON lines; the last are those that write_events leaves
 
 
 def source_label(path: Column) -> Column:
@@ -36,8 +37,8 @@ def source_label(path: Column) -> Column:
 
 
 def day_of(path: Column) -> Column:
-    """The day of a file in a `<yyyy-mm-dd>` folder."""
-    return F.to_date(F.nullif(F.regexp_extract(path, r"/(\d{4}-\d{2}-\d{2})/", 1), F.lit("")))
+    """The day of a file in a `<yyyy-mm-dd>` or `day=<yyyy-mm-dd>` folder."""
+    return F.to_date(F.nullif(F.regexp_extract(path, r"/(?:day=)?(\d{4}-\d{2}-\d{2})/", 1), F.lit("")))
 
 
 def _present(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -66,7 +67,7 @@ def read_events(spark: SparkSession, paths: list[str] | str, schema: str = EVENT
     if not found:
         return spark.createDataFrame([], f"{schema}, input_file string, source string, day date")
     reader = spark.read.schema(schema if strict else f"{schema}, _corrupt_record string").option("mode", "FAILFAST" if strict else "PERMISSIVE").option("recursiveFileLookup", True)
-    rows = reader.option("pathGlobFilter", "*.{jsonl,ndjson}").json(found)
+    rows = reader.option("pathGlobFilter", LINES).json(found)
     return rows.withColumn("input_file", F.col("_metadata.file_path")).withColumns({"source": source_label(F.col("input_file")), "day": day_of(F.col("input_file"))})
 
 
@@ -106,15 +107,40 @@ def expand_sources(spark: SparkSession, inputs: list[str] | str) -> dict[str, li
     return out
 
 
+def source_roots(spark: SparkSession, inputs: list[str] | str) -> list[str]:
+    """What the inputs name, each once and none below another: folders stay folders, whatever lies in them."""
+    conf, roots = spark.sparkContext._jsc.hadoopConfiguration(), set()
+    for name in [inputs] if isinstance(inputs, str) else inputs:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        roots.update(found.getPath().toString() for found in place.getFileSystem(conf).globStatus(place) or [])
+    out: list[str] = []
+    for root in sorted(roots, key=lambda r: r.split("/")):
+        if not out or not root.startswith(f"{out[-1]}/"):
+            out.append(root)
+    return out
+
+
 def read_sources(spark: SparkSession, inputs: list[str] | str, schema: str = EVENT) -> DataFrame:
-    """Events of all supported files under the inputs: JSON lines, JSON documents, and CSV whose columns the schema gives their types."""
-    files, frames = expand_sources(spark, inputs), []
-    if lines := files.get("jsonl", []) + files.get("ndjson", []):
-        frames.append(read_events(spark, lines, schema).select(*T.StructType.fromDDL(schema).names))
-    if documents := files.get("json"):
-        frames.append(read_document(spark, documents, schema))
-    if tables := files.get("csv"):
-        flat = read_flat_csv(spark, tables)
+    """Events of all supported files under the inputs: JSON lines, JSON documents, and CSV whose columns the schema gives their types.
+
+    A file counts once however often the inputs name it. Each kind is one read
+    of the folders with a filter on names; no list of files passes the driver.
+    """
+    roots, frames = source_roots(spark, inputs), []
+    name = F.substring_index("path", "/", -1)
+    kind = F.when(name.rlike(r"\.(jsonl|ndjson)$|^part-.*\.json$"), "lines").otherwise(F.regexp_extract(name, r"\.([a-z]+)$", 1))
+    kinds = set()
+    if roots:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)}}}").load(roots)
+        kinds = {r.kind for r in listed.select(kind.alias("kind")).distinct().collect()}  # three at most
+    if not kinds:
+        raise FileNotFoundError(f"no {', '.join(SUFFIXES)} files under {inputs}")
+    if "lines" in kinds:
+        frames.append(read_events(spark, roots, schema).select(*T.StructType.fromDDL(schema).names))
+    if "json" in kinds:
+        frames.append(read_document(spark, roots, schema, below=True))
+    if "csv" in kinds:
+        flat = read_flat_csv(spark, roots, below=True)
         frames.append(flat.select(*typed(flat, T.StructType.fromDDL(schema))))
     return union_sources(frames)
 
@@ -134,9 +160,12 @@ def typed(frame: DataFrame, kind: T.StructType, above: str = "") -> list[Column]
     return out
 
 
-def read_document(spark: SparkSession, paths: list[str] | str, schema: str = EVENT) -> DataFrame:
-    """JSON documents: a list of events, or an object that holds it under events, data, records or Records."""
-    raw = spark.read.text(paths, wholetext=True)
+def read_document(spark: SparkSession, paths: list[str] | str, schema: str = EVENT, below: bool = False) -> DataFrame:
+    """JSON documents: a list of events, or an object that holds it under events, data, records or Records. `below` takes the `.json` files in all folders below the paths, but for files of lines."""
+    if below:
+        raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").where(~F.col("_metadata.file_name").startswith("part-"))
+    else:
+        raw = spark.read.text(paths, wholetext=True)
     inner = F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in ("events", "data", "records", "Records")))
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(inner)
     return raw.select(F.explode(F.from_json(listed, f"array<struct<{schema_fields(schema)}>>")).alias("e")).select("e.*")
@@ -147,9 +176,10 @@ def schema_fields(schema: str) -> str:
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
 
 
-def read_flat_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Flattened events whose dotted headers become nested columns."""
-    rows = spark.read.option("header", True).csv(paths)
+def read_flat_csv(spark: SparkSession, paths: list[str] | str, below: bool = False) -> DataFrame:
+    """Flattened events whose dotted headers become nested columns. `below` takes the `.csv` files in all folders below the paths."""
+    reader = spark.read.option("header", True)
+    rows = (reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") if below else reader).csv(paths)
     tree: dict = {}
     for name in rows.columns:
         node = tree
@@ -275,9 +305,31 @@ ALERT_COLUMNS = [
 ]
 
 
-def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines without null fields."""
-    events.write.mode(mode).option("ignoreNullFields", True).json(path)
+def _stripped(value: Column, kind: T.DataType, listed: bool = False) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_stripped(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        held = F.coalesce(*(F.when(f.isNotNull(), True) for f in fields)) if fields else F.lit(None)
+        return F.when(value.isNotNull() if listed else held, F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        kept = F.filter(F.transform(value, lambda v: _stripped(v, kind.elementType, True)), lambda v: v.isNotNull())
+    elif isinstance(kind, T.MapType):
+        kept = F.map_filter(F.transform_values(value, lambda _, v: _stripped(v, kind.valueType)), lambda _, v: v.isNotNull())
+    else:
+        return value
+    return kept if listed else F.when(F.size(kept) > 0, kept)
+
+
+def strip_empty(events: DataFrame) -> DataFrame:
+    """Null for every field at any depth that holds an empty list, an empty map or a struct without values; null elements leave lists.
+
+    Empty texts stay, and so do lists and structs without values inside a list.
+    """
+    return events.select(*(_stripped(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in events.schema.fields))
+
+
+def write_events(events: DataFrame, path: str, mode: str = "overwrite", by: list[str] | None = None) -> None:
+    """JSON lines without null fields, one folder per value of `by`; `read_events` reads them back."""
+    events.write.mode(mode).partitionBy(*(by or [])).option("ignoreNullFields", True).json(path)
 
 
 def write_table(frame: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
