@@ -186,3 +186,22 @@ def test_grouped_quantiles_equal_percentile(spark, seed):
     want = {x.g: x.q for x in frame.where("x IS NOT NULL").groupBy("g").agg(F.percentile("x", F.array(*(F.lit(p) for p in shares))).alias("q")).collect()}
     got = {x.g: x.q for x in grouped_quantiles(frame, "g", "x", shares).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12, abs=0) for g in want)
+
+
+def test_short_sessions_take_one_aggregation_and_equal_long_ones(spark):
+    names = ["ListBuckets", "GetObject", "CreateUser", "AttachUserPolicy", "GetObject", "StopLogging", "ListUsers", "GetSecretValue"]
+    raw = [(who, i * step + (i // 5) * 400, names[(i * i + len(who)) % 8]) for who, n, step in (("a", 1, 1), ("bb", 7, 30), ("ccc", 40, 55), ("d", 3, 0)) for i in range(n)]
+    rows = S.sessionize(events(spark, raw), 10_000)
+
+    def told(short):
+        out = {}
+        for r in S.session_features(rows, short_events=short).drop("category_marks", "event_marks").collect():
+            out[r.session_id] = {**r.asDict(), "grams": sorted((g.kind, g.gram, g.n, g.first, g.last, [tuple(c) for c in g.calls]) for g in r.grams)}
+        return out
+
+    alone = told(0)
+    assert len(alone) == 4 and told(100) == alone and told(7) == alone
+    pieces = [sorted((r.session_id, r.piece, r.event_names, r.action_categories) for r in S.session_sequences(rows, 50, short_events=n).collect()) for n in (0, 7, 100)]
+    assert pieces[0] == pieces[1] == pieces[2]
+    plan = S.session_features(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Expand" not in plan and "Join" not in plan
