@@ -132,3 +132,18 @@ def test_curves_equal_brute_force(spark, rows):
     area = C.areas(points).first()
     pairs = [(a > b) + (a == b) / 2 for a, h in value if h for b, g in value if not g]
     assert area.roc_auc == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None)
+
+
+def test_daily_scores_come_from_combinations_and_scoring_merges_nothing(spark):
+    from vigilia.operators import incremental as I
+
+    events = api(spark, [("a", i * 1800, op, ip, reg, [r]) for i, (op, ip, reg, r) in enumerate([("GetObject", "1", "r", "x"), ("GetObject", "1", "r", "y"), ("PutObject", "2", "r", "x"), ("", "1", "s", "z")] * 30)])
+    base, now = events.where("event_uid < 60"), events.where("event_uid >= 40")
+    day = U.api_event_dimensions(now, base).withColumn("day", F.to_date("event_time"))
+    told = lambda f: sorted(tuple(sorted(r.asDict().items())) for r in f.collect())
+    assert told(U.api_daily_scores(now, base)) == told(U.api_scores(day, ["actor", "day"]))
+    columns = ["actor", "kind", "value", "n", "total", "squares"]
+    whole = I.merged(I.api_partials(base, daily=False)).where("kind <> 'day_slots'").select(columns)
+    assert told(I.api_period(base).select(columns)) == told(whole)
+    plan = I.api_period(base)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "transform(" not in plan
