@@ -147,3 +147,12 @@ def test_daily_scores_come_from_combinations_and_scoring_merges_nothing(spark):
     assert told(I.api_period(base).select(columns)) == told(whole)
     plan = I.api_period(base)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "transform(" not in plan
+
+
+def test_curves_of_counted_rows_equal_those_of_single_ones(spark):
+    from vigilia.operators import curves as C
+
+    rows = spark.createDataFrame([(s, h) for s, p, n in ((0.9, 3, 1), (0.5, 2, 2), (0.1, 0, 4)) for h in [True] * p + [False] * n], "score double, hit boolean")
+    counted = spark.createDataFrame([(0.9, 1, 2), (0.9, 2, 2), (0.5, 2, 4), (0.1, 0, 4)], "score double, hit long, events long")
+    told = lambda f: sorted(map(tuple, f.collect()))
+    assert told(C.curve(counted, "score", "hit", "events")) == told(C.curve(rows, "score", "hit"))

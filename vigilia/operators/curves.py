@@ -27,19 +27,21 @@ def running_sums(rows: DataFrame, order: Column, sums: dict[str, str]) -> DataFr
     return out.select(*rows.columns, *sums.values())
 
 
-def score_counts(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """(threshold, positives, negatives) per distinct score; null scores are below all others, at no threshold, and count as -infinity; null labels are negative."""
+def score_counts(scored: DataFrame, score: str, positive: str, events: str | None = None) -> DataFrame:
+    """(threshold, positives, negatives) per distinct score; where `events` is given, a row stands for that many events, of which `positive` are so; null scores are below all others, at no threshold, and count as -infinity; null labels are negative."""
     value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    if events is not None:
+        return scored.groupBy(value.alias("threshold")).agg(F.sum(positive).alias("positives"), F.sum(F.col(events) - F.col(positive)).alias("negatives"))
     hit = F.coalesce(F.col(positive), F.lit(False))
     return scored.groupBy(value.alias("threshold")).agg(F.count_if(hit).alias("positives"), F.count_if(~hit).alias("negatives"))
 
 
-def curve(scored: DataFrame, score: str, positive: str) -> DataFrame:
+def curve(scored: DataFrame, score: str, positive: str, events: str | None = None) -> DataFrame:
     """(threshold, tp, fp, recall, fall_out, precision) at every distinct score, alerts being scores at or over the threshold.
 
     recall is null where nothing is positive, fall_out where nothing is negative.
     """
-    rows = running_sums(score_counts(scored, score, positive), F.desc("threshold"), {"positives": "tp", "negatives": "fp"})
+    rows = running_sums(score_counts(scored, score, positive, events), F.desc("threshold"), {"positives": "tp", "negatives": "fp"})
     total = rows.agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
     out = rows.crossJoin(F.broadcast(total))
     return out.select("threshold", "positives", "negatives", "tp", "fp", F.try_divide("tp", "_p").alias("recall"), F.try_divide("fp", "_n").alias("fall_out"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
