@@ -900,6 +900,20 @@ class TestNearDuplicates:
         pairs = [tuple(x) for x in n._rest(mixed, sets, 0.8).collect()]
         assert all(want[a] != want[b] for a, b in pairs) and len(pairs) < 2000  # of some 40,000 pairs
 
+    def test_copies_of_a_run_grow_with_its_texts(self, spark):
+        """Whatever its classes, a run of many texts is copied twice at most, and all pairs across classes still meet, once each."""
+        from vigilia.llm import neardup as n
+
+        for classes in (2, 5, 600):  # of 600 texts
+            rows = [(7, i, 0 if i >= classes else i, 100, 100, 1, True) for i in range(600)]
+            heads = spark.createDataFrame(rows, "run long, id long, class long, n int, have long, place int, short boolean")
+            dealt, copied = n._sides(heads)
+            assert dealt.count() == 600 and copied.count() <= 1200
+            pairs = n._met(heads, 0.8)
+            assert pairs.count() == sum(a[2] != b[2] for i, a in enumerate(rows) for b in rows[:i])
+        met = dealt.join(copied, ["run", "salt"]).where("x_class <> y_class AND (NOT x_other OR x_id < y_id)")
+        assert met.count() == pairs.count()
+
     def test_keys_of_any_type_and_name(self, spark):
         from vigilia.llm.neardup import keep_one, near_duplicates
 

@@ -117,26 +117,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): each id of (a, b) with the least id that it hangs together with.
 
-    Turns of large star and small star. Every turn is a few shuffles of the
-    edge list, which is written to the shared folder; the number of turns grows
-    with the logarithm of the longest chain. A hub's edges are pre-aggregated.
+    Turns of large star and small star, until one changes nothing: then every
+    id has one edge, to the least. A turn is three shuffles of the edge list,
+    which is written to the shared folder; the number of turns grows with the
+    logarithm of the longest chain.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    ways = lambda *pairs: F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs)))
+    before, least = None, F.min("b").over(Window.partitionBy("a"))
     while True:
-        both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        both = edges.where("a <> b").select(ways(("a", "b"), ("b", "a")).alias("e")).select("e.*")
+        large = both.withColumn("m", F.least("a", least)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", least).select(ways(("a", "m"), ("b", "m")).alias("e")).select("e.*")
         edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
-    low = edges.groupBy("a").agg(F.min("b").alias("class")).withColumnRenamed("a", "id")
-    return low.union(low.select(F.col("class").alias("id"), "class").distinct())
+        before = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("class")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct())
 
 
 def _drawn(salt: int) -> F.Column:
@@ -213,16 +210,35 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     placed = _shareable(wanted, sets).withColumn("have", F.count("*").over(text)).withColumn("place", F.col("n") - F.col("have") + F.row_number().over(text.orderBy("df", "run")))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
     heads = cut(placed.where(F.col("place") <= first(similarity)).withColumn("short", F.col("place") <= first(2 * similarity / (1 + similarity))))
-    lists = heads.groupBy("run").agg(F.ceil(F.count("*") / F.lit(SMALL_BUCKET)).cast("int").alias("salts"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("run", "salts")
-    lists = heads.join(lists, "run")  # a run of many texts is dealt over several tasks
-    side = lambda frame, name: frame.select("run", "salt", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "class", "n", "have", "place")))
-    long = side(lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "l")
-    short = side(lists.where("short").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "s")
-    # Merged: a broadcast would be chosen by the size before the salts, which multiply the short side.
-    need = (F.col("l_n") + F.col("s_n")) * (similarity / (1 + similarity)) - 1e-6
-    met = long.join(short.hint("merge"), ["run", "salt"]).where("l_class <> s_class").where(F.col("s_n") <= F.col("l_n")).where(F.col("s_n") >= similarity * F.col("l_n") - 1e-6)
-    met = met.where(F.least("l_have", "s_have") >= need).where(F.least(F.col("l_n") - F.col("l_place"), F.col("s_n") - F.col("s_place")) + 1 >= need)
-    return _paired(met, "l_id", "s_id")
+    return _met(heads, similarity)
+
+
+def _sides(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (run, id, class, n, have, place, short) of runs of several classes, as two sides of a join on (run, salt).
+
+    Texts of a run's largest class only meet those of its other classes. All
+    texts of a run are dealt over its salts, once each, and those of the other
+    classes copied to every salt: so many salts that the copies of a run are at
+    most twice its texts, and so grow with these.
+    """
+    each = heads.groupBy("run", "class").agg(F.count("*").alias("m"))
+    runs = each.groupBy("run").agg(F.sum("m").alias("all"), F.max(F.struct("m", "class")).alias("main"), F.count("*").alias("k")).where("k > 1").select("run", "all", F.col("main.class").alias("main"), (F.col("all") - F.col("main.m")).alias("others"))
+    salts = F.greatest(F.lit(1), F.least(F.ceil(F.col("all") / SMALL_BUCKET), F.floor(2 * F.col("all") / F.col("others")))).cast("int")
+    lists = heads.join(runs.select("run", "main", salts.alias("salts")), "run").withColumn("other", F.col("class") != F.col("main"))
+    side = lambda frame, name: frame.select("run", "salt", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "class", "n", "have", "place", "short", "other")))
+    dealt = side(lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "x")
+    return dealt, side(lists.where("other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "y")
+
+
+def _met(heads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes of one run that can have the similarity."""
+    dealt, copied = _sides(heads)
+    # Merged: a broadcast would be chosen by the size before the salts, which multiply the copied side.
+    met = dealt.join(copied.hint("merge"), ["run", "salt"]).where("x_class <> y_class AND (NOT x_other OR x_id < y_id)")
+    met = met.where("(y_short AND y_n <= x_n) OR (x_short AND x_n <= y_n)").where(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
+    need = (F.col("x_n") + F.col("y_n")) * (similarity / (1 + similarity)) - 1e-6
+    met = met.where(F.least("x_have", "y_have") >= need).where(F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1 >= need)
+    return _paired(met, "x_id", "y_id")
 
 
 def _classes(docs: DataFrame, key: str, text: str, similarity: float, looks: int) -> DataFrame:
@@ -237,8 +253,9 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float, looks: int
     buckets = cut(bands.join(full, "key"))  # only buckets of several texts
     sets = run_sets(buckets, rows.select("id", "text"))
     tried = cut(_star(buckets))
-    links = _verified(tried, sets, similarity)
-    mixed = cut(_mixed(buckets, cut(components(links))))
+    classes = cut(components(_verified(tried, sets, similarity).union(copies)))
+    stars = lambda: classes.select(F.col("id").alias("a"), F.col("class").alias("b"))  # noqa: E731  what is known, as edges: later turns start from classes
+    mixed = cut(_mixed(buckets, classes))
     for look in range(looks):
         far = _across_large(mixed, look)
         pairs = cut((far if look else _across_small(mixed).unionByName(far)).distinct().join(_sized(tried), ["a", "b"], "left_anti"))  # the first look tries all pairs of small buckets
@@ -246,12 +263,11 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float, looks: int
         tried = tried.union(pairs)
         if found.isEmpty():
             break
-        links = links.union(found)
-        mixed = cut(_mixed(buckets, cut(components(links))))
+        classes = cut(components(stars().union(found)))
+        mixed = cut(_mixed(buckets, classes))
     rest = cut(_rest(mixed, sets, similarity).join(_sized(tried), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, sets, similarity))
-    return components(links.union(copies))
+    found = rest if rest.isEmpty() else _verified(rest, sets, similarity)
+    return classes if found.isEmpty() else components(stars().union(found))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, looks: int = 3) -> DataFrame:
