@@ -106,6 +106,16 @@ def test_whole_score_and_texts(spark):
     assert calm.session_risk_score < fixed.SESSION_MEDIUM
 
 
+def test_model_writes_counts_alone(spark, monkeypatch):
+    """The model needs how often category pairs and triples occur, not where, nor which calls: those are not written."""
+    base = S.session_features(S.sessionize(events(spark, [("u", j * 120, n) for j, n in enumerate(["ConsoleLogin", "ListBuckets", "GetObject"])])))
+    kept = []
+    monkeypatch.setattr(S, "stored", lambda frame: kept.append(frame) or frame)
+    model = S.SessionModel(base)
+    assert kept[0].schema["grams"].dataType.elementType.names == ["kind", "gram", "n"]
+    assert {g.kind for g in kept[0].first().grams} == {"category2", "category3"} and model.grams.count() == 3
+
+
 def test_empty_input(spark):
     none = events(spark, [("a", 0, "X")]).limit(0)
     assert S.session_features(S.sessionize(none)).count() == 0
